@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from quire.llm.quality import op10_quality
 from quire.llm.sharding import op3_sharding
 
-QUERIES = {"op3_sharding": op3_sharding}
+QUERIES = {"op3_sharding": op3_sharding, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
