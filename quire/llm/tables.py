@@ -74,3 +74,30 @@ def ranked(df: DataFrame, key: str, order: list[str], n_salts: int, name: str =
     starts = starts.withColumnRenamed(key, "_k").withColumnRenamed("_salt", "_s")
     met = dealt.join(starts, (dealt[key] == starts["_k"]) & (dealt["_salt"] == starts["_s"]))
     return met.withColumn(name, (F.col("_in") + F.col("_from")).cast("long")).drop("_salt", "_in", "_from", "_k", "_s")
+
+
+#: Bits of the membership filter below: 2 MB, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def membership(keys: DataFrame, key: str):
+    """A one-hash Bloom filter of a long column, of fixed size, as a broadcast numpy array of 64-bit words.
+
+    It only spares rows a shuffle before an exact join: with very many keys it fills up and lets more rows pass.
+    """
+    import numpy as np
+
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")
+    words = keys.select((F.floor(place / 64)).cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def may_contain(table, keys):
+    """Which of the (numpy) keys the filter may hold."""
+    import numpy as np
+
+    place = np.mod(keys, FILTER_BITS)
+    return (table[place // 64] >> (place % 64)) & 1 > 0
