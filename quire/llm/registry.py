@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from quire.llm import warc
 from quire.llm.neardup import op1_neardup
+from quire.llm.packing import op7_packing
 from quire.llm.quality import op10_quality
 from quire.llm.sharding import op3_sharding
 from quire.llm.substring import op8_substring
 
-QUERIES = {"op1_neardup": op1_neardup, "op3_sharding": op3_sharding, "op8_substring": op8_substring, "op10_quality": op10_quality}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_neardup": op1_neardup,
+    "op3_sharding": op3_sharding,
+    "op7_packing": op7_packing,
+    "op8_substring": op8_substring,
+    "op9_warc": warc.op9_warc,
+    "op10_quality": op10_quality,
+}
+SQL: dict[str, str] = {"op9_warc": warc.SQL}
