@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import warc
+from quire.llm.ann import op2_ann
 from quire.llm.langid import op4_langid
 from quire.llm.neardup import op1_neardup
 from quire.llm.packing import op7_packing
@@ -12,6 +13,7 @@ from quire.llm.substring import op8_substring
 
 QUERIES = {
     "op1_neardup": op1_neardup,
+    "op2_ann": op2_ann,
     "op3_sharding": op3_sharding,
     "op4_langid": op4_langid,
     "op7_packing": op7_packing,
