@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm import warc
 from quire.llm.ann import op2_ann
 from quire.llm.langid import op4_langid
+from quire.llm.maxent import op6_maxent
 from quire.llm.neardup import op1_neardup
 from quire.llm.packing import op7_packing
 from quire.llm.quality import op10_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_ann": op2_ann,
     "op3_sharding": op3_sharding,
     "op4_langid": op4_langid,
+    "op6_maxent": op6_maxent,
     "op7_packing": op7_packing,
     "op8_substring": op8_substring,
     "op9_warc": warc.op9_warc,
