@@ -8,6 +8,7 @@ from quire.llm.langid import op4_langid
 from quire.llm.maxent import op6_maxent
 from quire.llm.neardup import op1_neardup
 from quire.llm.packing import op7_packing
+from quire.llm.pieces import op5_pieces
 from quire.llm.quality import op10_quality
 from quire.llm.sharding import op3_sharding
 from quire.llm.substring import op8_substring
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_ann": op2_ann,
     "op3_sharding": op3_sharding,
     "op4_langid": op4_langid,
+    "op5_pieces": op5_pieces,
     "op6_maxent": op6_maxent,
     "op7_packing": op7_packing,
     "op8_substring": op8_substring,
