@@ -173,14 +173,15 @@ def sample(docs: DataFrame, learn: Column) -> tuple[list[str], list[str]]:
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4, held: int = 2) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4, held: int = 2, tag: str | None = None) -> DataFrame:
     """Every document's language, learned from those whose crc32(id as text) modulo ``modulus`` isn't ``held``.
 
     Returns doc_id, held_out, lang_pred (a learned language; ``und``, with score 0, if the text is null or has no
-    letter) and score. Rows without doc_id are not held out. With nothing to learn from, all are ``und``. Repeated
+    letter) and score, and the long column ``tag``, if one is named. Rows without doc_id are not held out. With nothing to learn from, all are ``und``. Repeated
     doc_ids are predicted each for itself. Empty table: no rows. Other columns are not looked at.
     """
-    docs = id_and(docs, key, text, lang).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    tagged = (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag")
+    docs = id_and(docs, key, text, lang, *([tag] if tag else [])).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), tagged)
     out_of = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus == held, F.lit(False))
     field = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, ~out_of)))
 
@@ -204,10 +205,11 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 else:
                     best, score, known = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
                 best = np.where(known, best, len(names) - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(np.clip(np.where(known, score, 0.0), 0.0, 1.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(np.clip(np.where(known, score, 0.0), 0.0, 1.0)), part.column(4)], names=["doc_id", "held_out", "lang_pred", "score", "tag"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", letters.alias("letters"), out_of.alias("held_out")).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    found = docs.select("doc_id", "text", letters.alias("letters"), out_of.alias("held_out"), "tag").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, tag long")
+    return found.withColumnRenamed("tag", tag) if tag else found.drop("tag")
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

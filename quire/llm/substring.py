@@ -45,11 +45,12 @@ def anchored(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return first, np.repeat(np.arange(texts.n), per), first + least[first], h
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, th, uid, doc_id, text): rows of one id and text are one document; documents without id come last."""
-    docs = id_and(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.xxhash64("text").alias("th"), "doc_id", "text")
-    return docs.withColumn("uid", F.xxhash64("k", "th")).select("k", "th", "uid", "doc_id", "text")
+def keyed(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(k, th, uid, doc_id, text, rest): rows of one id and text are one document; documents without id come last."""
+    rest = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
+    docs = id_and(docs, key, text, rest.alias("rest")).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), "rest")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.xxhash64("text").alias("th"), "doc_id", "text", "rest")
+    return docs.withColumn("uid", F.xxhash64("k", "th")).select("k", "th", "uid", "doc_id", "text", "rest")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -185,32 +186,41 @@ def frequent_repeats(suffixes: DataFrame) -> DataFrame:
 
 
 def keep_rest(docs: DataFrame, removed: bool) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space, as bytes."""
+    """(doc_id, n_words, n_removed, kept, text, rest): the words that stay, joined by one space, as bytes; and the text without
+    the words that go, as it stood where none did."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                n_words, n_removed, kept = [], [], []
-                holes = part.column(2).to_pylist() if removed else [None] * part.num_rows
-                for text, hole in zip(part.column(1).to_pylist(), holes, strict=True):
+                n_words, n_removed, kept, left = [], [], [], []
+                texts = part.column(1).to_pylist()
+                holes = part.column(3).to_pylist() if removed else [None] * part.num_rows
+                for text, hole in zip(texts, holes, strict=True):
                     words = (text or "").encode("utf-8").split()  # bytes.split() splits at exactly [\x20\x09-\x0D]+
                     n_words.append(len(words))
                     if hole:
-                        low = np.array([x["low"] for x in hole], np.int64)
-                        mask = np.array([x["mask"] for x in hole], np.int64)
-                        step = np.zeros(len(words) + WINDOW + SPAN, np.int64)
-                        for nth in range(SPAN):
-                            at = low[(mask >> nth) & 1 > 0] + nth
-                            np.add.at(step, at, 1)
-                            np.add.at(step, at + WINDOW, -1)
-                        stays = np.cumsum(step)[: len(words)] == 0
+                        stays = ~covered(hole, len(words))
                         words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+                    left.append(kept[-1].decode("utf-8") if hole else text)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.string()), part.column(2)], names=["doc_id", "n_words", "n_removed", "kept", "text", "rest"])
 
-    return docs.select("doc_id", "text", *(["holes"] if removed else [])).mapInArrow(each, "doc_id long, n_words long, n_removed long, kept binary")
+    schema = f"doc_id long, n_words long, n_removed long, kept binary, text string, rest {docs.schema['rest'].dataType.simpleString()}"
+    return docs.select("doc_id", "text", "rest", *(["holes"] if removed else [])).mapInArrow(each, schema)
+
+
+def covered(holes: list[dict], n_words: int) -> np.ndarray:
+    """Which words the windows of (low, mask) runs cover."""
+    low = np.array([x["low"] for x in holes], np.int64)
+    mask = np.array([x["mask"] for x in holes], np.int64)
+    step = np.zeros(n_words + WINDOW + SPAN, np.int64)
+    for nth in range(SPAN):
+        at = low[(mask >> nth) & 1 > 0] + nth
+        np.add.at(step, at, 1)
+        np.add.at(step, at + WINDOW, -1)
+    return np.cumsum(step)[:n_words] > 0
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -225,14 +235,17 @@ def removals(docs: DataFrame) -> DataFrame:
     return written(gone.groupBy("uid").agg(F.collect_list(F.struct("low", "mask")).alias("holes")), "substring-holes")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): what stays of each document's words when repeated windows go.
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, text, rest): what stays of each document's words when repeated windows go.
+
+    ``kept`` has the words that stay, joined by one space; ``text`` the same where something goes and else the input;
+    ``rest`` the columns named in ``carry``.
 
     Null and blank texts have no words. Rows of one doc_id and one text are the same document and get the same
     result; different texts under one doc_id are ordered by a hash of the text; rows without doc_id come after
     all others. Documents under 20 words have no window. Empty table: no rows. Other columns are not looked at.
     """
-    docs = keyed(docs, key, text)
+    docs = keyed(docs, key, text, carry)
     holes = removals(docs)
     table = membership(holes, "uid")
     cut = keep_rest(passing(docs, table).join(holes, "uid", "left"), True)

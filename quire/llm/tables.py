@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -47,9 +47,17 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def id_and(df: DataFrame, key: str, *columns: str) -> DataFrame:
+def id_and(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
     """Only the named columns: whatever else the input carries, also under names the operator uses itself, stays out."""
-    return df.select(F.col(key).cast("long").alias(key), *(F.col(c) for c in columns))
+    small_batches(df.sparkSession)
+    return df.select(F.col(key).cast("long").alias(key), *(F.col(c) if isinstance(c, str) else c for c in columns))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, so that a batch of very long texts fits a worker; a setting made by the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
 
 
 def salts(n_rows: int, per_salt: int = 20_000) -> int:
