@@ -20,7 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Texts are handled in runs of about so many bytes; a longer text is a run of its own.
-RUN = 4 << 20
+RUN = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
