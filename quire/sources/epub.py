@@ -123,3 +123,18 @@ def report(failed: DataFrame, findings: DataFrame, generated_at: Column) -> Data
     both = a.unionByName(b, allowMissingColumns=True).agg(F.max("chunks").alias("chunks"), F.max("suspect_english_terms").alias("suspect_english_terms"))
     value = F.to_json(F.struct(generated_at.alias("generated_at"), F.size("chunks").alias("total"), F.size("suspect_english_terms").alias("suspect_total"), "suspect_english_terms", "chunks"))
     return both.where("size(chunks) + size(suspect_english_terms) > 0").select(value.alias("value"))
+
+
+def save_checkpoint(chunks: DataFrame, path: str, batch: str) -> None:
+    """A batch of finished chunks, appended under its own name; written again it replaces itself. A restart anti-joins what is there."""
+    chunks.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def unfinished(chunks: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """The chunks (name, ...) that no checkpoint has yet."""
+    return chunks.join(spark.read.parquet(path).select("name").distinct(), "name", "left_anti")
+
+
+def write_items(files: DataFrame, path: str) -> None:
+    """Translated and untouched members of all books as a table by book: (book, member, body)."""
+    files.write.mode("overwrite").partitionBy("book").parquet(path)

@@ -125,3 +125,44 @@ def test_status_stream(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(rows))
         stream.follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {(r["name"], r["status"]) for r in stream.current(spark, str(tmp_path / "out")).collect()} == {("a", "translated"), ("b", "pending")}
+
+
+def test_frozen_tags_come_back(spark):
+    from quire.operators import workflow
+
+    p = parsed(spark, '<p>a<br/>b<span id="x"></span><span>c</span><img src="y"/></p>')
+    out = workflow.frozen(p, "k")
+    row = out.select("html", workflow.thawed(F.col("html"), F.col("tags")).alias("back"), workflow.thawed(F.replace("html", F.lit("[TAG:1]"), F.lit("")), F.col("tags")).alias("bad")).first()
+    assert row["html"] == "<p>a[TAG:0]b[TAG:1]<span>c</span>[TAG:2]</p>" and row["back"] == p.first()["normalized"] and row["bad"] is None
+
+
+def test_text_batches(spark):
+    from quire.operators import workflow
+
+    p = parsed(spark, "<div>" + "".join(f"<p>t{i} [CODE:{i}]</p>" for i in range(11)) + "<p>[PRE:0]</p></div>")
+    got = workflow.text_batches(p, "k").orderBy("batch").collect()
+    assert [len(r["units"]) for r in got] == [8, 3] and got[1]["payload"].startswith("[TEXT:8]t8 [CODE:8]\n[TEXT:9]")
+    fault = lambda a, b: spark.range(1).select(workflow.text_batch_fault(F.lit(a), F.lit(b)).alias("x")).first()["x"]
+    assert fault("[TEXT:0]a [CODE:1]", "[TEXT:0]甲 [CODE:1]") is None and fault("[TEXT:0]a", "[TEXT:1]甲") == "markers"
+    assert fault("[TEXT:0]a", "[TEXT:0] ") == "blank" and fault("[TEXT:0]a [CODE:1]", "[TEXT:0]甲") == "placeholders"
+
+
+def test_recovery_keeps_what_is_sound(spark):
+    items = spark.createDataFrame([(1, "<r><p>a</p><p>b</p></r>")], "k long, normalized string")
+    chunks = spark.createDataFrame([(1, "good", 0, [(3, 11, "<p>甲</p>")]), (1, "bad", 1, [(11, 19, "<p>[CODE:0]</p>")])], "k long, name string, seq long, spans array<struct<low: int, high: int, new: string>>")
+    html, out = writeback.recovered(items, chunks, "k")
+    assert html.first()["html"] == "<r><p>甲</p><p>b</p></r>" and [r["name"] for r in out.collect()] == ["bad"]
+
+
+def test_navigation_documents(spark):
+    p = parsed(spark, '<html><body><nav class="TOC x"><a>1</a></nav></body></html>', "<html><body><p>x</p></body></html>", "<ncx><navPoint/></ncx>")
+    got = {r["k"]: r["is_nav"] for r in chunking.nav_documents(dom.nodes(p, "k"), "k", F.lit("OEBPS/c.xhtml")).collect()}
+    assert got == {0: True, 1: False, 2: True}
+
+
+def test_interval():
+    from quire.operators.workflow import Interval
+
+    now, slept = [0.0], []
+    gate = Interval(60, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    assert [gate(lambda x: x, i) for i in range(3)] == [0, 1, 2] and slept == [60.0, 60.0]
