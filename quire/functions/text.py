@@ -20,6 +20,11 @@ def count(pattern: str, text: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it stands there: a lambda's variable isn't copied as an expression is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """The token count of a text, at least 1."""
     return F.greatest(F.lit(1).cast("long"), count(TOKEN, text))

@@ -218,7 +218,8 @@ def residual_english(spark, sf_dir):
 @query("residual_decisions")
 def residual_decisions(spark, sf_dir):
     """Decision and reason for every line of documents, by language."""
-    lines = doc_lines(spark, sf_dir).select("lang", language.finding(F.col("line")).alias("f"))
+    # exploded, so that the classification isn't copied into each use of its fields
+    lines = doc_lines(spark, sf_dir).select("lang", F.explode(F.array(language.finding(F.col("line")))).alias("f"))
     return lines.groupBy("lang", "f.decision", "f.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
