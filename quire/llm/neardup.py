@@ -20,18 +20,22 @@ large-star and small-star steps on written tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tables import id_and, written
+from quire.llm.tables import id_and, may_contain, membership, written
 from quire.llm.textbuf import U, mix, packed, runs, sums, window_starts, windows
 
-SHINGLE, TOKENS, TREES, SMALL, DEPTH = 5, 64, 12, 48, 3
-#: Tokens that a pair at the threshold has in common at least, but for odds under 1e-9 (the mean is 48 of 64, the deviation 3.5).
-COMMON = 25
+SHINGLE, TOKENS, TREES, SMALL, DEPTH = 5, 64, 12, 48, 4
+#: Further minwise values, of which only a byte is kept: with the tokens they estimate a pair's similarity.
+BYTES = 128
+WIDE = 4 * TOKENS + BYTES
+#: Tokens and bytes that a pair at the threshold has in common at least, but for odds of 3e-7 (the mean is 144 of 192, the deviation 6).
+COMMON = 114
 #: Members of a block of a node that stays large.
 BLOCK = 256
 
@@ -61,17 +65,29 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(texts.n + 1))
 
 
-SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U) * U(0xA24BAED4963EE407))
+SEEDS = mix(np.arange(1, TOKENS + BYTES + 1, dtype=U) * U(0xA24BAED4963EE407))
 
 
 def minwise(grams: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """TOKENS 32-bit minwise tokens of each set (rows; those of empty sets mean nothing)."""
+    """WIDE bytes for each set: TOKENS 32-bit minwise tokens, then BYTES bytes of further ones (those of empty sets mean nothing)."""
     full = np.flatnonzero(np.diff(of))
-    out = np.zeros((len(of) - 1, TOKENS), np.uint32)
+    tokens, more = np.zeros((len(of) - 1, TOKENS), "<u4"), np.zeros((len(of) - 1, BYTES), np.uint8)
     if len(full):
-        for k in range(TOKENS):
-            least = np.minimum.reduceat((grams ^ SEEDS[k]) * U(0x9FB21C651E98DF25), of[full])
-            out[full, k] = (mix(least) >> U(32)).astype(np.uint32)
+        for k in range(TOKENS + BYTES):
+            least = mix(np.minimum.reduceat((grams ^ SEEDS[k]) * U(0x9FB21C651E98DF25), of[full])) >> U(32)
+            if k < TOKENS:
+                tokens[full, k] = least
+            else:
+                more[full, k - TOKENS] = least & U(255)
+    return np.concatenate((tokens.view(np.uint8), more), 1)
+
+
+def unpacked(tokens: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """[n, TOKENS + BYTES]: the numbers that are compared."""
+    raw = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8).reshape(-1, WIDE)
+    out = np.empty((len(raw), TOKENS + BYTES), np.uint32)
+    out[:, :TOKENS] = np.ascontiguousarray(raw[:, : 4 * TOKENS]).view("<u4")
+    out[:, TOKENS:] = raw[:, 4 * TOKENS :]
     return out
 
 
@@ -89,7 +105,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 grams, of = shingle_sets(texts)
                 tokens = minwise(grams, of)
                 d1, d2 = digests(grams, of)
-                at = np.arange(texts.n + 1) * TOKENS
+                at = np.arange(texts.n + 1) * WIDE
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(of)), pa.array(d1), pa.array(d2), packed(tokens.reshape(-1), at)], names=["doc_id", "n_shingles", "d1", "d2", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, d1 long, d2 long, tokens binary")
@@ -110,7 +126,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 def picks(path: np.ndarray, similarity: float) -> np.ndarray:
     """Which of the TOKENS positions each node picks (rows): every one with odds 1 / (similarity * TOKENS), at least one."""
-    draw = mix(path[:, None] ^ SEEDS[None, :] * U(0xF1357AEA2E62A9C5))
+    draw = mix(path[:, None] ^ SEEDS[None, :TOKENS] * U(0xF1357AEA2E62A9C5))
     chosen = draw < U(int(2**64 / (similarity * TOKENS)))
     none = ~chosen.any(1)
     chosen[none, draw[none].argmin(1)] = True
@@ -138,19 +154,18 @@ def branch(members: DataFrame, similarity: float, roots: bool) -> DataFrame:
     return members.select("tokens", "cls", *([] if roots else ["node"])).mapInArrow(each, "node long, cls long")
 
 
-def unpacked(tokens: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(tokens.to_pylist()), np.uint32).reshape(-1, TOKENS)
-
-
-def alike(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the (a, b, x, y) whose tokens x and y agree often enough."""
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sizes allow the similarity and whose tokens agree often enough."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             agree = (unpacked(batch.column(2)) == unpacked(batch.column(3))).sum(1) >= COMMON
             yield batch.select([0, 1]).filter(pa.array(agree))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    a = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n"), F.col("tokens").alias("x"))
+    b = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("m"), F.col("tokens").alias("y"))
+    met = pairs.join(a, "a").join(b, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return met.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,26 +258,30 @@ def small_pairs(members: DataFrame) -> DataFrame:
 
 
 def large_pairs(members: DataFrame) -> DataFrame:
-    """As ``small_pairs`` for nodes of any size: their members are dealt into blocks, and each two blocks of a node are a task's group."""
+    """As ``small_pairs`` for nodes of any size. Members that the node's most frequent root has joined need no look at each other:
+    only the others, in parts, visit all members, in blocks; a part and a block are a task's group."""
 
     def compare(table: pa.Table) -> pa.Table:
-        cls, root, side = (table.column(c).to_numpy() for c in ("cls", "root", "side"))
+        cls, root, visits, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "root", "visits", "other"))
         tokens = unpacked(table.column("tokens"))
-        rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        home = np.flatnonzero(~visits)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in rows:
-            j = cols[(root[cols] != root[i]) & ((cls[cols] > cls[i]) | (side[i] == 0))]
+        for i in np.flatnonzero(visits):
+            j = home[(root[home] != root[i]) & (~other[home] | (cls[home] > cls[i]))]
             j = j[(tokens[j] == tokens[i]).sum(1) >= COMMON]
             a.append(np.minimum(cls[i], cls[j]))
             b.append(np.maximum(cls[i], cls[j]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    size = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
-    dealt = members.join(size, "node").withColumn("block", F.pmod(F.xxhash64("cls"), "n_blocks"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    side = F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1)
-    dealt = dealt.select("node", "cls", "root", "tokens", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), side.alias("side"))
-    return dealt.groupBy("node", "p", "q").applyInArrow(compare, "a long, b long")
+    of_root = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
+    node = of_root.groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
+    node = node.select("node", F.col("top.root").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("top.n")).alias("parts"))
+    dealt = members.join(node, "node").withColumn("other", F.col("root") != F.col("main")).withColumn("draw", F.xxhash64("cls"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    home = dealt.select("node", "cls", "root", "tokens", "other", F.lit(False).alias("visits"), F.pmod("draw", "blocks").alias("block"), upto("parts").alias("part"))
+    away = dealt.where("other").select("node", "cls", "root", "tokens", "other", F.lit(True).alias("visits"), upto("blocks").alias("block"), F.pmod("draw", "parts").alias("part"))
+    return home.unionByName(away).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -280,37 +299,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     docs = id_and(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = written(sketch(docs), "neardup-sketch")
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"))
-    classes = written(classes.select(F.xxhash64("d1", "d2").alias("cls"), "least", "tokens"), "neardup-classes")
-
-    def branched(members: DataFrame, roots: bool, name: str) -> DataFrame:
-        children = written(branch(members, similarity, roots).distinct() if not roots else branch(members, similarity, roots), f"{name}-children")
+    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+    classes = written(classes.select(F.xxhash64("d1", "d2").alias("cls"), "least", "n_shingles", "tokens"), "neardup-classes")
+    tokens = classes.select("cls", "tokens")
+
+    def branched(members: DataFrame, roots: bool) -> DataFrame:
+        """(node, cls, size) of the children with two classes or more."""
+        children = branch(members, similarity, roots)
+        children = written(children if roots else children.distinct(), "neardup-children")
         sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return written(children.join(sizes, "node").join(classes.select("cls", "tokens"), "cls"), name)
-
-    level = branched(classes, True, "neardup-level")
-    pivots = level.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "cls").alias("draw"), "cls", "tokens")).alias("p"))
-    pivots = pivots.select("node", F.col("p.cls").alias("pivot"), F.col("p.tokens").alias("y"))
-    tried = level.join(pivots, "node").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"), F.col("tokens").alias("x"), "y")
-    # the full sets of all classes that share a node with another
-    partnered = level.select("cls").distinct()
-    bearers = classes.join(partnered, "cls", "left_semi").select("least").distinct()
-    sets = sets_of(docs.join(bearers, docs["doc_id"].eqNullSafe(bearers["least"]), "left_semi"))
-    sets = written(sets.join(partnered, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), "neardup-sets")
-    links = written(confirm(alike(tried).distinct(), sets, percent), "neardup-links")
+        return written(children.join(sizes, "node"), "neardup-level")
+
+    level = branched(classes, True)
+    pivots = level.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "cls").alias("draw"), "cls")).alias("p")).select("node", F.col("p.cls").alias("pivot"))
+    tried = level.join(pivots, "node").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    likely = written(alike(tried, classes, percent), "neardup-likely")
+    root = components(confirm(likely, full_sets(docs, classes, likely), percent), "neardup")
+    # nodes that the pivots' links leave in several components branch on until they are small
+    pairs = []
     for depth in range(1, DEPTH + 1):
-        root = components(links, "neardup")
-        level = level.select("node", "cls", "tokens", "size").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        level = level.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         unjoined = level.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-        level = written(level.join(unjoined, "node", "left_semi"), "neardup-open")
+        level = written(level.join(unjoined, "node", "left_semi").join(tokens, "cls"), "neardup-open")
         large = level.where(F.col("size") > SMALL)
-        pairs = small_pairs(level.where(F.col("size") <= SMALL))
+        pairs.append(small_pairs(level.where(F.col("size") <= SMALL)))
         if depth == DEPTH:
-            pairs = pairs.unionByName(large_pairs(large))
-        links = links.unionByName(written(confirm(pairs.distinct(), sets, percent), "neardup-links"))
-        if depth == DEPTH or large.isEmpty():
+            pairs.append(large_pairs(large))
+        elif large.isEmpty():
             break
-        level = branched(large, False, "neardup-level")
+        else:
+            level = branched(large, False)
+    more = written(reduce(DataFrame.unionByName, pairs).distinct(), "neardup-pairs")
+    more = written(alike(more, classes, percent), "neardup-likely")
+    joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    links = joined.unionByName(confirm(more, full_sets(docs, classes, more), percent))
     root = components(links, "neardup")
     names = classes.select("cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = names.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -320,6 +342,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, shingles) of the classes in ``pairs``, from one document of each."""
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    bearers = classes.join(named, "cls", "left_semi").select(F.xxhash64(F.coalesce("least", F.lit(0))).alias("uid")).distinct()
+    bearers = written(bearers, "neardup-bearers")
+    table = membership(bearers, "uid")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_contain(table.value, batch.column(0).to_numpy())))
+
+    likely = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(0))).alias("uid"), "text").mapInArrow(passing, "uid long, text string")
+    sets = sets_of(likely.join(bearers, "uid", "left_semi")).join(named, "cls", "left_semi")
+    return written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "neardup-sets")
+
+
 def op1_neardup(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` with its near-duplicate component."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
