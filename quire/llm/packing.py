@@ -11,9 +11,11 @@ says for ranges of ranks within a length where they go; executors look their pie
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from quire.llm.tables import id_and, ranked, salts, written
 
 WINDOW = 2048
 END = 1
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words, and parts of words, whose ids a worker remembers (some 200 MB and 100 MB).
+CACHE, PARTS_CACHE = 1_000_000, 400_000
 _STATE: dict = {}
 
 
@@ -42,29 +44,57 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         _STATE.clear()
-        _STATE.update(path=path, tokenizer=tokenizer)
+        _STATE.update(path=path, tokenizer=tokenizer, bpe=tokenizer.model)
     if len(_STATE.get("place", {})) > CACHE or "place" not in _STATE:
-        _STATE.update(place={}, ids=[np.array([END], np.uint32)], sizes=[1])  # place 0: the end
-    place, ids, sizes = _STATE["place"], _STATE["ids"], _STATE["sizes"]
+        _STATE.update(place={}, flat=np.array([END], np.uint32), start=np.zeros(1, np.int64), size=np.ones(1, np.int64))  # place 0: the end
+    if len(_STATE.setdefault("parts", {})) > PARTS_CACHE:
+        _STATE["parts"] = {}
+    place = _STATE["place"]
     docs = [(t or "").encode("utf-8").split() for t in texts]
-    new = list({w for d in docs for w in d if w not in place})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, _STATE["tokenizer"].encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-            place[w] = len(sizes)
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(len(e.ids))
-    flat = np.concatenate(ids)
-    ids[:] = [flat]
-    size = np.array(sizes)
-    start = np.cumsum(size) - size
-    which = np.fromiter((p for d in docs for p in (*map(place.__getitem__, d), 0)), np.int64)
-    n = size[which]
-    out = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs], dtype=np.int64)))]
+    words = list(chain.from_iterable(docs))
+    known = list(map(place.get, words))
+    if None in known:
+        new = list({w for w, k in zip(words, known, strict=True) if k is None})
+        rows = [word_ids(w) for w in new]
+        place.update(zip(new, range(len(_STATE["size"]), len(_STATE["size"]) + len(new)), strict=True))
+        size = np.array([len(r) for r in rows])
+        _STATE["start"] = np.concatenate((_STATE["start"], len(_STATE["flat"]) + np.cumsum(size) - size))
+        _STATE["size"] = np.concatenate((_STATE["size"], size))
+        _STATE["flat"] = np.concatenate((_STATE["flat"], np.array([i for r in rows for i in r], np.uint32)))
+        known = list(map(place.__getitem__, words))
+    each = np.array([len(d) for d in docs], np.int64)
+    which = np.insert(np.array(known, np.int64), np.cumsum(each), 0)
+    n = _STATE["size"][which]
+    out = _STATE["flat"][np.repeat(_STATE["start"][which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(each + 1)))]
     return out, upto
 
 
+#: Words of ASCII and Latin-1 letters, whose normal form is their small letters, and the parts that the tokenizer's own pattern gives of them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Byte-level names of the bytes of those letters: bytes 127 to 160 are moved to 289 and on.
+NAMES = {b: chr(b + 162) if 127 <= b <= 160 else chr(b) for b in range(33, 256) if b != 173} | {173: chr(323)}
+
+
+def word_ids(word: bytes) -> list[int]:
+    """A word's ids: of plain words, the parts go through the tokenizer's merges, each different part once; of others, the word through all of it."""
+    text = word.decode("utf-8")
+    if text.isalpha() and text.isascii():
+        return part_ids(text.lower())
+    if not PLAIN.fullmatch(text):
+        return _STATE["tokenizer"].encode(text, add_special_tokens=False).ids
+    return list(chain.from_iterable(map(part_ids, PARTS.findall(text.lower()))))
+
+
+def part_ids(part: str) -> list[int]:
+    ids = _STATE["parts"].get(part)
+    if ids is None:
+        named = part if part.isascii() else "".join(NAMES[b] for b in part.encode("utf-8"))
+        ids = _STATE["parts"][part] = [t.id for t in _STATE["bpe"].tokenize(named)]
+    return ids
+
+
 def fill(count: dict[int, int], lengths: list[int], capacity: int) -> dict[int, int]:
     """The multiset of the available lengths whose sum is the largest that fits ``capacity``: a bitset subset-sum, copies by binary splitting."""
     reach, steps, full = 1, [], 1 << capacity
