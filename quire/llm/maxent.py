@@ -25,9 +25,9 @@ from quire.llm.tables import id_and, written
 from quire.llm.textbuf import Texts, U, mix
 
 #: Classes of one member (the last of them is the end) and all classes; buckets of hashed words.
-ALONE, CLASSES, BUCKETS = 16, 48, 1 << 13
+ALONE, CLASSES, BUCKETS = 12, 32, 1 << 13
 END, BEGIN = ALONE - 1, CLASSES
-SKIPS = (2, 3, 4, 5)
+SKIPS = (2, 3, 4)
 PAIR = 2 * BUCKETS
 SKIP = PAIR + (CLASSES + 1) ** 2
 ROWS = SKIP + len(SKIPS) * (CLASSES + 1)
@@ -78,12 +78,11 @@ def learn(rows: np.ndarray, cls: np.ndarray, weights: np.ndarray, squares: np.nd
     gap = -np.exp(log_softmax(rows, weights))
     gap[np.arange(len(cls)), cls] += 1
     flat = rows.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-    touched = flat[order][first]
-    grad = np.add.reduceat(gap[order % len(cls)], first, axis=0)
+    n = np.bincount(flat, minlength=ROWS)
+    touched = np.flatnonzero(n)
+    grad = np.stack([np.bincount(flat, np.tile(gap[:, j], len(rows)), ROWS)[touched] for j in range(CLASSES)], 1).astype(np.float32)
     # the mean over a feature's own tokens, damped where they are few
-    grad /= np.diff(np.concatenate((first, [len(flat)])))[:, None] + 4.0
+    grad /= n[touched, None] + np.float32(4)
     squares[touched] += grad**2
     weights[touched] += RATE * grad / np.sqrt(squares[touched])
 
