@@ -6,7 +6,7 @@ independent trees starts with all classes at its root; a node picks each token p
 1 / (similarity * TOKENS), by a hash of its own path, and its members go on to one child for each picked
 position, named by the token they have there. Which paths a class takes thus depends on its own tokens only.
 
-Nodes are small when they hold at most SMALL classes. All nodes' members are first checked against one pivot of
+Nodes are small when they hold at most SMALL classes. All nodes' members are first checked against two pivots of
 their node, on full sets: linear work, which joins groups of copies of any size. Pairs of a small node that these
 links have not joined yet are then compared exhaustively; larger nodes with unjoined members branch on, and what
 is still large at the last level is compared in blocks, so no pair is given up. A pair at the threshold of 0.75
@@ -311,8 +311,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         return written(children.join(sizes, "node"), "neardup-level")
 
     level = branched(classes, True)
-    pivots = level.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "cls").alias("draw"), "cls")).alias("p")).select("node", F.col("p.cls").alias("pivot"))
-    tried = level.join(pivots, "node").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    # two pivots a node: one drawn by a hash, and the earliest document, as an original stands nearer to its copies than they to each other
+    known = level.join(classes.select("cls", "least"), "cls")
+    drawn = F.min(F.struct(F.xxhash64("node", "cls").alias("draw"), "cls"))["cls"]
+    earliest = F.min(F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("order"), "cls"))["cls"]
+    pivots = known.groupBy("node").agg(F.array_distinct(F.array(drawn, earliest)).alias("pivots"))
+    tried = level.join(pivots, "node").select("cls", F.explode("pivots").alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     likely = written(alike(tried, classes, percent), "neardup-likely")
     root = components(confirm(likely, full_sets(docs, classes, likely), percent), "neardup")
     # nodes that the pivots' links leave in several components branch on until they are small
