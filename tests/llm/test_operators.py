@@ -257,6 +257,15 @@ def test_language_model(docs, none):
     assert all(r["score"] < 0 for r in found) and maxent.score_texts(none).count() == 0
 
 
+def test_history_reaches_five_words_back():
+    cls, bucket, at = np.arange(12) % 3, np.arange(12), np.array([0, 12])
+    for k in range(1, 6):
+        other = cls.copy()
+        other[6 - k] = 40
+        assert (maxent.history(cls, bucket, at)[:, 6] != maxent.history(other, bucket, at)[:, 6]).any()
+    assert (maxent.ALONE, maxent.CLASSES) == (16, 48)
+
+
 def test_archive(spark):
     rows = [(5, "u5", "<p>" + "x" * 200), (3, "u3", "<p>" + "x" * 200), (9, "a\r\nb", "<p>" + "x" * 200), (1, None, "short"), (2, "u", "short"), (4, "u", None), (None, "u", "<p>" + "x" * 200), (7, "u7", "é" * 80 + "\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n"), (7, "u7", "é")]
     archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
