@@ -129,6 +129,13 @@ def test_quality_counts(docs, none):
     assert quality.score_quality(none).count() == 0
 
 
+def test_quality_learns_from_texts_full_of_symbols(spark):
+    rng = random.Random(8)
+    code = lambda: " ".join("".join(rng.choice("xyz=") for _ in range(4)) + rng.choice("#$%&|<>") for _ in range(80))
+    found = quality.score_quality(spark.createDataFrame([(i, code(), "code") for i in range(30)], "doc_id long, text string, lang string")).collect()
+    assert all(r["bits"] > 1 and r["kept"] for r in found)
+
+
 def test_kneser_ney_sums_to_one():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 4000))
     model = quality.Kneser(np.random.default_rng(2).integers(1, 9, len(keys)), keys)
