@@ -1,9 +1,10 @@
 """Quality rules with n-gram perplexity bands (operator 10).
 
 The language model counts character 4-grams over a fixed alphabet of 32 symbols, for each language by itself, so
-that the whole model has a proven size: at most 2**20 n-grams for each of at most 16 languages. Spark counts
-every text; the driver turns the bounded counts into a modified Kneser-Ney model held in sorted hash arrays, and
-executors score whole texts with it. A document whose perplexity lies outside its language's band is rejected.
+that a language's model has a proven size: at most 2**20 n-grams. Every language has one, however many there are;
+texts without a language share one of their own. Spark counts every text; a language's counts are one row of a
+table and one broadcast, which the executors that meet the language turn into a modified Kneser-Ney model held in
+sorted hash arrays, and score whole texts with it. A document whose perplexity lies outside its language's band is rejected.
 The band is median +- ``width`` robust deviations of the log-perplexities of all documents of the language that
 the base rules pass, so clean text stays whatever its absolute perplexity is.
 """
@@ -24,8 +25,8 @@ from quire.llm.textbuf import LOWER, SPACE, U, Texts, mix, runs, sums, window_st
 BITS, ORDER = 5, 4
 ALPHABET = 1 << BITS
 SIZE = ALPHABET**ORDER
-#: Languages with a model of their own; rarer ones share the last model.
-LANGUAGES = 15
+#: Models that a worker keeps ready at once (4 MB each); others are made again from their counts.
+READY = 32
 #: The band's half width in robust deviations, and the least deviation (bits a character) it is measured in.
 WIDTH, LEAST = 12.0, 0.02
 #: Log-perplexities are counted in bins of this many bits.
@@ -110,16 +111,17 @@ class Kneser:
         return self._bits
 
 
-def _lang_ids(column: pa.Array, known: list[str]) -> np.ndarray:
-    place = {v: i for i, v in enumerate(known)}
-    return np.fromiter((place.get(v, LANGUAGES) for v in column.to_pylist()), np.int64, len(column))
+def _lang_ids(column: pa.Array, ids: dict[str | None, int]) -> np.ndarray:
+    """Each row's language as a number; languages not met before are added to ``ids``."""
+    return np.fromiter((ids.setdefault(v, len(ids)) for v in column.to_pylist()), np.int64, len(column))
 
 
-def count_ngrams(docs: DataFrame, known: list[str]) -> DataFrame:
-    """(lang_id, code, n): how often each 4-gram is in all texts of a language; summed in each task first."""
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """(lang, code, n): how often each 4-gram is in all texts of a language; summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_keys, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        ids: dict[str | None, int] = {}
 
         def merge() -> None:
             keys, back = np.unique(np.concatenate(kept_keys), return_inverse=True)
@@ -129,19 +131,20 @@ def count_ngrams(docs: DataFrame, known: list[str]) -> DataFrame:
         for batch in batches:
             for part, texts in runs(batch):
                 code, at = codes(texts)
-                lang = _lang_ids(part.column(1), known)
+                lang = _lang_ids(part.column(1), ids)
                 key, n = np.unique(code.astype(np.int64) | np.repeat(lang << (BITS * ORDER), np.diff(at)), return_counts=True)
                 kept_keys.append(key)
                 kept.append(n)
                 if len(kept) > 8:
                     merge()
         merge()
+        names = pa.array(list(ids), pa.string())
         for i in range(0, len(kept[0]), 50_000):
             k = kept_keys[0][i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k >> (BITS * ORDER)), pa.array(k & (SIZE - 1)), pa.array(kept[0][i : i + 50_000])], names=["lang_id", "code", "n"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(k >> (BITS * ORDER))), pa.array(k & (SIZE - 1)), pa.array(kept[0][i : i + 50_000])], names=["lang", "code", "n"])
 
-    each = docs.select("text", "lang").mapInArrow(count, "lang_id long, code long, n long")
-    return each.groupBy("lang_id", "code").agg(F.sum("n").alias("n"))
+    each = docs.select("text", "lang").mapInArrow(count, "lang string, code long, n long")
+    return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def facts(texts: Texts) -> dict[str, np.ndarray]:
@@ -191,21 +194,30 @@ def facts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_MODELS: dict[str, dict[int, Kneser]] = {}
+_BITS: dict[tuple[str, str | None], np.ndarray] = {}
 
 
-def _load(broadcast) -> dict[int, Kneser]:
-    name, arrays = broadcast.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = {lang: Kneser(n, keys) for lang, (keys, n) in arrays.items()}
-    return _MODELS[name]
+def count_rows(counted: DataFrame) -> DataFrame:
+    """(lang, keys, counts): a language's counts in one row of at most 12 MB, sorted by key."""
 
+    def row(table: pa.Table) -> pa.Table:
+        code, n = table.column("code").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(code)
+        return pa.table({"lang": table.column("lang")[:1].combine_chunks(), "keys": pa.array([code[order].astype("<i4").tobytes()], pa.binary()), "counts": pa.array([n[order].astype("<i8").tobytes()], pa.binary())})
 
-def languages(docs: DataFrame) -> list[str]:
-    """The languages with a model of their own: the most frequent ones, ties by name."""
-    top = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    return [r["lang"] for r in top.collect()]
+    return counted.groupBy("lang").applyInArrow(row, "lang string, keys binary, counts binary")
+
+
+def _bits_of(run: str, lang: str | None, models: dict) -> np.ndarray:
+    """The language's bits by n-gram; the READY last used ones are kept."""
+    found = _BITS.pop((run, lang), None)
+    if found is None:
+        keys, counts = models[lang].value
+        found = Kneser(np.frombuffer(counts, "<i8"), np.frombuffer(keys, "<i4")).bits()
+    _BITS[run, lang] = found
+    while len(_BITS) > READY:
+        del _BITS[next(iter(_BITS))]
+    return found
 
 
 def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50, max_repeat: int = 50, width: float = WIDTH) -> DataFrame:
@@ -214,43 +226,45 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, bits (a
     character, under the language's model), low and high (the language's band).
 
-    Null text: no words, base_failed, not kept. Null or rare lang: the shared model and its band. Empty texts:
+    Null text: no words, base_failed, not kept. Null lang: a model and a band of its own. Empty texts:
     as null. Null and repeated doc_ids: a result row for each input row. Empty table: no rows. Other columns
     are not looked at. A language none of whose documents pass the base rules has no band; nothing is kept then.
     """
     spark = docs.sparkSession
     docs = id_and(docs, key, text, lang).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    known = languages(docs)
-    counted = count_ngrams(docs, known).toPandas()  # at most 16 * 2**20 rows
-    arrays = {}
-    for lang_id, rows in counted.groupby("lang_id"):
-        order = np.argsort(rows["code"].to_numpy())
-        arrays[int(lang_id)] = rows["code"].to_numpy()[order].astype(np.int32), rows["n"].to_numpy()[order]
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, arrays))
+    rows = written(count_rows(count_ngrams(docs)), "quality-counts")
+    # one language's counts at a time pass through the driver
+    models = {r["lang"]: spark.sparkContext.broadcast((bytes(r["keys"]), bytes(r["counts"]))) for r in rows.toLocalIterator()}
+    run = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _load(model)
         for batch in batches:
             for part, texts in runs(batch):
                 found = facts(texts)
                 code, at = codes(texts)
-                lang_ids = _lang_ids(part.column(2), known)
+                ids: dict[str | None, int] = {}
+                lang_ids = _lang_ids(part.column(2), ids)
                 of = np.repeat(lang_ids, np.diff(at))
                 bits = np.zeros(len(code), np.float64)
-                for one in np.unique(lang_ids):
-                    if one in models:
-                        mine = of == one
-                        bits[mine] = models[one].bits()[code[mine]]
+                for lang, one in ids.items():
+                    mine = of == one
+                    if mine.any():
+                        bits[mine] = _bits_of(run, lang, models)[code[mine]]
                 mean = sums(bits, at) / np.maximum(np.diff(at), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang_ids), *(pa.array(found[c]) for c in FACTS), pa.array(mean)], names=["doc_id", "lang_id", *FACTS, "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(found[c]) for c in FACTS), pa.array(mean)], names=["doc_id", "lang", *FACTS, "bits"])
 
-    scored = docs.mapInArrow(score, f"doc_id long, lang_id long, {', '.join(f'{c} long' for c in FACTS)}, bits double")
+    scored = docs.mapInArrow(score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in FACTS)}, bits double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     scored = written(scored.withColumn("base_failed", failed), "quality")
     # the bits a character lie between 0 and some 20, so there are few bins a language
-    bins = scored.where("not base_failed").groupBy("lang_id", F.floor(F.col("bits") / BIN).alias("bin")).count().toPandas()
-    bands = [(int(one), *band(rows["bin"].to_numpy(), rows["count"].to_numpy(), width)) for one, rows in bins.groupby("lang_id")]
-    out = scored.join(F.broadcast(spark.createDataFrame(bands, "lang_id long, low double, high double")), "lang_id", "left")
+    bins = scored.where("not base_failed").groupBy("lang", F.floor(F.col("bits") / BIN).alias("bin")).count()
+
+    def limits(table: pa.Table) -> pa.Table:
+        low, high = band(table.column("bin").to_numpy(), table.column("count").to_numpy(), width)
+        return pa.table({"its": table.column("lang")[:1].combine_chunks(), "low": [low], "high": [high]})
+
+    bands = bins.groupBy("lang").applyInArrow(limits, "its string, low double, high double")
+    out = scored.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("its")), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     return out.select("doc_id", *FACTS, "base_failed", kept.alias("kept"), "bits", "low", "high")
 

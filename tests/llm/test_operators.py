@@ -136,6 +136,18 @@ def test_quality_learns_from_texts_full_of_symbols(spark):
     assert all(r["bits"] > 1 and r["kept"] for r in found)
 
 
+def test_quality_has_a_model_for_every_language(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(80))
+    rows = [(100 * k + i, text("abcdefghijklmnopqrstuvwxyz"[k : k + 4]), f"l{k:02}" if k else None) for k in range(20) for i in range(7 if k < 15 else 6)]
+    monkeypatch.setattr(quality, "READY", 3)
+    found = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)).collect()
+    assert len(found) == len(rows) and all(r["kept"] for r in found)
+    assert len({(r["low"], r["high"]) for r in found if r["doc_id"] >= 100}) >= 17
+    assert all(len({r["low"] for r in found if r["doc_id"] // 100 == k}) == 1 for k in range(20))
+    assert max(r["bits"] for r in found) < 2.5  # four letters and the space
+
+
 def test_kneser_ney_sums_to_one():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 4000))
     model = quality.Kneser(np.random.default_rng(2).integers(1, 9, len(keys)), keys)
