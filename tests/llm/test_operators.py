@@ -148,6 +148,19 @@ def test_quality_has_a_model_for_every_language(spark, monkeypatch):
     assert max(r["bits"] for r in found) < 2.5  # four letters and the space
 
 
+def test_quality_rejects_beyond_either_band(spark):
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("etaoinshrd") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(200)), "en") for i in range(200)]
+    rows += [(900, "".join(c if rng.random() > 0.25 else rng.choice("qxzjkvw") for c in rows[0][1]), "en")]  # garbled
+    rows += [(901, " ".join("e" * (50 + i) for i in range(60)), "en"), *((910 + i, " ".join("e" * (50 + j) for j in range(60)), "en") for i in range(3))]  # the same sign on and on
+    found = {r["doc_id"]: r for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert all(found[i]["kept"] for i in range(200))
+    assert not found[900]["kept"] and found[900]["bits"] > found[900]["high"]
+    assert not found[901]["kept"] and found[901]["bits"] < found[901]["low"]
+
+
 def test_kneser_ney_sums_to_one():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 4000))
     model = quality.Kneser(np.random.default_rng(2).integers(1, 9, len(keys)), keys)
