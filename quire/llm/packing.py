@@ -10,9 +10,12 @@ says for ranges of ranks within a length where they go; executors look their pie
 
 from __future__ import annotations
 
+import json
+import operator
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from itertools import chain
@@ -23,76 +26,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tables import id_and, ranked, salts, written
+from quire.llm.textbuf import LOWER, Texts, U, packed, runs
 
 WINDOW = 2048
 END = 1
-#: Words, and parts of words, whose ids a worker remembers (some 200 MB and 100 MB).
-CACHE, PARTS_CACHE = 1_000_000, 400_000
-_STATE: dict = {}
+#: Words, and parts of words, whose ids a task remembers: some 25 MB and 50 MB of arrays and names, given back when the task ends.
+CACHE, PARTS_CACHE = 400_000, 300_000
+#: What the shortcut below holds for: this normal form and this way of cutting words into parts (fixed values of the tokenizer's file).
+NORMAL = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of ASCII and Latin-1 letters, whose normal form is their small letters; the parts that the pattern gives of them, one to a line; what else there is.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+|\n")
+ODD = re.compile("[^!-~À-ÖØ-öø-ÿ\n]")
+#: Byte-level names of the bytes of those letters: bytes 127 to 160 are moved to 289 and on.
+NAMES = {b: chr(b + 162) if 127 <= b <= 160 else chr(b) for b in range(33, 256) if b != 173} | {173: chr(323)}
 
 
-def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids, END after each, and where each text's begin.
+def by_words(path: str) -> bool:
+    """Whether the tokenizer of a file drops white space, never looks across it and cuts words by PATTERN."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    form, cuts = (told.get("normalizer") or {}).get("normalizers", []), (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = cuts[0] if len(cuts) == 2 else {}
+    return [x["type"] for x in form] == NORMAL and split.get("pattern") == {"Regex": PATTERN} and cuts[1]["type"] == "ByteLevel" and told["model"]["type"] == "BPE"
 
-    The tokenizer drops white space and never looks across it, so texts are cut at ASCII white space and each
-    different word is encoded once.
-    """
-    if _STATE.get("path") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _STATE.clear()
-        _STATE.update(path=path, tokenizer=tokenizer, bpe=tokenizer.model)
-    if len(_STATE.get("place", {})) > CACHE or "place" not in _STATE:
-        _STATE.update(place={}, flat=np.array([END], np.uint32), start=np.zeros(1, np.int64), size=np.ones(1, np.int64))  # place 0: the end
-    if len(_STATE.setdefault("parts", {})) > PARTS_CACHE:
-        _STATE["parts"] = {}
-    place = _STATE["place"]
-    docs = [(t or "").encode("utf-8").split() for t in texts]
-    words = list(chain.from_iterable(docs))
-    known = list(map(place.get, words))
-    if None in known:
-        new = list({w for w, k in zip(words, known, strict=True) if k is None})
-        rows = [word_ids(w) for w in new]
-        place.update(zip(new, range(len(_STATE["size"]), len(_STATE["size"]) + len(new)), strict=True))
-        size = np.array([len(r) for r in rows])
-        _STATE["start"] = np.concatenate((_STATE["start"], len(_STATE["flat"]) + np.cumsum(size) - size))
-        _STATE["size"] = np.concatenate((_STATE["size"], size))
-        _STATE["flat"] = np.concatenate((_STATE["flat"], np.array([i for r in rows for i in r], np.uint32)))
-        known = list(map(place.__getitem__, words))
-    each = np.array([len(d) for d in docs], np.int64)
-    which = np.insert(np.array(known, np.int64), np.cumsum(each), 0)
-    n = _STATE["size"][which]
-    out = _STATE["flat"][np.repeat(_STATE["start"][which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(each + 1)))]
-    return out, upto
-
-
-#: Words of ASCII and Latin-1 letters, whose normal form is their small letters, and the parts that the tokenizer's own pattern gives of them.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
-#: Byte-level names of the bytes of those letters: bytes 127 to 160 are moved to 289 and on.
-NAMES = {b: chr(b + 162) if 127 <= b <= 160 else chr(b) for b in range(33, 256) if b != 173} | {173: chr(323)}
+ID = operator.attrgetter("id")
+
+
+class Lists:
+    """Many short lists of ids in one array; lists are only added."""
 
+    def __init__(self) -> None:
+        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-def word_ids(word: bytes) -> list[int]:
-    """A word's ids: of plain words, the parts go through the tokenizer's merges, each different part once; of others, the word through all of it."""
-    text = word.decode("utf-8")
-    if text.isalpha() and text.isascii():
-        return part_ids(text.lower())
-    if not PLAIN.fullmatch(text):
-        return _STATE["tokenizer"].encode(text, add_special_tokens=False).ids
-    return list(chain.from_iterable(map(part_ids, PARTS.findall(text.lower()))))
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, flat))
 
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen lists one after the other, and their sizes."""
+        n = self.size[which]
+        return self.flat[np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
-def part_ids(part: str) -> list[int]:
-    ids = _STATE["parts"].get(part)
-    if ids is None:
-        named = part if part.isascii() else "".join(NAMES[b] for b in part.encode("utf-8"))
-        ids = _STATE["parts"][part] = [t.id for t in _STATE["bpe"].tokenize(named)]
-    return ids
+
+class Encoder:
+    """A tokenizer that encodes each different word of a task once; it lives as long as the task."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.words = by_words(path)
+        self.forget()
+        self.forget_parts()
+
+    def forget(self) -> None:
+        """No word is known: a word is known by two 64-bit hashes, sorted by the first, and ``place`` is its list."""
+        self.key, self.check, self.place, self.lists = np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), Lists()
+
+    def forget_parts(self) -> None:
+        self.part_at: dict[str, int] = {"\n": 0}
+        self.parts = Lists()
+        self.parts.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, END after each, and where each text's begin."""
+        if not self.words:
+            raw, at = texts.data.tobytes(), texts.at.tolist()
+            found = [e.ids for e in self.tokenizer.encode_batch([raw[i:j].decode("utf-8") for i, j in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)]
+            size = np.array([len(x) + 1 for x in found], np.int64)
+            return np.fromiter(chain.from_iterable(chain(x, (END,)) for x in found), np.uint32, int(size.sum())), np.concatenate(([0], np.cumsum(size)))
+        texts.words()
+        key = texts.hashed(texts.start, texts.end, lower=True)
+        key, one, which = np.unique(key, return_index=True, return_inverse=True)
+        check = texts.hashed(texts.start[one], texts.end[one], lower=True, second=True)
+        flat, size = self.lists_of(texts, key, check, texts.start[one], texts.end[one])
+        start = np.cumsum(size) - size
+        # END is a word of its own, after all others
+        flat, start, size = np.append(flat, np.uint32(END)), np.append(start, len(flat)), np.append(size, 1)
+        which = np.insert(which, texts.of[1:], len(size) - 1)
+        n = size[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return flat[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])], upto[texts.of + np.arange(texts.n + 1)]
+
+    def lists_of(self, texts: Texts, key: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, given by hashes and places, one word after the other, and how many each has."""
+        if len(self.key) > CACHE:
+            self.forget()
+        at = np.searchsorted(self.key, key)
+        known = np.zeros(len(key), bool)
+        inside = np.flatnonzero(at < len(self.key))
+        known[inside] = self.key[at[inside]] == key[inside]
+        same = np.flatnonzero(known)
+        alike = self.check[at[same]] == check[same]
+        new = np.flatnonzero(~known)
+        place = np.empty(len(key), np.int64)
+        place[same] = self.place[at[same]]
+        again = np.concatenate((new, same[~alike]))  # the latter: another word of the same first hash
+        place[again] = len(self.lists.size) + np.arange(len(again))
+        if len(again):
+            low = LOWER[texts.data].tobytes()
+            self.lists.add(*self.fresh([low[i:j] for i, j in zip(start[again].tolist(), end[again].tolist(), strict=True)]))
+        if len(new):
+            order = np.argsort(np.concatenate((self.key, key[new])), kind="stable")
+            self.key, self.check, self.place = (np.concatenate(x)[order] for x in ((self.key, key[new]), (self.check, check[new]), (self.place, place[new])))
+        return self.lists.take(place)
+
+    def fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words not met before: of plain ones, the parts go through the tokenizer's merges, each different part once; of others, the word through all of it."""
+        lines = b"\n".join(words).decode("utf-8")
+        odd: list[int] = []
+        if ODD.search(lines):
+            each = lines.split("\n")
+            odd = [i for i, w in enumerate(each) if not PLAIN.fullmatch(w)]
+            whole = [self.tokenizer.encode(each[i], add_special_tokens=False).ids for i in odd]
+            for i in odd:
+                each[i] = ""
+            lines = "\n".join(each)
+        if len(self.part_at) > PARTS_CACHE:
+            self.forget_parts()
+        parts = PARTS.findall(lines.lower() + "\n")
+        known = list(map(self.part_at.get, parts))
+        if None in known:
+            different = list({p for p, k in zip(parts, known, strict=True) if k is None})
+            named = [p if p.isascii() else "".join(map(NAMES.__getitem__, p.encode("utf-8"))) for p in different]
+            ids = [array("I", map(ID, tokens)) for tokens in map(self.tokenizer.model.tokenize, named)]  # arrays are no work for the collector
+            self.part_at.update(zip(different, range(len(self.parts.size), len(self.parts.size) + len(different)), strict=True))
+            self.parts.add(np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+            known = list(map(self.part_at.__getitem__, parts))
+        which = np.array(known, np.int64)
+        flat, n = self.parts.take(which)
+        upto = np.concatenate(([0], np.cumsum(n)[which == 0]))  # place 0 ends a word
+        size = np.diff(upto)
+        if odd:
+            pieces, done = [], 0
+            for i, ids in zip(odd, whole, strict=True):
+                pieces += [flat[done : upto[i]], np.array(ids, np.uint32)]
+                done, size[i] = upto[i], len(ids)
+            flat = np.concatenate([*pieces, flat[done:]])
+        return flat, size
 
 
 def fill(count: dict[int, int], lengths: list[int], capacity: int) -> dict[int, int]:
@@ -194,14 +271,14 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     docs = id_and(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
+    width = np.dtype("<u2" if vocabulary_size(tokenizer) <= 1 << 16 else "<u4")
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids, at = encode(part.column(1).to_pylist(), tokenizer)
-                raw = ids.astype("<u2")  # the vocabulary has fewer than 65,536 ids
-                each = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((at * 2).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), each], names=["doc_id", "n", "raw"])
+            for part, texts in runs(batch):
+                ids, at = encoder.encode(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), packed(ids.astype(width), at)], names=["doc_id", "n", "raw"])
 
     coded = docs.mapInArrow(tokens, "doc_id long, n long, raw binary").withColumn("rid", F.monotonically_increasing_id())
     coded = written(coded, "packing-ids")
@@ -240,7 +317,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 pieces = lists.flatten()
                 start, length = pieces.field(0).to_numpy(), pieces.field(1).to_numpy()
-                raw = [np.frombuffer(x, "<u2").astype("<u4") for x in part.column(2).to_pylist()]
+                raw = [np.frombuffer(x, width).astype("<u4") for x in part.column(2).to_pylist()]
                 ids = [raw[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
                 at = pa.array(doc)
                 crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
@@ -250,6 +327,12 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     return met.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

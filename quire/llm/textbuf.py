@@ -33,6 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=U) * P)
+BYTE_2 = mix(np.arange(257, 513, dtype=U) * P)
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,11 +69,13 @@ class Texts:
         self.n_words = np.diff(self.of)
         return self
 
-    def hashed(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each byte span."""
+    def hashed(self, start: np.ndarray, end: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each byte span; ``second``: another one."""
         up, down = powers(len(self.data) + 1)
         rolled = np.zeros(len(self.data) + 1, U)
-        np.cumsum(BYTE[LOWER[self.data] if lower else self.data] * up[: len(self.data)], out=rolled[1:])
+        table = BYTE_2 if second else BYTE
+        table = table[LOWER] if lower else table
+        np.cumsum(table[self.data] * up[: len(self.data)], out=rolled[1:])
         return mix((rolled[end] - rolled[start]) * down[start] + (end - start).astype(U))
 
     def doc_of_word(self) -> np.ndarray:
