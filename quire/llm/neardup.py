@@ -1,26 +1,29 @@
 """Near-duplicate detection by chosen-path set similarity join (operator 1).
 
-Documents with equal shingle sets form one class; the join runs over classes. Each set is embedded as TOKENS minwise
-tokens, so that two sets agree in a token with probability equal to their Jaccard similarity. Every one of TREES
-independent trees starts with all classes at its root; a node picks each token position with probability
-1 / (similarity * TOKENS), by a hash of its own path, and its members go on to one child for each picked
-position, named by the token they have there. Which paths a class takes thus depends on its own tokens only.
-
-Nodes are small when they hold at most SMALL classes. All nodes' members are first checked against two pivots of
-their node, on full sets: linear work, which joins groups of copies of any size. Pairs of a small node that these
-links have not joined yet are then compared exhaustively; larger nodes with unjoined members branch on, and what
-is still large at the last level is compared in blocks, so no pair is given up. A pair at the threshold of 0.75
-stays together through a level with probability 0.83 or more, so 12 trees miss it with odds of 1e-9 if its nodes
-are small, and of 4e-5 if all of them are large down to the last level.
-
-Links are confirmed by the exact sizes of intersection and union; components are found by alternating
-large-star and small-star steps on written tables.
+Documents with equal shingle sets form one class; the join runs over classes. Each of TREES trees has POOL minwise
+functions of its own, so the trees are independent, and two sets agree in a token with probability equal to their Jaccard
+similarity. At every node a path picks each position of its tree with probability 1 / (similarity * POOL), by a hash
+of the path, and goes on to one child for each picked position, named by the token that the set has there. Which paths a
+class takes thus depends on its own tokens only, and a task follows them over several levels without a shuffle.
+
+All classes take the picks of the roots. The members of each node met there are checked against two pivots, on full
+sets: linear work, which joins groups of copies of any size. Nodes that these links leave in several
+components are open: those of at most SMALL members are compared exhaustively; the members of larger ones
+follow their paths down by one level for each doubling of the node over SMALL, and the children are compared; what is still
+large there is compared in blocks, so no pair is given up. A pair at the threshold of 0.75 is together in 12 of the
+16 nodes at the roots on average, so it misses all of them with odds of 2e-10, and, if all these nodes are large
+and three levels follow, with odds of some 2e-5.
+
+A comparison first looks at all TOKENS tokens of both, and only pairs with COMMON equal ones are candidates. A node
+then names a maximum spanning forest of its candidates between different components, for confirmation on full sets by
+the exact sizes of intersection and union. What these links don't join is looked at again: the FEW best candidates
+of each pair of components, and at last all candidates whose components still differ. Components are found by
+alternating large-star and small-star steps on written tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,14 @@ from pyspark.sql import functions as F
 from quire.llm.tables import id_and, may_contain, membership, written
 from quire.llm.textbuf import U, mix, packed, runs, sums, window_starts, windows
 
-SHINGLE, TOKENS, TREES, SMALL, DEPTH = 5, 64, 12, 48, 4
-#: Further minwise values, of which only a byte is kept: with the tokens they estimate a pair's similarity.
-BYTES = 128
-WIDE = 4 * TOKENS + BYTES
-#: Tokens and bytes that a pair at the threshold has in common at least, but for odds of 3e-7 (the mean is 144 of 192, the deviation 6).
-COMMON = 114
-#: Members of a block of a node that stays large.
-BLOCK = 256
+SHINGLE, TREES, POOL, SMALL = 5, 12, 16, 256
+TOKENS = TREES * POOL
+#: A token is kept in 16 bits; the nodes at the roots are named by all 64 bits of the value.
+WIDE = 2 * TOKENS
+#: Tokens that a pair at the threshold has in common at least, but for odds of 7e-6 (the mean is 144 of 192, the deviation 6).
+COMMON = 118
+#: Members of a block of a node that stays large, and candidates of a pair of components in the second look.
+BLOCK, FEW = 1024, 8
 
 
 def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -65,30 +68,42 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(texts.n + 1))
 
 
-SEEDS = mix(np.arange(1, TOKENS + BYTES + 1, dtype=U) * U(0xA24BAED4963EE407))
+SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U) * U(0xA24BAED4963EE407))
 
 
-def minwise(grams: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """WIDE bytes for each set: TOKENS 32-bit minwise tokens, then BYTES bytes of further ones (those of empty sets mean nothing)."""
+def picks(path: np.ndarray, used: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of its tree's POOL positions each path picks (rows): every one not yet ``used`` with odds 1 / (similarity * POOL), at least one."""
+    draw = mix(path[:, None] ^ SEEDS[None, :POOL] * U(0xF1357AEA2E62A9C5))
+    draw[used] = U((1 << 64) - 1)
+    chosen = draw < U(int(2**64 / (similarity * POOL)))
+    none = ~chosen.any(1)
+    chosen[none, draw[none].argmin(1)] = True
+    return chosen
+
+
+def root_picks(similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tree, position) of the picks of all roots."""
+    return np.nonzero(picks(mix(np.arange(1, TREES + 1, dtype=U)), np.zeros((TREES, POOL), bool), similarity))
+
+
+def minwise(grams: np.ndarray, of: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The TOKENS tokens of each set, and the nodes it meets at the roots (those of empty sets mean nothing)."""
     full = np.flatnonzero(np.diff(of))
-    tokens, more = np.zeros((len(of) - 1, TOKENS), "<u4"), np.zeros((len(of) - 1, BYTES), np.uint8)
+    tree, position = root_picks(similarity)
+    place = {k: r for r, k in enumerate((tree * POOL + position).tolist())}
+    tokens, nodes = np.zeros((len(of) - 1, TOKENS), "<u2"), np.zeros((len(of) - 1, len(place)), np.int64)
     if len(full):
-        for k in range(TOKENS + BYTES):
-            least = mix(np.minimum.reduceat((grams ^ SEEDS[k]) * U(0x9FB21C651E98DF25), of[full])) >> U(32)
-            if k < TOKENS:
-                tokens[full, k] = least
-            else:
-                more[full, k - TOKENS] = least & U(255)
-    return np.concatenate((tokens.view(np.uint8), more), 1)
+        for k in range(TOKENS):
+            least = mix(np.minimum.reduceat((grams ^ SEEDS[k]) * U(0x9FB21C651E98DF25), of[full]))
+            tokens[full, k] = least >> U(48)
+            if k in place:
+                nodes[full, place[k]] = mix(least + U(k) * U(0x8CB92BA72F3D8DD7)).view(np.int64)
+    return tokens, nodes
 
 
 def unpacked(tokens: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """[n, TOKENS + BYTES]: the numbers that are compared."""
-    raw = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8).reshape(-1, WIDE)
-    out = np.empty((len(raw), TOKENS + BYTES), np.uint32)
-    out[:, :TOKENS] = np.ascontiguousarray(raw[:, : 4 * TOKENS]).view("<u4")
-    out[:, TOKENS:] = raw[:, 4 * TOKENS :]
-    return out
+    """[n, TOKENS]."""
+    return np.frombuffer(b"".join(tokens.to_pylist()), "<u2").reshape(-1, TOKENS)
 
 
 def digests(grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,23 +111,26 @@ def digests(grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums(mix(grams), of).view(np.int64), sums(mix(grams * U(0xD1342543DE82EF95) + U(1)), of).view(np.int64)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, tokens): a set's size, a 128-bit digest of it and its minwise tokens."""
+def sketch(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, tokens, nodes): a set's size, a 128-bit digest of it, its minwise tokens and its nodes at the roots."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in runs(batch):
                 grams, of = shingle_sets(texts)
-                tokens = minwise(grams, of)
+                tokens, nodes = minwise(grams, of, similarity)
                 d1, d2 = digests(grams, of)
-                at = np.arange(texts.n + 1) * WIDE
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(of)), pa.array(d1), pa.array(d2), packed(tokens.reshape(-1), at)], names=["doc_id", "n_shingles", "d1", "d2", "tokens"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1) * nodes.shape[1], pa.int32()), pa.array(nodes.reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(of)), pa.array(d1), pa.array(d2), packed(tokens.reshape(-1), np.arange(texts.n + 1) * TOKENS), lists],
+                    names=["doc_id", "n_shingles", "d1", "d2", "tokens", "nodes"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, d1 long, d2 long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, d1 long, d2 long, tokens binary, nodes array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(cls, shingles): a set's class and its sorted shingle hashes, packed."""
+    """(d1, d2, shingles): a set's digest and its sorted shingle hashes, packed."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,38 +138,32 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 grams, of = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([*(pa.array(d) for d in digests(grams, of)), packed(grams, of)], names=["d1", "d2", "shingles"])
 
-    found = docs.select("text").mapInArrow(each, "d1 long, d2 long, shingles binary")
-    return found.select(F.xxhash64("d1", "d2").alias("cls"), "shingles")
+    return docs.select("text").mapInArrow(each, "d1 long, d2 long, shingles binary")
 
 
-def picks(path: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the TOKENS positions each node picks (rows): every one with odds 1 / (similarity * TOKENS), at least one."""
-    draw = mix(path[:, None] ^ SEEDS[None, :TOKENS] * U(0xF1357AEA2E62A9C5))
-    chosen = draw < U(int(2**64 / (similarity * TOKENS)))
-    none = ~chosen.any(1)
-    chosen[none, draw[none].argmin(1)] = True
-    return chosen
-
-
-def branch(members: DataFrame, similarity: float, roots: bool) -> DataFrame:
-    """(node, cls): the children that each (node, cls) goes on to; from the roots of all trees if ``roots``."""
+def branch(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, r, cls): the nodes ``levels`` below its own that each (node, r, cls, tokens, levels) goes down to; ``r``: the pick at the root."""
+    tree_of, position_of = root_picks(similarity)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = np.nonzero(picks(mix(np.arange(1, TREES + 1, dtype=U)), similarity)) if roots else None
         for batch in batches:
-            tokens = unpacked(batch.column(0))
-            if roots:
-                row = np.repeat(np.arange(len(tokens)), len(start[0]))
-                tree, k = (np.tile(x, len(tokens)) for x in start)
-                path = mix(tree.astype(U) + U(1))
-            else:
-                path = batch.column(2).to_numpy(zero_copy_only=False).view(U)
-                row, k = np.nonzero(picks(path, similarity))
-                path = path[row]
-            node = mix(path * U(0x8CB92BA72F3D8DD7) + tokens[row, k].astype(U) + (k.astype(U) << U(40)))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1).take(pa.array(row))], names=["node", "cls"])
-
-    return members.select("tokens", "cls", *([] if roots else ["node"])).mapInArrow(each, "node long, cls long")
+            tokens = unpacked(batch.column(0)).reshape(-1, TREES, POOL)
+            path, r, levels = batch.column(1).to_numpy().view(U), batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            row, used = np.arange(len(path)), np.arange(POOL)[None, :] == position_of[r][:, None]
+            level = 0
+            while len(row):
+                ends = levels[row] == level
+                if ends.any():
+                    at = row[ends]
+                    yield pa.RecordBatch.from_arrays([pa.array(path[ends].view(np.int64)), pa.array(r[at]), batch.column(3).take(pa.array(at))], names=["node", "r", "cls"])
+                path, row, used = path[~ends], row[~ends], used[~ends]
+                i, k = np.nonzero(picks(path, used, similarity))
+                row, used = row[i], used[i]
+                used[np.arange(len(k)), k] = True
+                path = mix(path[i] * U(0x8CB92BA72F3D8DD7) + tokens[row, tree_of[r[row]], k].astype(U) + (k.astype(U) << U(40)))
+                level += 1
+
+    return members.select("tokens", "node", "r", "cls", "levels").mapInArrow(each, "node long, r int, cls long")
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -223,23 +235,72 @@ def pairs_within(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(left) - left, left)
 
 
-def small_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each small node whose roots differ and whose tokens agree often enough; a node's rows meet sorted in one task."""
+def forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the edges (i, j) of a maximum spanning forest over the labels of their ends: each label takes its heaviest edge out, and joined labels go on as one."""
+    label, chosen = label.copy(), [np.empty(0, np.int64)]
+    left = np.argsort(-weight, kind="stable")
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            return np.unique(np.concatenate(chosen))
+        names, first = np.unique(np.stack((a, b), 1).reshape(-1), return_index=True)
+        edge = first // 2
+        chosen.append(left[edge])
+        to = np.arange(label.max() + 1)
+        to[names] = a[edge] + b[edge] - names
+        mutual = names[(to[to[names]] == names) & (names < to[names])]
+        to[mutual] = mutual
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def labels(node: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """A number from 0 for each different (node, root)."""
+    order = np.lexsort((root, node))
+    new = (node[order][1:] != node[order][:-1]) | (root[order][1:] != root[order][:-1])
+    out = np.empty(len(node), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(new)))
+    return out
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
 
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            node, cls, root = (t.column(c).to_numpy() for c in ("node", "cls", "root"))
-            tokens = unpacked(t.column("tokens"))
-            of = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
-            i, j = pairs_within(of)
-            open_ = root[i] != root[j]
-            i, j = i[open_], j[open_]
-            good = np.concatenate([np.empty(0, bool), *((tokens[i[k : k + 50_000]] == tokens[j[k : k + 50_000]]).sum(1) >= COMMON for k in range(0, len(i), 50_000))])
-            a, b = cls[i[good]], cls[j[good]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def chosen(i: np.ndarray, j: np.ndarray, agree: np.ndarray, label: np.ndarray, look: str) -> np.ndarray:
+    """Which of the candidates (i, j) are confirmed in this look: those of a forest, the FEW best of each pair of components, or all."""
+    if look == "forest":
+        return forest(i, j, agree, label)
+    if look == "all" or not len(i):
+        return np.arange(len(i))
+    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    order = np.lexsort((-agree, high, low))
+    new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[nth < FEW]
+
+
+def candidates(i: np.ndarray, j: np.ndarray, root: np.ndarray, size: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (i, j) of different components whose sizes allow the similarity and whose tokens agree often enough, and how many agree."""
+    fits = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+    i, j = i[fits], j[fits]
+    agree = np.concatenate([np.empty(0, np.int64), *((tokens[i[k : k + 20_000]] == tokens[j[k : k + 20_000]]).sum(1) for k in range(0, len(i), 20_000))])
+    good = agree >= COMMON
+    return i[good], j[good], agree[good]
+
 
+def small_pairs(members: DataFrame, percent: int, look: str) -> DataFrame:
+    """(a, b): what each small node has to confirm; a node's rows meet sorted in one task."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        node, cls, root, size = (t.column(c).to_numpy() for c in ("node", "cls", "root", "n_shingles"))
+        of = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
+        i, j, agree = candidates(*pairs_within(of), root, size, unpacked(t.column("tokens")), percent)
+        few = chosen(i, j, agree, labels(node, root), look)
+        a, b = cls[i[few]], cls[j[few]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -253,25 +314,25 @@ def small_pairs(members: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield pairs(rest)
 
-    dealt = members.select("node", "cls", "root", "tokens").repartition("node").sortWithinPartitions("node")
+    dealt = members.select("node", "cls", "root", "n_shingles", "tokens").repartition("node").sortWithinPartitions("node")
     return dealt.mapInArrow(each, "a long, b long")
 
 
-def large_pairs(members: DataFrame) -> DataFrame:
-    """As ``small_pairs`` for nodes of any size. Members that the node's most frequent root has joined need no look at each other:
+def large_pairs(members: DataFrame, percent: int, look: str) -> DataFrame:
+    """As ``small_pairs`` for nodes of any size. Members that the node's most frequent component holds need no look at each other:
     only the others, in parts, visit all members, in blocks; a part and a block are a task's group."""
 
     def compare(table: pa.Table) -> pa.Table:
-        cls, root, visits, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "root", "visits", "other"))
+        node, cls, root, size, visits, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "cls", "root", "n_shingles", "visits", "other"))
         tokens = unpacked(table.column("tokens"))
-        home = np.flatnonzero(~visits)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in np.flatnonzero(visits):
-            j = home[(root[home] != root[i]) & (~other[home] | (cls[home] > cls[i]))]
-            j = j[(tokens[j] == tokens[i]).sum(1) >= COMMON]
-            a.append(np.minimum(cls[i], cls[j]))
-            b.append(np.maximum(cls[i], cls[j]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        home, found = np.flatnonzero(~visits), []
+        for v in np.flatnonzero(visits):
+            j = home[~other[home] | (cls[home] > cls[v])]
+            found.append(candidates(np.full(len(j), v), j, root, size, tokens, percent))
+        i, j, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        few = chosen(i, j, agree, labels(node, root), look)
+        a, b = cls[i[few]], cls[j[few]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     of_root = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     node = of_root.groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
@@ -279,11 +340,19 @@ def large_pairs(members: DataFrame) -> DataFrame:
     node = node.select("node", F.col("top.root").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("top.n")).alias("parts"))
     dealt = members.join(node, "node").withColumn("other", F.col("root") != F.col("main")).withColumn("draw", F.xxhash64("cls"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    home = dealt.select("node", "cls", "root", "tokens", "other", F.lit(False).alias("visits"), F.pmod("draw", "blocks").alias("block"), upto("parts").alias("part"))
-    away = dealt.where("other").select("node", "cls", "root", "tokens", "other", F.lit(True).alias("visits"), upto("blocks").alias("block"), F.pmod("draw", "parts").alias("part"))
+    kept = ["node", "cls", "root", "n_shingles", "tokens", "other"]
+    home = dealt.select(*kept, F.lit(False).alias("visits"), F.pmod("draw", "blocks").alias("block"), upto("parts").alias("part"))
+    away = dealt.where("other").select(*kept, F.lit(True).alias("visits"), upto("blocks").alias("block"), F.pmod("draw", "parts").alias("part"))
     return home.unionByName(away).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long")
 
 
+def opened(level: DataFrame, root: DataFrame) -> DataFrame:
+    """The (node, r, cls, ...) whose nodes hold two components or more, with each class's component as ``root`` and the node's size."""
+    level = level.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    of = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return level.join(of.select("node", "size"), "node")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Each document's set size and near-duplicate component.
 
@@ -291,74 +360,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     or more between 5-word shingle sets, itself included) and kept (doc_id = component_id).
 
     Texts are lower-cased in A-Z only; fewer than five words are one shingle. Null, empty and blank texts have
-    empty sets, are linked with nothing and kept. Equal sets are always linked. Repeated doc_ids are separate
+    empty sets, are linked with nothing and kept. Very long texts are handled whole, each in a run of its own.
+    Equal sets are always linked. Repeated doc_ids are separate
     rows of one id; rows without doc_id have no part in a component's id and, with no other row in theirs, a null
     component_id; they are never kept. Empty table: no rows. Other columns are not looked at.
     """
     similarity = percent / 100
     docs = id_and(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(sketch(docs), "neardup-sketch")
+    rows = written(sketch(docs, similarity), "neardup-sketch")
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
-    classes = written(classes.select(F.xxhash64("d1", "d2").alias("cls"), "least", "n_shingles", "tokens"), "neardup-classes")
-    tokens = classes.select("cls", "tokens")
-
-    def branched(members: DataFrame, roots: bool) -> DataFrame:
-        """(node, cls, size) of the children with two classes or more."""
-        children = branch(members, similarity, roots)
-        children = written(children if roots else children.distinct(), "neardup-children")
-        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return written(children.join(sizes, "node"), "neardup-level")
-
-    level = branched(classes, True)
+    first = [F.first(c).alias(c) for c in ("n_shingles", "tokens", "nodes")]
+    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), *first)
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "neardup-classes")
+    tokens = classes.select("cls", "n_shingles", "tokens")
     # two pivots a node: one drawn by a hash, and the earliest document, as an original stands nearer to its copies than they to each other
-    known = level.join(classes.select("cls", "least"), "cls")
+    members = classes.select("cls", "least", F.posexplode("nodes").alias("r", "node"))
     drawn = F.min(F.struct(F.xxhash64("node", "cls").alias("draw"), "cls"))["cls"]
     earliest = F.min(F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("order"), "cls"))["cls"]
-    pivots = known.groupBy("node").agg(F.array_distinct(F.array(drawn, earliest)).alias("pivots"))
-    tried = level.join(pivots, "node").select("cls", F.explode("pivots").alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    pivots = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(drawn, earliest)).alias("pivots")).where("n > 1").drop("n")
+    members = members.drop("least")
+    tried = members.join(pivots, "node").select("cls", F.explode("pivots").alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     likely = written(alike(tried, classes, percent), "neardup-likely")
     root = components(confirm(likely, full_sets(docs, classes, likely), percent), "neardup")
-    # nodes that the pivots' links leave in several components branch on until they are small
-    pairs = []
-    for depth in range(1, DEPTH + 1):
-        level = level.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        unjoined = level.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-        level = written(level.join(unjoined, "node", "left_semi").join(tokens, "cls"), "neardup-open")
-        large = level.where(F.col("size") > SMALL)
-        pairs.append(small_pairs(level.where(F.col("size") <= SMALL)))
-        if depth == DEPTH:
-            pairs.append(large_pairs(large))
-        elif large.isEmpty():
+    met = opened(members, root)
+    levels = F.least(F.lit(POOL - 1), F.ceil(F.log2(F.col("size") / SMALL))).cast("int").alias("levels")
+    below = branch(met.where(F.col("size") > SMALL).join(tokens, "cls").select("*", levels), similarity)
+    level = met.where(F.col("size") <= SMALL).select("node", "r", "cls").unionByName(opened(below, root).select("node", "r", "cls"))
+    level = written(level.join(tokens, "cls"), "neardup-open")
+    for look in ("forest", "few", "all"):
+        now = opened(level, root)
+        pairs = small_pairs(now.where(F.col("size") <= SMALL), percent, look).unionByName(large_pairs(now.where(F.col("size") > SMALL), percent, look))
+        pairs = written(pairs.distinct(), "neardup-pairs")
+        if pairs.isEmpty():
             break
-        else:
-            level = branched(large, False)
-    more = written(reduce(DataFrame.unionByName, pairs).distinct(), "neardup-pairs")
-    more = written(alike(more, classes, percent), "neardup-likely")
-    joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
-    links = joined.unionByName(confirm(more, full_sets(docs, classes, more), percent))
-    root = components(links, "neardup")
-    names = classes.select("cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+        root = components(joined.unionByName(confirm(pairs, full_sets(docs, classes, pairs), percent)), "neardup")
+    names = classes.select("d1", "d2", "cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = names.join(least, "root").select(F.col("cls"), "component_id")
-    out = rows.withColumn("cls", F.when(F.col("n_shingles") > 0, F.xxhash64("d1", "d2"))).drop("tokens").join(names, "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    names = names.join(least, "root").select("d1", "d2", "component_id")
+    out = some.select("doc_id", "n_shingles", "d1", "d2").join(names, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
+    # rows without words take no part in the join, however many they are
+    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cls, shingles) of the classes in ``pairs``, from one document of each."""
     named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    bearers = classes.join(named, "cls", "left_semi").select(F.xxhash64(F.coalesce("least", F.lit(0))).alias("uid")).distinct()
-    bearers = written(bearers, "neardup-bearers")
+    uid = lambda c: F.xxhash64(F.coalesce(c, F.lit(0)))
+    named = written(classes.join(named, "cls", "left_semi").select("cls", "d1", "d2", uid("least").alias("uid")), "neardup-named")
+    bearers = named.select("uid").distinct()
     table = membership(bearers, "uid")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(may_contain(table.value, batch.column(0).to_numpy())))
 
-    likely = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(0))).alias("uid"), "text").mapInArrow(passing, "uid long, text string")
-    sets = sets_of(likely.join(bearers, "uid", "left_semi")).join(named, "cls", "left_semi")
+    likely = docs.select(uid("doc_id").alias("uid"), "text").mapInArrow(passing, "uid long, text string")
+    sets = sets_of(likely.join(bearers, "uid", "left_semi")).join(named.select("d1", "d2", "cls"), ["d1", "d2"])
     return written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "neardup-sets")
 
 
