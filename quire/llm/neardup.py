@@ -16,9 +16,10 @@ and three levels follow, with odds of some 2e-5.
 
 A comparison first looks at all TOKENS tokens of both, and only pairs with COMMON equal ones are candidates. A node
 then names a maximum spanning forest of its candidates between different components, for confirmation on full sets by
-the exact sizes of intersection and union. What these links don't join is looked at again: the FEW best candidates
-of each pair of components, and at last all candidates whose components still differ. Components are found by
-alternating large-star and small-star steps on written tables.
+the exact sizes of intersection and union. Where these links leave components apart that have more candidates, the
+members in question meet once more with their full sets, a set once a node instead of once a pair, and every candidate
+between different components is confirmed in its node. Components are found by alternating large-star and small-star
+steps on written tables.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ TOKENS = TREES * POOL
 WIDE = 2 * TOKENS
 #: Tokens that a pair at the threshold has in common at least, but for odds of 7e-6 (the mean is 144 of 192, the deviation 6).
 COMMON = 118
-#: Members of a block of a node that stays large, and candidates of a pair of components in the second look.
-BLOCK, FEW = 1024, 8
+#: Members of a block of a node that stays large, in the first look and in the second, where they come with their sets.
+BLOCK, BLOCK_SETS = 1024, 256
 
 
 def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -266,19 +267,6 @@ def labels(node: np.ndarray, root: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(i: np.ndarray, j: np.ndarray, agree: np.ndarray, label: np.ndarray, look: str) -> np.ndarray:
-    """Which of the candidates (i, j) are confirmed in this look: those of a forest, the FEW best of each pair of components, or all."""
-    if look == "forest":
-        return forest(i, j, agree, label)
-    if look == "all" or not len(i):
-        return np.arange(len(i))
-    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-    order = np.lexsort((-agree, high, low))
-    new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
-    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order[nth < FEW]
-
-
 def candidates(i: np.ndarray, j: np.ndarray, root: np.ndarray, size: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs (i, j) of different components whose sizes allow the similarity and whose tokens agree often enough, and how many agree."""
     fits = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
@@ -288,16 +276,60 @@ def candidates(i: np.ndarray, j: np.ndarray, root: np.ndarray, size: np.ndarray,
     return i[good], j[good], agree[good]
 
 
-def small_pairs(members: DataFrame, percent: int, look: str) -> DataFrame:
-    """(a, b): what each small node has to confirm; a node's rows meet sorted in one task."""
+def first_meeting(i: np.ndarray, j: np.ndarray, r: np.ndarray, mask: np.ndarray, tokens: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Whether this is the first of the small nodes at the roots that i and j share, or, below a large one, whether they share none."""
+    shared = (tokens[i][:, roots] == tokens[j][:, roots]) & ((mask[i] & mask[j])[:, None] >> np.arange(len(roots)) & 1 > 0)
+    return np.where(shared.any(1), shared.argmax(1) == r[i], True)
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        node, cls, root, size = (t.column(c).to_numpy() for c in ("node", "cls", "root", "n_shingles"))
+
+def linked(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the pairs have 100 * intersection >= percent * union."""
+    out = np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else []:
+        mine, others = sets[i[some[0]]], [sets[k] for k in j[some]]
+        size = np.array([len(x) for x in others])
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size) - size)
+        out[some] = 100 * both >= percent * (len(mine) + size - both)
+    return out
+
+
+FOUND = "a long, b long, node long"
+
+
+def look(table: pa.Table, i: np.ndarray, j: np.ndarray, percent: int) -> pa.Table:
+    """What pairs (i, j) of the rows give, as FOUND. Without sets: (a, b) of a forest of candidates, and (a, null, node) for who has other ones. With sets: the
+    links of a forest of all that are confirmed."""
+    node, cls, root, size = (table.column(c).to_numpy() for c in ("node", "cls", "root", "n_shingles"))
+    tokens = unpacked(table.column("tokens"))
+    i, j, agree = candidates(i, j, root, size, tokens, percent)
+    if "shingles" in table.column_names:
+        tree, position = root_picks(percent / 100)
+        new = first_meeting(i, j, table.column("r").to_numpy(), table.column("mask").to_numpy(), tokens, tree * POOL + position)
+        i, j, agree = i[new], j[new], agree[new]
+        good = linked(i, j, [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], percent)
+        i, j, agree = i[good], j[good], agree[good]
+    few = forest(i, j, agree, labels(node, root))
+    more = np.empty(0, np.int64)
+    if "shingles" not in table.column_names:
+        rest = np.ones(len(i), bool)
+        rest[few] = False
+        more = np.unique(np.concatenate((i[rest], j[rest])))
+    a, b = cls[i[few]], cls[j[few]]
+    none = pa.nulls(len(few), pa.int64())
+    pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "node": none})
+    return pa.concat_tables([pairs, pa.table({"a": cls[more], "b": pa.nulls(len(more), pa.int64()), "node": node[more]})])
+
+
+def in_small(members: DataFrame, percent: int) -> DataFrame:
+    """FOUND of small nodes, each compared whole; a node's rows meet sorted in one task."""
+
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        node = t.column("node").to_numpy()
         of = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
-        i, j, agree = candidates(*pairs_within(of), root, size, unpacked(t.column("tokens")), percent)
-        few = chosen(i, j, agree, labels(node, root), look)
-        a, b = cls[i[few]], cls[j[few]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield from look(t, *pairs_within(of), percent).combine_chunks().to_batches()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -310,40 +342,34 @@ def small_pairs(members: DataFrame, percent: int, look: str) -> DataFrame:
             cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
             rest = now.slice(cut)
             if cut:
-                yield pairs(now.slice(0, cut))
+                yield from whole(now.slice(0, cut))
         if rest is not None and rest.num_rows:
-            yield pairs(rest)
+            yield from whole(rest)
 
-    dealt = members.select("node", "cls", "root", "n_shingles", "tokens").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(each, "a long, b long")
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(each, FOUND)
 
 
-def large_pairs(members: DataFrame, percent: int, look: str) -> DataFrame:
-    """As ``small_pairs`` for nodes of any size. Members that the node's most frequent component holds need no look at each other:
+def in_large(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """FOUND of nodes of any size. Members that the node's most frequent component holds need no look at each other:
     only the others, in parts, visit all members, in blocks; a part and a block are a task's group."""
 
     def compare(table: pa.Table) -> pa.Table:
-        node, cls, root, size, visits, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "cls", "root", "n_shingles", "visits", "other"))
-        tokens = unpacked(table.column("tokens"))
-        home, found = np.flatnonzero(~visits), []
-        for v in np.flatnonzero(visits):
-            j = home[~other[home] | (cls[home] > cls[v])]
-            found.append(candidates(np.full(len(j), v), j, root, size, tokens, percent))
-        i, j, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        few = chosen(i, j, agree, labels(node, root), look)
-        a, b = cls[i[few]], cls[j[few]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        cls, visits, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "visits", "other"))
+        visitors, home = np.flatnonzero(visits), np.flatnonzero(~visits)
+        i, j = np.repeat(visitors, len(home)), np.tile(home, len(visitors))
+        once = ~other[j] | (cls[j] > cls[i])  # two visitors meet twice
+        return look(table, i[once], j[once], percent)
 
     of_root = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     node = of_root.groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("long")
     node = node.select("node", F.col("top.root").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("top.n")).alias("parts"))
     dealt = members.join(node, "node").withColumn("other", F.col("root") != F.col("main")).withColumn("draw", F.xxhash64("cls"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ["node", "cls", "root", "n_shingles", "tokens", "other"]
+    kept = [*members.columns, "other"]
     home = dealt.select(*kept, F.lit(False).alias("visits"), F.pmod("draw", "blocks").alias("block"), upto("parts").alias("part"))
     away = dealt.where("other").select(*kept, F.lit(True).alias("visits"), upto("blocks").alias("block"), F.pmod("draw", "parts").alias("part"))
-    return home.unionByName(away).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long")
+    return home.unionByName(away).groupBy("node", "block", "part").applyInArrow(compare, FOUND)
 
 
 def opened(level: DataFrame, root: DataFrame) -> DataFrame:
@@ -385,16 +411,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     met = opened(members, root)
     levels = F.least(F.lit(POOL - 1), F.ceil(F.log2(F.col("size") / SMALL))).cast("int").alias("levels")
     below = branch(met.where(F.col("size") > SMALL).join(tokens, "cls").select("*", levels), similarity)
-    level = met.where(F.col("size") <= SMALL).select("node", "r", "cls").unionByName(opened(below, root).select("node", "r", "cls"))
-    level = written(level.join(tokens, "cls"), "neardup-open")
-    for look in ("forest", "few", "all"):
-        now = opened(level, root)
-        pairs = small_pairs(now.where(F.col("size") <= SMALL), percent, look).unionByName(large_pairs(now.where(F.col("size") > SMALL), percent, look))
-        pairs = written(pairs.distinct(), "neardup-pairs")
-        if pairs.isEmpty():
-            break
-        joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
-        root = components(joined.unionByName(confirm(pairs, full_sets(docs, classes, pairs), percent)), "neardup")
+    small = met.where(F.col("size") <= SMALL)
+    level = small.drop("root").unionByName(opened(below, root).drop("root"))
+    # in which picks of the roots a class is in a small node
+    masks = small.groupBy("cls").agg(F.sum(F.expr("shiftleft(1L, r)")).alias("mask"))
+    level = written(level.join(masks, "cls", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))), "neardup-open")
+    first = opened(level.drop("size"), root).join(tokens, "cls").select("node", "cls", "root", "n_shingles", "tokens", "size")
+    found = in_small(first.where(F.col("size") <= SMALL), percent).unionByName(in_large(first.where(F.col("size") > SMALL), percent, BLOCK))
+    found = written(found.distinct(), "neardup-found")
+    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+    joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    root = components(joined.unionByName(confirm(pairs, full_sets(docs, classes, pairs), percent)), "neardup")
+    # those with candidates that no link has joined meet with their sets
+    more = found.where("b IS NULL").select(F.col("a").alias("cls"), "node")
+    again = written(opened(level.drop("size").join(more, ["node", "cls"], "left_semi"), root), "neardup-again")
+    sets = full_sets(docs, classes, again.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    second = again.join(tokens, "cls").join(sets, "cls").select("node", "cls", "root", "n_shingles", "tokens", "size", "r", "mask", "shingles")
+    links = in_small(second.where(F.col("size") <= SMALL), percent).unionByName(in_large(second.where(F.col("size") > SMALL), percent, BLOCK_SETS))
+    joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    root = components(joined.unionByName(written(links.select("a", "b").distinct(), "neardup-links")), "neardup")
     names = classes.select("d1", "d2", "cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = names.groupBy("root").agg(F.min("least").alias("component_id"))
     names = names.join(least, "root").select("d1", "d2", "component_id")
