@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding on a relational lattice (operator 5).
 
-Texts are cut where no piece of the vocabulary can reach across: before a run of spaces, and around control characters.
-Each different unit is encoded once: its substrings of bounded length are exploded and joined with the piece table,
-which gives the edges of its lattice; they are grouped by unit without another shuffle and folded with Spark's
-higher-order functions.
-
-The vocabulary at hand is of the BPE kind. Its scores are merge ranks, and the Viterbi path that maximises their
-sum is not the segmentation such a model defines. So the fold keeps the lattice but replays the merges on it: the state is
-the set of cut points (a bit for each place); each step takes the best-scored edge that joins exactly two
-neighbouring segments, the leftmost of equals, until none is left. What is no piece of its own is spelled in byte pieces. That is exact
-where Viterbi over these scores is not. Units over LONG characters, which a bit set doesn't hold, are merged with a heap.
+Texts are cut into units where no piece of the vocabulary reaches across: before a run of spaces, and between letters, digits
+and other marks, as far as the model's pieces allow that. Documents are dealt by a hash into bundles of some 24 MB, by
+one shuffle; a bundle's different units are encoded once, and everything else stays in its partition: their substrings of bounded
+length are exploded and equi-joined with the piece table, which gives the edges of the lattice; these are grouped
+by unit and folded with Spark's higher-order functions.
+
+A unigram model's fold is Viterbi: the best score of each place, then back along the choices. The vocabulary at
+hand is of the BPE kind: its scores are merge ranks, and the path that maximises their sum is not the segmentation
+such a model defines. For it the fold keeps the lattice but replays the merges on it: the state is the set of cut points (a bit
+for each place); each step takes the best-scored edge that joins exactly two neighbouring segments, the leftmost of
+equals, until none is left. What is no piece of its own is spelled in byte pieces. Units over LONG characters, which a bit
+set doesn't hold, are merged with a heap.
 """
 
 from __future__ import annotations
@@ -23,13 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.dictionary import code_words, codes_of, with_found
-from quire.llm.tables import id_and, written
-from quire.llm.textbuf import Texts
+from quire.llm.tables import id_and
+from quire.llm.textbuf import Texts, buffer_of, runs
 
 MARK = "▁"
 #: Characters of a unit that the bit set holds.
 LONG = 60
+#: Bytes of text of a bundle.
+BUNDLE = 24 << 20
+#: Classes of characters: space, letters (ASCII and U+00C0 to U+023F, whose UTF-8 begins with C3 to C8), digits, others.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC9)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[32] = SPACE
 
 
 def vocabulary(path: str) -> list[tuple[str, int, float]]:
@@ -48,53 +57,98 @@ def byte_ids(path: str) -> list[int]:
     return [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def units(texts: Texts) -> None:
-    """Spans of the units: a run of spaces with what follows it up to the next, or one control character."""
+def class_of(char: str) -> int:
+    return SPACE if char == MARK else int(CLASS[char.encode("utf-8")[0]])
+
+
+def cuts(pieces: list[str]) -> tuple[bool, bool]:
+    """Whether texts may be cut between classes, and between digits: where no piece has such neighbours. None may have a space after anything else."""
+    met = {(class_of(a), class_of(b)) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+    if any(b == SPACE != a for a, b in met):
+        raise ValueError("pieces that go on after a space are not supported")
+    return not any(a != b for a, b in met if a != SPACE), (DIGIT, DIGIT) not in met
+
+
+def pattern(by_class: bool, by_digit: bool) -> str:
+    """Java's regular expression of a unit: spaces and what follows them."""
+    letters = "A-Za-z\\x{C0}-\\x{23F}"
+    return f" *(?:[{letters}]+|[0-9]{'' if by_digit else '+'}|[^ 0-9{letters}]+)| +" if by_class else " *[^ ]+| +"
+
+
+def units(texts: Texts, by_class: bool, by_digit: bool) -> None:
+    """The same units as spans of bytes: ``start``, ``end``, ``of`` and ``n_words`` of the texts."""
     d = texts.data
+    kind = CLASS[d]
+    rest = np.flatnonzero((d & 0xC0) == 0x80)  # the bytes of a character after its first are of its class
+    kind[rest] = np.where((rest > 0) & (kind[rest - 1] == LETTER) & (d[rest - 1] >= 0xC3), LETTER, OTHER)
     cut = np.zeros(len(d) + 1, bool)
     cut[texts.at] = True
-    if len(d):
-        control = d < 0x20
-        space = d == 0x20
-        cut[1:-1] |= (space[1:] & ~space[:-1]) | control[1:] | control[:-1]
-        texts.start = np.flatnonzero(cut[:-1])
-        texts.end = np.concatenate((texts.start[1:], [len(d)]))
-    else:
-        texts.start = texts.end = np.empty(0, np.int64)
+    before, after = kind[:-1], kind[1:]
+    cut[1:-1] |= (after == SPACE) & (before != SPACE)
+    if by_class:
+        cut[1:-1] |= (after != before) & (before != SPACE)
+        if by_digit:
+            cut[1:-1] |= (after == DIGIT) & (before == DIGIT)
+    texts.start = np.flatnonzero(cut[:-1]) if len(d) else np.empty(0, np.int64)
+    texts.end = np.concatenate((texts.start[1:], [len(d)])) if len(d) else texts.start
     texts.of = np.searchsorted(texts.start, texts.at)
     texts.n_words = np.diff(texts.of)
 
 
-def encode_units(words: DataFrame, pieces: DataFrame, longest: int, spelled: list[int]) -> DataFrame:
-    """(word, ids): each different unit's piece ids, by its lattice; ``words`` are at most LONG characters long."""
+def encode_units(words: DataFrame, pieces: DataFrame, longest: int, spelled: list[int], viterbi: bool = False) -> DataFrame:
+    """(bundle, word, ids): each bundle's different units' piece ids, by their lattices; ``words`` (bundle, word) are at most LONG characters long.
+
+    Words dealt by bundle stay where they are. ``viterbi``: the path of the largest sum of scores (of equal ones, that with the
+    shorter last piece); a character without a piece of its own is spelled at a score below all others. Else the merges.
+    """
     spots = F.expr(f"flatten(transform(sequence(0, length(chars) - 1), s -> transform(sequence(s + 1, least(s + {longest}, length(chars))), e -> struct(s, e, substring(chars, s + 1, e - s) as piece))))")
-    cells = words.withColumn("chars", F.translate("word", " ", MARK)).select("word", "chars", F.explode(spots).alias("x"))
+    cells = words.withColumn("chars", F.translate("word", " ", MARK)).select("bundle", "word", F.explode(spots).alias("x"))
     single = F.col("x.e") - F.col("x.s") == 1
-    edges = cells.select("word", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.piece").alias("piece"), single.alias("single"))
+    edges = cells.select("bundle", "word", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.piece").alias("piece"), single.alias("single"))
     edges = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or single")  # a place without a piece is spelled
+    spell = F.expr("CASE WHEN id IS NULL THEN encode(piece, 'UTF-8') END").alias("raw")
+    fold = path_of_scores if viterbi else path_of_merges
+    ordered = fold(edges.select("bundle", "word", "single", "score", "s", "e", "id", spell))
+    table = "array(" + ", ".join(map(str, spelled)) + ")"
+    by_byte = f"transform(sequence(1, length(x.raw)), i -> {table}[cast(conv(hex(substring(x.raw, i, 1)), 16, 10) as int)])"
+    ids = F.expr(f"flatten(transform(path, x -> CASE WHEN x.id IS NOT NULL THEN array(x.id) ELSE {by_byte} END))")
+    return ordered.select("bundle", "word", ids.alias("ids"))
+
+
+def path_of_merges(edges: DataFrame) -> DataFrame:
+    """(bundle, word, path): the segments that are left when the merges are replayed."""
     bit = lambda x: f"shiftleft(1L, {x})"
-    spell = F.expr("CASE WHEN id IS NULL THEN encode(piece, 'UTF-8') END")
-    edges = edges.select(
-        "word",
-        F.struct(
-            F.col("single").alias("one"), (-F.col("score")).alias("rank"), F.col("s"), F.col("e"), F.col("id"), spell.alias("raw"),
-            F.expr(f"{bit('s')} | {bit('e')}").alias("ends"),
-            F.expr(f"({bit('e')} - {bit('s + 1')})").alias("inner"),
-        ).alias("edge"),
+    edge = F.struct(
+        F.col("single").alias("one"), (-F.col("score")).alias("rank"), F.col("s"), F.col("e"), F.col("id"), F.col("raw"),
+        F.expr(f"{bit('s')} | {bit('e')}").alias("ends"),
+        F.expr(f"({bit('e')} - {bit('s + 1')})").alias("inner"),
     )
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    merges = "filter(edges, x -> NOT x.one)"
+    lattice = edges.select("bundle", "word", edge.alias("edge")).groupBy("bundle", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     nth = "size(filter(edges, x -> x.one))"
-    lattice = lattice.select("word", "edges", F.expr(merges).alias("merges"), F.expr(f"{bit(f'({nth} + 1)')} - 1").alias("all"), F.expr(nth).alias("n"))
+    lattice = lattice.select("bundle", "word", "edges", F.expr("filter(edges, x -> NOT x.one)").alias("merges"), F.expr(f"{bit(f'({nth} + 1)')} - 1").alias("all"), F.expr(nth).alias("n"))
     step = "m & ~coalesce(get(filter(merges, x -> (m & x.ends) = x.ends AND bit_count(m & x.inner) = 1), 0).inner, 0L)"
     # a step without a merge changes nothing, so as many steps as places are enough
     folded = lattice.withColumn("cuts", F.expr(f"CASE WHEN size(merges) = 0 THEN all ELSE aggregate(sequence(1, n), all, (m, i) -> {step}) END"))
     chosen = "filter(edges, x -> (cuts & x.ends) = x.ends AND (cuts & x.inner) = 0)"
-    ordered = f"array_sort(transform({chosen}, x -> struct(x.s as s, x.id as id, x.raw as raw)))"
-    table = "array(" + ", ".join(map(str, spelled)) + ")"
-    by_byte = f"transform(sequence(1, length(x.raw)), i -> {table}[cast(conv(hex(substring(x.raw, i, 1)), 16, 10) as int)])"
-    ids = F.expr(f"flatten(transform({ordered}, x -> CASE WHEN x.id IS NOT NULL THEN array(x.id) ELSE {by_byte} END))")
-    return folded.select("word", ids.alias("ids"))
+    return folded.select("bundle", "word", F.expr(f"array_sort(transform({chosen}, x -> struct(x.s as s, x.id as id, x.raw as raw)))").alias("path"))
+
+
+#: What a spelled character adds to a path's score.
+SPELLED = -1000.0
+
+
+def path_of_scores(edges: DataFrame) -> DataFrame:
+    """(bundle, word, path): the Viterbi path."""
+    edge = F.struct("e", (-F.col("s")).alias("back"), "s", F.coalesce("score", F.lit(SPELLED)).alias("score"), "id", "raw")
+    lattice = edges.select("bundle", "word", edge.alias("edge")).groupBy("bundle", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    none = "named_struct('v', CAST(NULL AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT), 'raw', CAST(NULL AS BINARY))"
+    first = "named_struct('v', CAST(0 AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT), 'raw', CAST(NULL AS BINARY))"
+    at_end = "transform(b, (y, i) -> CASE WHEN i = x.e AND (y.v IS NULL OR b[x.s].v + x.score > y.v) THEN named_struct('v', b[x.s].v + x.score, 's', x.s, 'id', x.id, 'raw', x.raw) ELSE y END)"
+    best = lattice.select("bundle", "word", F.expr(f"aggregate(edges, transform(sequence(0, length(word)), i -> CASE WHEN i = 0 THEN {first} ELSE {none} END), (b, x) -> {at_end})").alias("best"))
+    # back from the end: the place reached, and the path from there on
+    start = "named_struct('p', length(word), 'path', CAST(array() AS ARRAY<STRUCT<s: INT, id: INT, raw: BINARY>>))"
+    back = "CASE WHEN a.p <= 0 THEN a ELSE named_struct('p', best[a.p].s, 'path', concat(array(named_struct('s', best[a.p].s, 'id', best[a.p].id, 'raw', best[a.p].raw)), a.path)) END"
+    return best.select("bundle", "word", F.expr(f"aggregate(sequence(1, length(word)), {start}, (a, i) -> {back}, a -> a.path)").alias("path"))
 
 
 def merge_long(word: str, rank: dict[str, tuple[float, int]], spelled: list[int]) -> list[int]:
@@ -131,50 +185,98 @@ def merge_long(word: str, rank: dict[str, tuple[float, int]], spelled: list[int]
 
 
 def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text, flag): the text as the model sees it, with the space it puts before; empty texts stay empty."""
+    """(doc_id, text): the text as the model sees it, with the space it puts before; empty texts stay empty."""
     plain = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(" "))
     docs = id_and(docs, key, text).select(F.col(key).alias("doc_id"), plain.alias("text"))
-    return docs.select("doc_id", F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(" "), "text")).alias("text"), F.lit(True).alias("flag"))
+    return docs.select("doc_id", F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(" "), "text")).alias("text"))
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", viterbi: bool = False) -> DataFrame:
     """(doc_id, ids): every text's piece ids, as packed little-endian unsigned 32-bit numbers.
 
-    Null and empty texts have no ids. Null and repeated doc_ids are documents of their own. An empty table gives no
-    rows. Other columns are not looked at.
+    Null and empty texts have no ids. Null and repeated doc_ids are documents of their own. Very long texts are encoded
+    whole: a bundle is one document at least. An empty table gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     table = vocabulary(model)
     spelled = byte_ids(model)
     pieces = spark.createDataFrame(table, "piece string, id int, score double")
     longest = max(len(p) for p, _, _ in table)
-    coded, words = code_words(prepared(docs, key, text), units, "pieces-coded")
-    different = words.select("word").distinct()
-    short = encode_units(different.where(F.length("word") <= LONG), pieces, longest, spelled)
+    how = cuts([p for p, _, _ in table])
     rank = spark.sparkContext.broadcast({p: (s, i) for p, i, s in table})
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merge_long(w, rank.value, spelled) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    long = different.where(F.length("word") > LONG).mapInArrow(merged, "word string, ids array<int>")
-    found = words.join(short.unionByName(long), "word").select("bundle", "code", "ids")
+    docs = prepared(docs, key, text)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // BUNDLE))
+    # both sides read the one column of the one shuffle, so it is made once
+    bundle = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("bundle")
+    line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text") == "", " ").otherwise(F.col("text"))).alias("line")
+    dealt = docs.select(bundle, line).repartition(int(n), "bundle")
+    tail = F.expr("substring(line, instr(line, ' '))")
+    words = dealt.select("bundle", F.explode(F.regexp_extract_all(tail, F.lit(pattern(*how)), F.lit(0))).alias("word")).distinct()
+    found = encode_units(words.where(F.length("word") <= LONG), pieces, longest, spelled, viterbi)
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes, at = codes_of(left)
+        known = Bundle(right, rank.value, spelled)
+        rows = []
+        for batch in left.to_batches(max_chunksize=1000):
+            lines = [x.partition(" ") for x in batch.column(1).to_pylist()]
+            part = pa.record_batch([pa.array([int(i) if i else None for i, _, _ in lines], pa.int64()), pa.array([" " + t if t else "" for _, _, t in lines])], names=["doc_id", "text"])
+            for some, texts in runs(part):
+                units(texts, *how)
+                rows.append(pa.table({"doc_id": some.column(0), "ids": pa.array(known.ids(texts), pa.binary())}))
+        return pa.concat_tables(rows) if rows else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+
+    found = found.select(F.col("bundle").alias("its"), "word", "ids")
+    return dealt.groupBy("bundle").cogroup(found.groupBy("its")).applyInArrow(put, "doc_id long, ids binary")
+
+
+class Bundle:
+    """The ids of a bundle's units, found by hash; units over LONG are merged when they are met."""
+
+    def __init__(self, right: pa.Table, rank: dict[str, tuple[float, int]], spelled: list[int]):
+        self.rank, self.spelled = rank, spelled
+        words = right.column("word").combine_chunks() if right.num_rows else pa.array([], pa.string())
         lists = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        code = right.column("code").to_numpy()
-        flat, offsets = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0] if len(lists) else np.zeros(1, np.int64)
-        start, size = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        start[code], size[code] = offsets[:-1], np.diff(offsets)
-        out = []
-        for i in range(left.num_rows):
-            c = codes[at[i] : at[i + 1]]
-            n = size[c]
-            out.append(flat[np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
-        return pa.table({"doc_id": left.column("doc_id"), "ids": pa.array(out, pa.binary())})
-
-    return with_found(coded, found, put, "doc_id long, ids binary")
+        data, at = buffer_of(words)
+        names = Texts(data, at)
+        for self.second in (False, True):  # two units of one hash: another hash
+            key = names.hashed(at[:-1], at[1:], second=self.second)
+            order = np.argsort(key)
+            self.key = key[order]
+            if (self.key[1:] != self.key[:-1]).all():
+                break
+        else:
+            raise ValueError("units of a bundle can't be told apart by hash")
+        offsets = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int64)
+        self.flat = lists.flatten().to_numpy().astype("<u4")
+        self.start, self.size = (offsets[:-1] - offsets[0])[order], np.diff(offsets)[order]
+        self.long: dict[str, np.ndarray] = {}
+
+    def ids(self, texts: Texts) -> list[bytes]:
+        key, one, which = np.unique(texts.hashed(texts.start, texts.end, second=self.second), return_index=True, return_inverse=True)
+        flat, start, size = self.flat, np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        at = np.searchsorted(self.key, key)
+        have = np.flatnonzero(at < len(self.key))
+        have = have[self.key[at[have]] == key[have]]
+        start[have], size[have] = self.start[at[have]], self.size[at[have]]
+        missing = np.setdiff1d(np.arange(len(key)), have)
+        if len(missing):
+            spans = zip(texts.start[one[missing]].tolist(), texts.end[one[missing]].tolist(), strict=True)
+            more = [self.merged(texts.data[i:j].tobytes().decode("utf-8")) for i, j in spans]
+            size[missing] = [len(m) for m in more]
+            start[missing] = len(flat) + np.cumsum(size[missing]) - size[missing]
+            flat = np.concatenate((flat, *more))
+        n = size[which]
+        out = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes()
+        upto = (4 * np.concatenate(([0], np.cumsum(n)))[texts.of]).tolist()
+        return [out[i:j] for i, j in zip(upto[:-1], upto[1:], strict=True)]
+
+    def merged(self, word: str) -> np.ndarray:
+        if word not in self.long:
+            if len(word) <= LONG:
+                raise ValueError(f"a unit without a lattice: {word!r}")
+            self.long[word] = np.array(merge_long(word, self.rank, self.spelled), "<u4")
+        return self.long[word]
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
