@@ -27,6 +27,8 @@ BUCKETS = 1 << 16
 PER_LANG, MAX_LANGS = 150, 64
 SEGMENT, BATCH, EPOCHS, RATE = 32, 256, 4, 0.3
 UNKNOWN = "und"
+#: Parts in which a language's draws are ordered.
+PARTS = 64
 
 
 @dataclass
@@ -84,8 +86,10 @@ def scaled(score: np.ndarray) -> np.ndarray:
     return np.exp(score - score.max(-1, keepdims=True))
 
 
-def marginals(e: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Each word's label marginals, by forward-backward over every sequence at once: step t handles the t-th word of all that have one."""
+def marginals(e: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray, start: np.ndarray, forward: np.ndarray | None = None) -> np.ndarray:
+    """Each word's label marginals, by forward-backward over every sequence at once: step t handles the t-th word of all that have one.
+
+    ``forward``, if given, takes each word's filtered distribution, from the words up to it alone."""
     longest = np.argsort(-size, kind="stable")
     first, size = first[longest], size[longest]
     alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
@@ -97,6 +101,8 @@ def marginals(e: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndar
         state /= state.sum(1, keepdims=True)
         out[at] = state
         state = state @ a
+    if forward is not None:
+        forward[:] = out
     back = np.ones((0, e.shape[1]), np.float32)
     for t in range(len(alive) - 1, -1, -1):
         n = int(alive[t])
@@ -110,6 +116,13 @@ def marginals(e: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndar
     return out
 
 
+def pair_marginals(filtered: np.ndarray, after: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """[n, K, K] odds of each label and the next, from the filtered distribution of the one word and the marginals of the next."""
+    a = np.exp(moves)
+    pair = filtered[:, :, None] * a[None] * (after / np.maximum(filtered @ a, 1e-30))[:, None, :]
+    return pair / np.maximum(pair.sum((1, 2), keepdims=True), 1e-30)
+
+
 def fit(texts: list[str], labels: list[str]) -> Field:
     """The field that (nearly) maximises the likelihood of labelling each text's words with its label; AdaGrad over segments."""
     langs = sorted(set(labels))
@@ -138,7 +151,8 @@ def fit(texts: list[str], labels: list[str]) -> Field:
             owner = np.repeat(np.arange(len(words)), n_of)
             e = scaled(emissions(owner, feature, len(words), weights)[inverse])
             begin = np.cumsum(size) - size
-            p = marginals(e, begin, size, moves, start)
+            filtered = np.empty_like(e)
+            p = marginals(e, begin, size, moves, start, filtered)
             want = np.zeros_like(p)
             want[np.arange(n_all), gold[place]] = 1
             gap = want - p
@@ -147,8 +161,7 @@ def fit(texts: list[str], labels: list[str]) -> Field:
             later = np.flatnonzero(inner)
             seen = np.zeros((k, k))
             np.add.at(seen, (gold[place[later - 1]], gold[place[later]]), 1)
-            pair = p[later - 1][:, :, None] * np.exp(moves)[None] * (p[later] / np.maximum(p[later - 1] @ np.exp(moves), 1e-9))[:, None, :]
-            pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-9)
+            pair = pair_marginals(filtered[later - 1], p[later], moves)
             by_word = np.stack([np.bincount(inverse, gap[:, j], len(words)) for j in range(k)], 1)
             touched, slot = np.unique(feature, return_inverse=True)
             grad = np.stack([np.bincount(slot, by_word[owner, j], len(touched)) for j in range(k)], 1) / len(size)
@@ -164,8 +177,10 @@ def sample(docs: DataFrame, learn: Column) -> tuple[list[str], list[str]]:
     """Texts and labels of at most PER_LANG documents of each of the MAX_LANGS most frequent languages among those to learn from."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     drawn = labelled.select("lang", F.xxhash64("doc_id", "text").alias("draw")).distinct()
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
-    drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= PER_LANG).select("lang", "draw")
+    # the smallest draws of each part of a language first, so that no task orders all of a language
+    for part in (F.pmod(F.col("draw"), F.lit(PARTS)), F.lit(0)):
+        nth = F.row_number().over(W.partitionBy("lang", part).orderBy("draw"))
+        drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= PER_LANG).select("lang", "draw")
     top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     chosen = F.broadcast(drawn.join(F.broadcast(top), "lang"))
     found = labelled.withColumn("draw", F.xxhash64("doc_id", "text")).join(chosen, ["lang", "draw"]).select("text", "lang", "draw").dropDuplicates(["lang", "draw"]).collect()
@@ -178,7 +193,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Returns doc_id, held_out, lang_pred (a learned language; ``und``, with score 0, if the text is null or has no
     letter) and score, and the long column ``tag``, if one is named. Rows without doc_id are not held out. With nothing to learn from, all are ``und``. Repeated
-    doc_ids are predicted each for itself. Empty table: no rows. Other columns are not looked at.
+    doc_ids are predicted each for itself. Labels of equal mean are told apart by name (the first one). Very long texts are
+    labelled whole, each in a run of its own. Empty table: no rows. Other columns are not looked at.
     """
     tagged = (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag")
     docs = id_and(docs, key, text, lang, *([tag] if tag else [])).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), tagged)
