@@ -1,17 +1,19 @@
 """Quality rules with n-gram perplexity bands (operator 10).
 
-The language model counts character 4-grams over a fixed alphabet of 32 symbols, for each language by itself, so
-that a language's model has a proven size: at most 2**20 n-grams. Every language has one, however many there are;
-texts without a language share one of their own. Spark counts every text; a language's counts are one row of a
-table and one broadcast, which the executors that meet the language turn into a modified Kneser-Ney model held in
-sorted hash arrays, and score whole texts with it. A document whose perplexity lies outside its language's band is rejected.
-The band is median +- ``width`` robust deviations of the log-perplexities of all documents of the language that
-the base rules pass, so clean text stays whatever its absolute perplexity is.
+The language model counts 4-grams of code points, for each language by itself, over every text; texts without a language share
+one model of their own. Its tables grow with the corpus and stay in Spark: modified Kneser-Ney, from continuation
+counts at the lower orders, is a few joins over the different n-grams, and gives each n-gram that occurs its bits. As every text is
+counted, every n-gram that is scored is in the table.
+
+For scoring, the table lies in sorted arrays of n-grams, one pair of arrays a language: all of them at once in every task, if
+they have BROADCAST entries at most; else documents are dealt into bundles, and a bundle gets the entries
+that it holds, by a join. Both ways give the same numbers. A document whose perplexity lies outside its language's band is
+rejected. The band is median +- ``width`` robust deviations of the log-perplexities of all documents of the
+language that the base rules pass, so clean text stays whatever its absolute perplexity is.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,31 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tables import id_and, written
-from quire.llm.textbuf import LOWER, SPACE, U, Texts, mix, runs, sums, window_starts, windows
-
-BITS, ORDER = 5, 4
-ALPHABET = 1 << BITS
-SIZE = ALPHABET**ORDER
-#: Models that a worker keeps ready at once (4 MB each); others are made again from their counts.
-READY = 32
+from quire.llm.textbuf import LOWER, SPACE, U, Texts, runs, sums, window_starts, windows
+
+#: Symbols are 16 bits wide, so that an n-gram is one 64-bit number, its context and its end are parts of it.
+BITS, ORDER = 16, 4
+#: The most n-grams that go to every task as arrays (12 bytes each).
+BROADCAST = 2_000_000
+#: Different n-grams that a task gathers before it hands them on, and bytes of text of a bundle.
+GATHER, BUNDLE = 1_000_000, 24 << 20
 #: The band's half width in robust deviations, and the least deviation (bits a character) it is measured in.
 WIDTH, LEAST = 12.0, 0.02
 #: Log-perplexities are counted in bins of this many bits.
 BIN = 1 / 1024
 
 SYMBOL = np.zeros(256, np.uint8)
-SYMBOL[LOWER[np.frombuffer(b"#*$%&|<>", np.uint8)]] = 1
+SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = 1
 
 
 def _symbols() -> np.ndarray:
-    """Byte -> one of 32 symbols: 26 letters, white space, digit, mark of the symbol rule, other ASCII, UTF-8 lead, UTF-8 rest."""
-    out = np.full(256, 29, np.uint8)
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1] = np.arange(26)
-    out[SPACE] = 26
-    out[ord("0") : ord("9") + 1] = 27
-    out[SYMBOL > 0] = 28
-    out[0x80:0xC0], out[0xC0:] = 31, 30
+    """Code points of the first plane: small letters for A to Z, one white space, one digit, the others as they are."""
+    out = np.arange(1 << 16, dtype=np.uint16)
+    out[65:91] += 32
+    out[np.flatnonzero(SPACE)] = 32
+    out[48:58] = 48
     return out
 
 
@@ -52,99 +52,101 @@ SYMBOLS = _symbols()
 
 
 def codes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each byte (white space stands before the first), in document order, and where each document's begin."""
+    """The 4-gram that ends at each code point (white space stands before the first), in document order, and where each document's begin.
+
+    Code points beyond the first plane share the 2048 values that UTF-16 leaves to surrogates, by a hash.
+    """
+    points = np.frombuffer(texts.data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    at = np.concatenate(([0], np.cumsum((texts.data & 0xC0) != 0x80)))[texts.at]
+    symbol = SYMBOLS[np.minimum(points, 0xFFFF)]
+    high = np.flatnonzero(points > 0xFFFF)
+    symbol[high] = 0xD800 + (points[high].astype(U) * U(0x9E3779B97F4A7C15) >> U(53))
     pad = ORDER - 1
-    at = texts.at + pad * np.arange(texts.n + 1)
-    line = np.full(at[-1] + pad, 26, np.int32)
-    place = np.arange(len(texts.data)) + pad * np.repeat(np.arange(1, texts.n + 1), np.diff(texts.at))
-    line[place] = SYMBOLS[texts.data]
-    code = line
+    line = np.full(at[-1] + pad * (texts.n + 1), 32, U)
+    place = np.arange(len(points)) + pad * np.repeat(np.arange(1, texts.n + 1), np.diff(at))
+    line[place] = symbol
+    code = line.copy()
     for k in range(1, ORDER):
-        code = code.copy()
-        code[k:] |= line[:-k] << (BITS * k)
-    return code[place], texts.at
-
-
-class Kneser:
-    """Modified Kneser-Ney over ALPHABET symbols: for each order, sorted keys with their discounted share, and sorted contexts with their back-off weight."""
-
-    def __init__(self, counts: dict[int, int] | np.ndarray, keys: np.ndarray | None = None):
-        full = np.zeros(SIZE, np.int64)
-        full[keys] = counts
-        by_order = {ORDER: full}
-        for k in range(ORDER - 1, 0, -1):  # continuation counts
-            by_order[k] = (by_order[k + 1].reshape(ALPHABET, -1) > 0).sum(0)
-        self.share, self.weight = {}, {}
-        for k, c in by_order.items():
-            seen = np.flatnonzero(c)
-            n1, n2, n3, n4 = ((c == i).sum() for i in range(1, 5))
-            y = n1 / max(1, n1 + 2 * n2)
-            d = np.clip([0, 1 - 2 * y * n2 / max(1, n1), 2 - 3 * y * n3 / max(1, n2), 3 - 4 * y * n4 / max(1, n3)], 0.05, [1, 0.95, 1.95, 2.95])
-            d[0] = 0
-            cut = d[np.minimum(c[seen], 3)]
-            context = seen >> BITS
-            total = np.bincount(context, c[seen], minlength=1)
-            gone = np.bincount(context, cut, minlength=1)
-            has = np.flatnonzero(total)
-            self.share[k] = seen.astype(np.int32), ((c[seen] - cut) / total[context]).astype(np.float64)
-            self.weight[k] = has.astype(np.int32), gone[has] / total[has]
-
-    @staticmethod
-    def find(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: float) -> np.ndarray:
-        have, values = arrays
-        if not len(have):
-            return np.full(len(keys), otherwise)
-        i = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[i] == keys, values[i], otherwise)
-
-    def prob(self, keys: np.ndarray) -> np.ndarray:
-        p = np.full(len(keys), 1 / ALPHABET)
-        for k in range(1, ORDER + 1):
-            low = keys & (ALPHABET**k - 1)
-            p = self.find(self.share[k], low, 0.0) + self.find(self.weight[k], low >> BITS, 1.0) * p
-        return p
-
-    def bits(self) -> np.ndarray:
-        """-log2 of every possible n-gram's probability: what ``prob`` says, looked up by place (4 MB)."""
-        if not hasattr(self, "_bits"):
-            self._bits = (-np.log2(self.prob(np.arange(SIZE, dtype=np.int32)))).astype(np.float32)
-        return self._bits
-
-
-def _lang_ids(column: pa.Array, ids: dict[str | None, int]) -> np.ndarray:
-    """Each row's language as a number; languages not met before are added to ``ids``."""
-    return np.fromiter((ids.setdefault(v, len(ids)) for v in column.to_pylist()), np.int64, len(column))
+        code[k:] |= line[:-k] << U(BITS * k)
+    return code[place].view(np.int64), at
+
+
+def _lang_ids(column: pa.Array) -> dict[str, np.ndarray]:
+    """The rows of each language."""
+    values = column.dictionary_encode()
+    of = values.indices.to_numpy(zero_copy_only=False)
+    return {name: np.flatnonzero(of == i) for i, name in enumerate(values.dictionary.to_pylist())}
+
+
+def _of_rows(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places at[r] to at[r + 1] of each of the rows."""
+    n = at[rows + 1] - at[rows]
+    return np.repeat(at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, code, n): how often each 4-gram is in all texts of a language; summed in each task first."""
+    """(lk, key, n): how often each 4-gram is in all texts of a language (``lk``); summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_keys, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        ids: dict[str | None, int] = {}
+        kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        new: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merge() -> None:
-            keys, back = np.unique(np.concatenate(kept_keys), return_inverse=True)
-            kept[:] = [np.bincount(back, np.concatenate(kept), len(keys)).astype(np.int64)]
-            kept_keys[:] = [keys]
-
+            for name, pieces in new.items():
+                pieces += [kept[name]] if name in kept else []
+                key, back = np.unique(np.concatenate([k for k, _ in pieces]), return_inverse=True)
+                kept[name] = key, np.bincount(back, np.concatenate([n for _, n in pieces]), len(key)).astype(np.int64)
+            new.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, (key, n) in kept.items():
+                for i in range(0, len(key), 50_000):
+                    k = key[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k), pa.array(n[i : i + 50_000])], names=["lk", "key", "n"])
+            kept.clear()
+
+        seen = 0
         for batch in batches:
             for part, texts in runs(batch):
                 code, at = codes(texts)
-                lang = _lang_ids(part.column(1), ids)
-                key, n = np.unique(code.astype(np.int64) | np.repeat(lang << (BITS * ORDER), np.diff(at)), return_counts=True)
-                kept_keys.append(key)
-                kept.append(n)
-                if len(kept) > 8:
+                for name, rows in _lang_ids(part.column(1)).items():
+                    new.setdefault(name, []).append(np.unique(code[_of_rows(rows, at)], return_counts=True))
+                    seen += len(new[name][-1][0])
+                if seen > GATHER:
                     merge()
+                    seen = 0
+                    if sum(len(k) for k, _ in kept.values()) > GATHER:
+                        yield from out()
         merge()
-        names = pa.array(list(ids), pa.string())
-        for i in range(0, len(kept[0]), 50_000):
-            k = kept_keys[0][i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(k >> (BITS * ORDER))), pa.array(k & (SIZE - 1)), pa.array(kept[0][i : i + 50_000])], names=["lang", "code", "n"])
-
-    each = docs.select("text", "lang").mapInArrow(count, "lang string, code long, n long")
-    return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        yield from out()
+
+    return docs.select("text", "lk").mapInArrow(count, "lk string, key long, n long").groupBy("lk", "key").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """(lk, key, bits): -log2 of each 4-gram's probability, given its first three symbols, by modified Kneser-Ney."""
+    of_order = {ORDER: counted}
+    for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before
+        low = F.col("key").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("key")
+        of_order[k] = of_order[k + 1].select("lk", low).groupBy("lk", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = of_order[1].groupBy("lk").agg((1 / (F.count(F.lit(1)) + 1)).alias("lower"))
+    for k in range(1, ORDER + 1):
+        often = [F.sum((F.col("n") == i).cast("long")).alias(f"c{i}") for i in range(1, 5)]
+        y = "(c1 / greatest(1, c1 + 2 * c2))"
+        cut = lambda i: f"least(greatest({i} - {i + 1} * {y} * c{i + 1} / greatest(1, c{i}), 0.05), {i - 0.05})"
+        discounts = of_order[k].groupBy("lk").agg(*often).select("lk", *(F.expr(cut(i)).alias(f"d{i}") for i in (1, 2, 3)))
+        mine = of_order[k].join(discounts, "lk").withColumn("cut", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END")).drop("d1", "d2", "d3")
+        mine = mine.withColumn("context", F.shiftrightunsigned("key", BITS))
+        context = mine.groupBy("lk", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("gone"))
+        mine = mine.join(context, ["lk", "context"])
+        if k > 1:
+            mine = mine.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)))
+            mine = mine.join(found.withColumnRenamed("key", "low"), ["lk", "low"])
+        else:
+            mine = mine.join(found, "lk")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gone") / F.col("total") * F.col("lower")
+        found = mine.select("lk", "key", p.alias("lower"))
+    return found.select("lk", "key", (-F.log2("lower")).alias("bits"))
 
 
 def facts(texts: Texts) -> dict[str, np.ndarray]:
@@ -194,30 +196,72 @@ def facts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_BITS: dict[tuple[str, str | None], np.ndarray] = {}
+Model = dict[str, tuple[np.ndarray, np.ndarray]]
+
 
+def sorted_arrays(table: pa.Table) -> Model:
+    """The model's (lk, key, bits) as two arrays a language, in the order of the n-grams."""
+    names = table.column("lk").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    of, key, bits = names.indices.to_numpy(zero_copy_only=False), table.column("key").to_numpy(), table.column("bits").to_numpy()
+    order = np.lexsort((key, of))
+    cut = np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+    return {n: (key[order[i:j]], bits[order[i:j]].astype(np.float32)) for n, i, j in zip(names.dictionary.to_pylist(), cut[:-1], cut[1:], strict=True)}
 
-def count_rows(counted: DataFrame) -> DataFrame:
-    """(lang, keys, counts): a language's counts in one row of at most 12 MB, sorted by key."""
 
-    def row(table: pa.Table) -> pa.Table:
-        code, n = table.column("code").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(code)
-        return pa.table({"lang": table.column("lang")[:1].combine_chunks(), "keys": pa.array([code[order].astype("<i4").tobytes()], pa.binary()), "counts": pa.array([n[order].astype("<i8").tobytes()], pa.binary())})
+SCORED = f"doc_id long, lang string, {', '.join(f'{c} long' for c in FACTS)}, bits double"
 
-    return counted.groupBy("lang").applyInArrow(row, "lang string, keys binary, counts binary")
 
+def scores(part: pa.RecordBatch, texts: Texts, model: Model) -> pa.RecordBatch:
+    """Base counts and mean bits of a run of (doc_id, text, lang, lk)."""
+    found = facts(texts)
+    code, at = codes(texts)
+    bits = np.zeros(len(code))
+    for name, rows in _lang_ids(part.column(3)).items():
+        mine = _of_rows(rows, at)
+        if len(mine):
+            key, which = np.unique(code[mine], return_inverse=True)
+            keys, values = model[name]
+            bits[mine] = values[np.searchsorted(keys, key)][which]
+    mean = sums(bits, at) / np.maximum(np.diff(at), 1)
+    return pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(found[c]) for c in FACTS), pa.array(mean)], names=["doc_id", "lang", *FACTS, "bits"])
 
-def _bits_of(run: str, lang: str | None, models: dict) -> np.ndarray:
-    """The language's bits by n-gram; the READY last used ones are kept."""
-    found = _BITS.pop((run, lang), None)
-    if found is None:
-        keys, counts = models[lang].value
-        found = Kneser(np.frombuffer(counts, "<i8"), np.frombuffer(keys, "<i4")).bits()
-    _BITS[run, lang] = found
-    while len(_BITS) > READY:
-        del _BITS[next(iter(_BITS))]
-    return found
+
+def scored_by_all(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """Every document's scores, with the whole model in each task."""
+    arrays = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model.toArrow()))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in runs(batch):
+                yield scores(part, texts, arrays.value)
+
+    return docs.mapInArrow(each, SCORED)
+
+
+def scored_in_bundles(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """The same with a model of any size: documents dealt by a hash, and each bundle with its own n-grams."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    dealt = docs.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BUNDLE)))))
+
+    def grams(table: pa.Table) -> pa.Table:
+        found: dict[str, list[np.ndarray]] = {}
+        for batch in table.select(["text", "lk", "bundle"]).to_batches(max_chunksize=1000):
+            for part, texts in runs(batch):
+                code, at = codes(texts)
+                for name, rows in _lang_ids(part.column(1)).items():
+                    found.setdefault(name, []).append(np.unique(code[_of_rows(rows, at)]))
+        keys = {n: np.unique(np.concatenate(k)) for n, k in found.items()}
+        whole = np.concatenate([np.empty(0, np.int64), *keys.values()])
+        return pa.table({"bundle": pa.array(np.full(len(whole), table.column("bundle")[0].as_py())), "lk": pa.array([n for n, k in keys.items() for _ in range(len(k))], pa.string()), "key": whole})
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        arrays, out = sorted_arrays(right), []
+        for batch in left.select(["doc_id", "text", "lang", "lk"]).to_batches(max_chunksize=1000):
+            out += [scores(part, texts, arrays) for part, texts in runs(batch)]
+        return pa.Table.from_batches(out)
+
+    held = dealt.groupBy("bundle").applyInArrow(grams, "bundle long, lk string, key long").join(model, ["lk", "key"])
+    return dealt.groupBy("bundle").cogroup(held.groupBy("bundle")).applyInArrow(each, SCORED)
 
 
 def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50, max_repeat: int = 50, width: float = WIDTH) -> DataFrame:
@@ -227,33 +271,13 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     character, under the language's model), low and high (the language's band).
 
     Null text: no words, base_failed, not kept. Null lang: a model and a band of its own. Empty texts:
-    as null. Null and repeated doc_ids: a result row for each input row. Empty table: no rows. Other columns
+    as null. Very long texts are scored whole, each in a run of its own. Null and repeated doc_ids: a result row for each input row. Empty table: no rows. Other columns
     are not looked at. A language none of whose documents pass the base rules has no band; nothing is kept then.
     """
-    spark = docs.sparkSession
-    docs = id_and(docs, key, text, lang).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = written(count_rows(count_ngrams(docs)), "quality-counts")
-    # one language's counts at a time pass through the driver
-    models = {r["lang"]: spark.sparkContext.broadcast((bytes(r["keys"]), bytes(r["counts"]))) for r in rows.toLocalIterator()}
-    run = uuid.uuid4().hex
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in runs(batch):
-                found = facts(texts)
-                code, at = codes(texts)
-                ids: dict[str | None, int] = {}
-                lang_ids = _lang_ids(part.column(2), ids)
-                of = np.repeat(lang_ids, np.diff(at))
-                bits = np.zeros(len(code), np.float64)
-                for lang, one in ids.items():
-                    mine = of == one
-                    if mine.any():
-                        bits[mine] = _bits_of(run, lang, models)[code[mine]]
-                mean = sums(bits, at) / np.maximum(np.diff(at), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(found[c]) for c in FACTS), pa.array(mean)], names=["doc_id", "lang", *FACTS, "bits"])
-
-    scored = docs.mapInArrow(score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in FACTS)}, bits double")
+    name = F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")).alias("lk")
+    docs = id_and(docs, key, text, lang, name).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), "lk")
+    model = written(kneser_ney(written(count_ngrams(docs), "quality-counts")), "quality-model")
+    scored = scored_by_all(docs, model) if model.count() <= BROADCAST else scored_in_bundles(docs, model)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     scored = written(scored.withColumn("base_failed", failed), "quality")
     # the bits a character lie between 0 and some 20, so there are few bins a language
