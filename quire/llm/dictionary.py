@@ -20,20 +20,20 @@ from quire.llm.textbuf import LOWER, Texts, runs
 
 #: Bytes of text, and different words, at which a bundle is closed.
 BUNDLE, WORDS = 24 << 20, 400_000
-SCHEMA = "kind string, bundle long, doc_id long, flag boolean, codes binary, word string, code int, n long"
+SCHEMA = "kind string, bundle long, doc_id long, flag boolean, draw long, codes binary, word string, code int, n long"
 
 
 def code_words(docs: DataFrame, spans: Callable[[Texts], None], name: str, lower: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The coded documents (bundle, doc_id, flag, codes) and the vocabularies (bundle, code, word, n), both written.
+    """The coded documents (bundle, doc_id, flag, draw, codes) and the vocabularies (bundle, code, word, n), both written.
 
-    ``docs`` has doc_id, text and flag; ``spans`` finds start, end, of and n_words of a run of texts; ``n`` counts a word in
+    ``docs`` has doc_id, text, flag and draw; ``spans`` finds start, end, of and n_words of a run of texts; ``n`` counts a word in
     the bundle's documents with the flag set.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[int, int] = {}
         words: list[bytes] = []
-        rows: list[tuple[pa.Array, pa.Array, list[bytes]]] = []
+        rows: list[tuple[pa.Array, pa.Array, pa.Array, list[bytes]]] = []
         counts = np.zeros(1 << 16, np.int64)
         size = 0
 
@@ -44,8 +44,8 @@ def code_words(docs: DataFrame, spans: Callable[[Texts], None], name: str, lower
             return pa.RecordBatch.from_arrays([fixed.get(c, pa.nulls(rows, kinds[t])) for c, t in (x.split() for x in SCHEMA.split(", "))], names=names)
 
         def close() -> Iterator[pa.RecordBatch]:
-            for ids, flags, codes in rows:
-                yield out("doc", len(ids), doc_id=ids, flag=flags, codes=pa.array(codes, pa.binary()))
+            for ids, flags, draws, codes in rows:
+                yield out("doc", len(ids), doc_id=ids, flag=flags, draw=draws, codes=pa.array(codes, pa.binary()))
             for i in range(0, len(words), 20_000):
                 part = words[i : i + 20_000]
                 yield out("word", len(part), word=pa.array(part, pa.binary()).cast(pa.string()), code=pa.array(np.arange(i, i + len(part), dtype=np.int32)), n=pa.array(counts[i : i + len(part)]))
@@ -71,7 +71,7 @@ def code_words(docs: DataFrame, spans: Callable[[Texts], None], name: str, lower
                 counts[: len(words)] += np.bincount(codes[flags], minlength=len(words))[: len(words)]
                 raw = codes.astype("<i4").tobytes()
                 at = (texts.of * 4).tolist()
-                rows.append((part.column(0), part.column(2), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
+                rows.append((part.column(0), part.column(2), part.column(3), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
                 size += len(texts.data)
                 if size >= BUNDLE or len(words) >= WORDS:
                     yield from close()
@@ -80,8 +80,8 @@ def code_words(docs: DataFrame, spans: Callable[[Texts], None], name: str, lower
                     bundle = uuid.uuid4().int >> 65
         yield from close()
 
-    coded = written(docs.select("doc_id", "text", "flag").mapInArrow(each, SCHEMA), name)
-    return coded.where("kind = 'doc'").select("bundle", "doc_id", "flag", "codes"), coded.where("kind = 'word'").select("bundle", "code", "word", "n")
+    coded = written(docs.select("doc_id", "text", "flag", "draw").mapInArrow(each, SCHEMA), name)
+    return coded.where("kind = 'doc'").select("bundle", "doc_id", "flag", "draw", "codes"), coded.where("kind = 'word'").select("bundle", "code", "word", "n")
 
 
 def with_found(coded: DataFrame, found: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

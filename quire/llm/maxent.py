@@ -6,9 +6,10 @@ is closed-form: add-one shares within the class, one share for all unknown words
 probabilities of all words add up to one. The most frequent words and the end of a text are classes of one member; the others
 are dealt by a hash of their last two bytes, which tells much about a word's grammar and language.
 
-Counts come from all training documents through Spark. The softmax is trained by distributed gradient updates: in each
-round, tasks take steps on their part of the training documents from the same weights, and the weights move by
-the mean of what the tasks learned, weighted by their tokens. Every training document is used in one round.
+Counts come from all training documents through Spark. The softmax is trained by distributed gradient updates: in each of
+ROUNDS rounds, tasks sum the gradient over their part of the round's training documents at the same weights, and the
+driver takes one AdaGrad step with the sum over all tasks. Every training document is used in one round, drawn by its id and
+text, so the model doesn't depend on how the table is dealt into tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SKIPS = (2, 3, 4, 5)
 PAIR = 2 * BUCKETS
 SKIP = PAIR + (CLASSES + 1) ** 2
 ROWS = SKIP + len(SKIPS) * (CLASSES + 1)
-ROUNDS, STEP, RATE = 4, 32_768, 0.15
+ROUNDS, STEP, RATE = 24, 32_768, 0.4
 #: Rows of a block of weights as tasks send them.
 BLOCK = 512
 
@@ -73,18 +74,21 @@ def log_softmax(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return score
 
 
-def learn(rows: np.ndarray, cls: np.ndarray, weights: np.ndarray, squares: np.ndarray) -> None:
-    """One AdaGrad step on some tokens, in place."""
+def gradient(rows: np.ndarray, cls: np.ndarray, weights: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
+    """Adds the gradient of some tokens' log-likelihood to ``total``, and how often each feature speaks to ``n``."""
     gap = -np.exp(log_softmax(rows, weights))
     gap[np.arange(len(cls)), cls] += 1
     flat = rows.reshape(-1)
-    n = np.bincount(flat, minlength=ROWS)
-    touched = np.flatnonzero(n)
-    grad = np.stack([np.bincount(flat, np.tile(gap[:, j], len(rows)), ROWS)[touched] for j in range(CLASSES)], 1).astype(np.float32)
-    # the mean over a feature's own tokens, damped where they are few
-    grad /= n[touched, None] + np.float32(4)
-    squares[touched] += grad**2
-    weights[touched] += RATE * grad / np.sqrt(squares[touched])
+    n += np.bincount(flat, minlength=ROWS)
+    for j in range(CLASSES):
+        total[:, j] += np.bincount(flat, np.tile(gap[:, j], len(rows)), ROWS)
+
+
+def step(weights: np.ndarray, squares: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
+    """One AdaGrad step, in place: the mean over a feature's own tokens, damped where they are few."""
+    grad = total / (n[:, None] + 4)
+    squares += grad**2
+    weights += (RATE * grad / np.sqrt(squares)).astype(np.float32)
 
 
 def unpack(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,39 +110,38 @@ def by_tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 
 
 def train(resolved: DataFrame) -> np.ndarray:
-    """The softmax's weights after ROUNDS rounds of distributed updates."""
+    """The softmax's weights after ROUNDS distributed updates."""
     spark = resolved.sparkSession
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    mine = resolved.where("not held_out").select("cls", "bucket", "n_tokens", F.pmod("draw", F.lit(ROUNDS)).alias("round"))
+    weights, squares = np.zeros((ROWS, CLASSES), np.float32), np.full((ROWS, CLASSES), 1e-3)
     n_blocks = -(-ROWS // BLOCK)
 
     for nth in range(ROUNDS):
         now = spark.sparkContext.broadcast(weights)
 
-        def update(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            w = now.value.copy()
-            squares = np.full_like(w, 1e-3)
-            seen = 0
+        def summed(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros((ROWS, CLASSES)), np.zeros(ROWS, np.int64)
             for part in by_tokens(batches, 8 * STEP):
                 cls, bucket, at = unpack(part)
                 rows = history(cls, bucket, at)
                 for i in range(0, len(cls), STEP):
-                    learn(rows[:, i : i + STEP], cls[i : i + STEP], w, squares)
-                seen += len(cls)
-            if seen:
-                w -= now.value
-                moved = [(w[b * BLOCK : (b + 1) * BLOCK] * seen).tobytes() for b in range(n_blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_blocks)), pa.array(np.full(n_blocks, seen)), pa.array(moved, pa.binary())], names=["block", "n", "moved"])
+                    gradient(rows[:, i : i + STEP], cls[i : i + STEP], now.value, total, n)
+            if n.any():
+                block = lambda x, b: x[b * BLOCK : (b + 1) * BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n_blocks)), pa.array([block(total.astype(np.float32), b) for b in range(n_blocks)], pa.binary()), pa.array([block(n, b) for b in range(n_blocks)], pa.binary())], names=["block", "total", "n"]
+                )
 
         def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("moved").to_pylist())
-            n = sum(table.column("n").to_pylist())
-            return pa.table({"block": table.column("block")[:1], "n": [n], "moved": [(total / n).astype(np.float32).tobytes()]})
-
-        sent = mine.where(F.col("round") == nth).select("cls", "bucket", "n_tokens").mapInArrow(update, "block long, n long, moved binary")
-        for row in sent.groupBy("block").applyInArrow(add, "block long, n long, moved binary").collect():  # the weights' size, whatever the input
-            piece = np.frombuffer(row["moved"], np.float32).reshape(-1, CLASSES)
-            weights[row["block"] * BLOCK : row["block"] * BLOCK + len(piece)] += piece
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("total").to_pylist())
+            n = sum(np.frombuffer(x, np.int64) for x in table.column("n").to_pylist())
+            return pa.table({"block": table.column("block")[:1], "total": [total.tobytes()], "n": [n.tobytes()]})
+
+        schema = "block long, total binary, n binary"
+        sent = resolved.where(F.col("round") == nth).select("cls", "bucket", "n_tokens").mapInArrow(summed, schema)
+        found = sorted(sent.groupBy("block").applyInArrow(add, schema).collect(), key=lambda r: r["block"])  # the weights' size, whatever the input
+        if found:
+            total = np.frombuffer(b"".join(r["total"] for r in found)).reshape(ROWS, CLASSES)
+            step(weights, squares, total, np.frombuffer(b"".join(r["n"] for r in found), np.int64))
         now.unpersist()
     return weights
 
@@ -150,11 +153,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     score (the model), both log10 of the text's probability.
 
     Null, empty and blank texts have the end alone. Rows without doc_id are training rows. Repeated doc_ids are
-    documents each. With no training document every word is unknown. Empty table: no rows. Other columns are not
+    documents each. Very long texts are scored whole. With no training document every word is unknown. Empty table: no rows. Other columns are not
     looked at.
     """
     spark = docs.sparkSession
     docs = id_and(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("flag", ~held("doc_id", modulus, which))
+    # a training document's round; -1: not for training
+    docs = docs.withColumn("draw", F.when(F.col("flag"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))).otherwise(-1).cast("long"))
     coded, vocabulary = code_words(docs, lambda t: t.words(), "maxent-coded", lower=True)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +208,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
             {
                 "doc_id": left.column("doc_id"),
                 "held_out": pa.array(~left.column("flag").to_numpy().astype(bool)),
-                "draw": pa.array((mix(codes_key(codes, at)) >> U(1)).astype(np.int64)),
+                "round": left.column("draw"),
                 "n_tokens": pa.array(np.diff(cut)),
                 "n_known": pa.array(known + (n_train > 0)),
                 "base": pa.array(base + end_base),
@@ -217,8 +222,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     for word, i in alone.items():
         special = F.when(F.col("word") == word, i).otherwise(special)
     found = vocabulary.join(counts.withColumn("cls", F.coalesce(special, "cls")), "word").select("bundle", "code", "c", "cls", "bucket")
-    resolved = with_found(coded, found, resolve, "doc_id long, held_out boolean, draw long, n_tokens long, n_known long, base double, within double, cls binary, bucket binary")
-    resolved = written(resolved, "maxent-resolved")
+    resolved = with_found(coded, found, resolve, "doc_id long, held_out boolean, round long, n_tokens long, n_known long, base double, within double, cls binary, bucket binary")
+    # in the order of the rounds, so that a round skips the pages of others
+    resolved = written(resolved.sortWithinPartitions("round"), "maxent-resolved")
     weights = spark.sparkContext.broadcast(train(resolved))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +242,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def codes_key(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number for each document, by which it falls into a round."""
-    total = np.concatenate((np.zeros(1, U), np.cumsum((codes.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))))
-    return total[at[1:]] - total[at[:-1]]
-
-
 def op6_maxent(spark, sf_dir: str) -> DataFrame:
     """The score of every text of ``documents``."""
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
