@@ -98,7 +98,7 @@ def minwise(grams: np.ndarray, of: np.ndarray, similarity: float) -> tuple[np.nd
             least = mix(np.minimum.reduceat((grams ^ SEEDS[k]) * U(0x9FB21C651E98DF25), of[full]))
             tokens[full, k] = least >> U(48)
             if k in place:
-                nodes[full, place[k]] = mix(least + U(k) * U(0x8CB92BA72F3D8DD7)).view(np.int64)
+                nodes[full, place[k]] = mix(least + U(k * 0x8CB92BA72F3D8DD7 % (1 << 64))).view(np.int64)
     return tokens, nodes
 
 

@@ -136,11 +136,10 @@ def test_quality_learns_from_texts_full_of_symbols(spark):
     assert all(r["bits"] > 1 and r["kept"] for r in found)
 
 
-def test_quality_has_a_model_for_every_language(spark, monkeypatch):
+def test_quality_has_a_model_for_every_language(spark):
     rng = random.Random(9)
     text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(80))
     rows = [(100 * k + i, text("abcdefghijklmnopqrstuvwxyz"[k : k + 4]), f"l{k:02}" if k else None) for k in range(20) for i in range(7 if k < 15 else 6)]
-    monkeypatch.setattr(quality, "READY", 3)
     found = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)).collect()
     assert len(found) == len(rows) and all(r["kept"] for r in found)
     assert len({(r["low"], r["high"]) for r in found if r["doc_id"] >= 100}) >= 17
@@ -161,11 +160,48 @@ def test_quality_rejects_beyond_either_band(spark):
     assert not found[901]["kept"] and found[901]["bits"] < found[901]["low"]
 
 
-def test_kneser_ney_sums_to_one():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 4000))
-    model = quality.Kneser(np.random.default_rng(2).integers(1, 9, len(keys)), keys)
-    for context in (0, 5, 1234, 30_000):
-        assert abs(model.prob(np.arange(32) | context << 5).sum() - 1) < 1e-9
+def kneser_ney(grams: Counter) -> dict[tuple, float]:
+    """Modified Kneser-Ney by its formulas: the probability of each 4-gram (a tuple) given its first three."""
+    counts = {4: grams}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    lower = {(): 1 / (len(counts[1]) + 1)}
+    for k in range(1, 5):
+        c = [sum(v == i for v in counts[k].values()) for i in range(5)]
+        y = c[1] / max(1, c[1] + 2 * c[2])
+        d = [min(max(i - (i + 1) * y * c[i + 1] / max(1, c[i]), 0.05), i - 0.05) for i in (1, 2, 3)]
+        total, gone = Counter(), Counter()
+        for g, n in counts[k].items():
+            total[g[:-1]] += n
+            gone[g[:-1]] += d[min(n, 3) - 1]
+        lower = {g: (n - d[min(n, 3) - 1]) / total[g[:-1]] + gone[g[:-1]] / total[g[:-1]] * lower[g[1:]] for g, n in counts[k].items()}
+    return lower
+
+
+def test_quality_model_is_kneser_ney(spark):
+    rng = random.Random(2)
+    rows = [(100 * (lang is None) + i, "".join(rng.choice("abАя中 9é𝒳") for _ in range(60)), lang) for i in range(40) for lang in ("xx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["bits"] for r in quality.score_quality(docs).collect()}
+    for lang in ("xx", None):
+        grams, each = Counter(), {}
+        for i, t, of in rows:
+            if of == lang:
+                line = "   " + re.sub(r"\d", "0", t)
+                each[i] = [tuple(line[k : k + 4]) for k in range(len(t))]
+                grams.update(each[i])
+        p = kneser_ney(grams)
+        for i, gs in each.items():
+            assert abs(found[i] - np.mean([-np.log2(p[g]) for g in gs])) < 1e-4
+        context = Counter(g[:3] for g in grams).most_common(1)[0][0]
+        assert sum(p[g] for g in grams if g[:3] == context) <= 1 + 1e-9
+
+
+def test_quality_in_bundles_is_the_same(docs, monkeypatch):
+    whole = grouped(quality.score_quality(docs).collect(), "bits", "kept")
+    monkeypatch.setattr(quality, "BROADCAST", 0)
+    monkeypatch.setattr(quality, "BUNDLE", 20_000)
+    assert grouped(quality.score_quality(docs).collect(), "bits", "kept") == whole
 
 
 @pytest.mark.parametrize("count", [5, 40])
@@ -247,6 +283,57 @@ def test_pieces_are_the_librarys(docs, none):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_viterbi_over_the_lattice_is_the_best_path(spark):
+    rng = random.Random(12)
+    table = [(p, i, -rng.random() * 5) for i, p in enumerate(sorted({"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))) for _ in range(40)}))]
+    words = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    df = spark.createDataFrame([(0, w) for w in sorted(set(words))], "bundle long, word string")
+    found = pieces.encode_units(df, spark.createDataFrame(table, "piece string, id int, score double"), 4, list(range(1000, 1256)), viterbi=True).collect()
+    score = {p: (v, i) for p, i, v in table}
+
+    def best(w: str) -> tuple[float, list[int]]:
+        at = [(0.0, [])]
+        for e in range(1, len(w) + 1):
+            options = []
+            for s in range(max(0, e - 4), e):
+                p = w[s:e]
+                if p in score:
+                    options.append((at[s][0] + score[p][0], at[s][1] + [score[p][1]]))
+                elif e - s == 1:
+                    options.append((at[s][0] + pieces.SPELLED, at[s][1] + [1000 + b for b in p.encode()]))
+            at.append(max(options, key=lambda o: o[0]))
+        return at[-1]
+
+    name = {i: p for p, i, _ in table} | {1000 + b: chr(b) for b in range(128)}
+    value = lambda ids: sum(score[name[i]][0] if i < 1000 else pieces.SPELLED for i in ids)
+    assert len(found) == len(set(words))
+    for r in found:  # of paths of one score either will do
+        assert "".join(name[i] for i in r["ids"]) == r["word"].replace(" ", "▁") and abs(value(r["ids"]) - best(r["word"].replace(" ", "▁"))[0]) < 1e-9
+
+
+def test_texts_longer_than_a_run(spark):
+    """A text of 2.6 MB, more than two runs: whole, in every operator that cuts batches into runs."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(20)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long, "xx"), (2, long[:3000], "xx"), (3, long, "xx")], "doc_id long, text string, lang string")
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert near[1] == near[3] == (len(shingles(long)), 1) and near[2][1] == 2
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.without_repeats(docs).collect()}
+    assert cut[1] == (400_000, 0) and cut[3] == (400_000, 400_000) and cut[2][1] >= 20
+    assert {r["doc_id"]: r["n_words"] for r in quality.score_quality(docs).collect()}[1] == 400_000
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = zlib.crc32(np.array(t.encode(long, add_special_tokens=False).ids + [1], "<u4").tobytes())
+    got = sorted((r["start"], bytes(r["ids"])) for r in packing.pack(docs.where("doc_id = 1"), packing.tokenizer_path()).collect())
+    assert zlib.crc32(b"".join(x for _, x in got)) == want
+    path = pieces.model_path()
+    ids = pieces.encode(docs.where("doc_id = 1"), path).first()["ids"]
+    assert np.frombuffer(ids, "<u4").tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(long)
+
+
 def test_language_on_held_out(spark, none):
     rng = random.Random(1)
     parts = {"xx": ["ka", "lo", "mi", "ta"], "yy": ["ßen", "ung", "sch", "ver"], "zz": ["ère", "eux", "oi", "qu"]}
@@ -276,6 +363,22 @@ def test_marginals_are_forward_backward():
         assert np.allclose(total / total.sum(1, keepdims=True), got[first : first + n], atol=1e-4)
 
 
+def test_pair_marginals_are_those_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    e, moves, start = rng.random((6, 3)).astype(np.float32) + 0.1, rng.normal(size=(3, 3)), rng.normal(size=3)
+    filtered = np.empty_like(e)
+    p = langid.marginals(e, np.array([0]), np.array([6]), moves, start, filtered)
+    got = langid.pair_marginals(filtered[:-1], p[1:], moves)
+    want = np.zeros((5, 3, 3))
+    for path in itertools.product(range(3), repeat=6):
+        odds = np.exp(start[path[0]]) * np.prod([e[i, s] for i, s in enumerate(path)]) * np.exp(sum(moves[a, b] for a, b in itertools.pairwise(path)))
+        for i, (a, b) in enumerate(itertools.pairwise(path)):
+            want[i, a, b] += odds
+    assert np.allclose(got, want / want.sum((1, 2), keepdims=True), atol=1e-4)
+
+
 def test_language_model(docs, none):
     tokens = [(d, [w.translate(SMALL) for w in words(t)] + [None]) for d, t, _ in texts()]
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
@@ -289,6 +392,25 @@ def test_language_model(docs, none):
     assert all(r["score"] < 0 for r in found) and maxent.score_texts(none).count() == 0
 
 
+def test_language_model_does_not_depend_on_the_partitions(docs):
+    score = lambda df: {k: [round(v[0], 5) for v in x] for k, x in grouped(maxent.score_texts(df).collect(), "score").items()}
+    assert score(docs) == score(docs.repartition(7, "text"))
+
+
+def test_language_model_gains_over_words_alone(spark):
+    rng = random.Random(6)
+    words = {c: [f"{c}{i}{e}" for i in range(40)] for c, e in (("a", "er"), ("b", "en"), ("c", "ig"))}
+    rows = [(i, " ".join(rng.choice(words["abc"[k % 3]]) for k in range(60)), None) for i in range(300)]  # classes of words in turn
+    found = [r for r in maxent.score_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r["held_out"]]
+    assert len(found) > 20 and np.mean([r["score"] - r["base_score"] for r in found]) > 10
+
+
+def test_class_shares_sum_to_one():
+    rng = np.random.default_rng(1)
+    rows, weights = rng.integers(0, maxent.ROWS, (7, 50)), rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    assert np.allclose(np.exp(maxent.log_softmax(rows, weights)).sum(1), 1, atol=1e-5)
+
+
 def test_history_reaches_five_words_back():
     cls, bucket, at = np.arange(12) % 3, np.arange(12), np.array([0, 12])
     for k in range(1, 6):
