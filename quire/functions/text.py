@@ -49,10 +49,15 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(strip(x)) > 0)
 
 
+def without_line_ends(text: Column) -> Column:
+    """What is before the line ends at the end."""
+    return F.regexp_replace(text, r"\n+$", "")
+
+
 def segments(text: Column, marker: str, clean=strip) -> Column:
     """array<struct<marker, payload>>: each marker with what follows it up to the next."""
     rest = F.slice(F.split(text, marker, -1), 2, 1 << 30)
-    return F.transform(F.arrays_zip(found(marker, text).alias("marker"), rest.alias("payload")), lambda x: F.struct(x["marker"].alias("marker"), clean(x["payload"]).alias("payload")))
+    return F.transform(F.arrays_zip(found(marker, text).alias("marker"), rest.alias("payload")), lambda x: F.named_struct(F.lit("marker"), x["marker"], F.lit("payload"), clean(x["payload"])))
 
 
 def repaired_markers(original: Column, translated: Column) -> Column:

@@ -160,8 +160,8 @@ def flatten(root: Node) -> tuple[str, list[dict]]:
     return "".join(out), rows
 
 
-def parse(docs: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, normalized, nodes array<struct>): each document parsed once and held, in memory or on the executors' disks, for the operators that join on it.
+def parse(docs: DataFrame, key: str, html: str, carry: tuple[str, ...] = (), hold: bool = True) -> DataFrame:
+    """(key, normalized, nodes array<struct>, and the columns of ``carry``): each document parsed once and, with ``hold``, held in memory or on the executors' disks for the operators that join on it.
 
     Null markup parses as empty. What a lost executor held is parsed again from the source.
     """
@@ -178,11 +178,14 @@ def parse(docs: DataFrame, key: str, html: str) -> DataFrame:
                     normal, rows = flatten(tree(markup or "", mode == "xml"))
                     texts.append(normal)
                     all_nodes.append([{n: (list(r[n].items()) if n == "attrs" else r[n]) for n, _ in fields} for r in rows])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(all_nodes, pa.list_(struct))], names=["key", "normalized", "nodes"])
+                rest = [part.column(3 + i) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(all_nodes, pa.list_(struct)), *rest], names=["key", "normalized", "nodes", *carry])
 
-    src = docs.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"), F.coalesce(markup_mode(F.col(html)), F.lit("html")).alias("mode"))
+    src = docs.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"), F.coalesce(markup_mode(F.col(html)), F.lit("html")).alias("mode"), *carry)
     struct = ", ".join(f.strip().replace(" ", ": ", 1) for f in NODES.split(", "))
-    return src.mapInArrow(each, f"key long, normalized string, nodes array<struct<{struct}>>").withColumnRenamed("key", key).persist(StorageLevel.MEMORY_AND_DISK)
+    more = "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in carry)
+    out = src.mapInArrow(each, f"key long, normalized string, nodes array<struct<{struct}>>{more}").withColumnRenamed("key", key)
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if hold else out
 
 
 def nodes(parsed: DataFrame, key: str) -> DataFrame:

@@ -422,14 +422,14 @@ _TURNS = "SELECT conv_id, turn, '[TEXT:' || turn || ']' || regexp_replace(text,
 @query(
     "marker_segments",
     rf"""WITH c AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, line) AS t FROM ({_TURNS}) GROUP BY conv_id)
-SELECT conv_id, i::BIGINT AS pos, m[i] AS marker, md5(trim(p[i + 1], chr(10) || ' ')) AS payload_md5 FROM (SELECT conv_id, regexp_extract_all(t, '\[TEXT:\d+\]') AS m, regexp_split_to_array(t, '\[TEXT:\d+\]') AS p, unnest(range(1, len(regexp_extract_all(t, '\[TEXT:\d+\]')) + 1)) AS i FROM c)""",
+SELECT conv_id, i::BIGINT AS pos, m[i] AS marker, md5(rtrim(p[i + 1], chr(10))) AS payload_md5 FROM (SELECT conv_id, regexp_extract_all(t, '\[TEXT:\d+\]') AS m, regexp_split_to_array(t, '\[TEXT:\d+\]') AS p, unnest(range(1, len(regexp_extract_all(t, '\[TEXT:\d+\]')) + 1)) AS i FROM c)""",
 )
 def marker_segments(spark, sf_dir):
     """Conversations as marked lines, split into their segments again."""
     line = F.concat(F.lit("[TEXT:"), F.col("turn").cast("string"), F.lit("]"), F.regexp_replace("text", r"\s+", " "))
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("x"))
     joined = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("t"))
-    each = joined.select("conv_id", F.posexplode(text.segments(F.col("t"), text.TEXT_MARKER)).alias("pos", "s"))
+    each = joined.select("conv_id", F.posexplode(text.segments(F.col("t"), text.TEXT_MARKER, text.without_line_ends)).alias("pos", "s"))
     return each.select("conv_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("s.marker").alias("marker"), F.md5("s.payload").alias("payload_md5"))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 2
-ITEM = "id string, path string, content string, translated string, chunks array<struct<name: string, original: string, translated: string, status: string, tokens: int, chunk_mode: string, xpaths: array<string>>>, preserved_pre array<string>, preserved_code array<string>, preserved_style array<string>"
-BOOK = f"name string, path string, extract_path string, checkpoint_schema_version int, items array<struct<{ITEM.replace(' string', ': string').replace('chunks array', 'chunks: array').replace('preserved_pre array', 'preserved_pre: array').replace('preserved_code array', 'preserved_code: array').replace('preserved_style array', 'preserved_style: array')}>>"
+CHUNK = "struct<name: string, original: string, translated: string, status: string, tokens: int, chunk_mode: string, xpaths: array<string>>"
+ITEM = {"id": "string", "path": "string", "content": "string", "translated": "string", "chunks": f"array<{CHUNK}>"} | dict.fromkeys(("preserved_pre", "preserved_code", "preserved_style"), "array<string>")
+BOOK = f"name string, path string, extract_path string, checkpoint_schema_version int, items array<struct<{', '.join(f'{k}: {v}' for k, v in ITEM.items())}>>"
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
@@ -46,13 +47,36 @@ def derived_paths(path: Column) -> Column:
 
 
 def checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """(book, item, ...) rows of checkpoints; another version is an error."""
-    books = spark.read.schema(BOOK).option("multiLine", "true").json(path)
+    """(book, item, ...) rows of checkpoints, a file each; a file that is no JSON is no checkpoint, another version is an error."""
+    files = spark.read.text(path, wholetext=True).where(F.try_parse_json("value").isNotNull())
+    books = files.select(F.from_json("value", BOOK).alias("b")).select("b.*")
     version = F.coalesce("checkpoint_schema_version", F.lit(-1))
     bad = F.raise_error(F.concat(F.lit("checkpoint of version "), version.cast("string")))
     return books.where(F.when(version == VERSION, F.lit(True)).otherwise(bad.cast("boolean"))).select(F.col("name").alias("book"), F.explode("items").alias("i")).select("book", "i.*")
 
 
+TITLE = "/html/head/title"
+
+
+def legacy_items(items: DataFrame, is_nav: Column, meaningful: Column, most: int = 24) -> DataFrame:
+    """Items (book, id, chunks) of old checkpoints whose chunks have to be made again: (book, id, is_nav, kept), with finished chunks of the title as ``kept``.
+
+    Navigation without navigation chunks, or with one of more than ``most`` targets; other documents with a meaningful body but without
+    chunks, or with chunks of the title alone. Chunks have name, translated, status, chunk_mode, xpaths and n_targets.
+    """
+    chunks = F.coalesce("chunks", F.filter("chunks", lambda c: F.lit(False)))
+    nav_mode = lambda c: F.coalesce(c["chunk_mode"] == "nav_text", F.lit(False))
+    oversized = F.exists("chunks", lambda c: nav_mode(c) & (F.coalesce(c["n_targets"], F.lit(0)) > most))
+    none = F.coalesce(F.size("chunks"), F.lit(0)) <= 0
+    old_nav = none | ~F.exists("chunks", nav_mode) | oversized
+    of_title = lambda c: (F.size(c["xpaths"]) > 0) & F.forall(c["xpaths"], lambda x: x == TITLE)
+    old = none | F.forall("chunks", lambda c: F.coalesce(of_title(c), F.lit(False)))
+    again = F.when(is_nav, F.coalesce(old_nav, F.lit(True))).otherwise(F.coalesce(old, F.lit(True)) & meaningful)
+    finished = lambda c: (F.coalesce(F.length(F.trim(c["translated"])), F.lit(0)) > 0) | F.coalesce(c["status"].isin("translated", "accepted_as_is", "completed", "writeback_failed"), F.lit(False))
+    kept = F.when(~is_nav, F.filter(chunks, lambda c: F.coalesce(of_title(c), F.lit(False)) & finished(c)))
+    return items.where(again).select("book", "id", is_nav.alias("is_nav"), kept.alias("kept"))
+
+
 def glossary(text: DataFrame) -> DataFrame:
     """(term, translation) of JSON texts (value): pairs with a translation; what isn't an object has none."""
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("term", "translation")).where("length(translation) > 0")
@@ -88,17 +112,31 @@ def stylesheets(opf: Column) -> Column:
     return F.regexp_extract_all(opf, F.lit(r'<item\b[^>]*\bhref="([^"]+\.css)"[^>]*\bmedia-type="text/css"'), F.lit(1))
 
 
-CODE_FONT, TEXT_FONT = '"Courier New", monospace', "STYuanti"
-CODE_SELECTOR = r"(?i)\b(code|pre|tt|kbd|samp|mono\w*|listing|programlisting)\b"
+# The fonts, the rules that take the one for code, and the rules that a stylesheet without fonts gets.
+CODE_FONT, TEXT_FONT = '"Courier New", monospace', "STYuanti, serif"
+CODE_SELECTOR = r"(?i)\b(code|pre|math|kbd|samp|\.source-code|\.source-inline|\.screen-inline|\.sc-highlight|\.console|\.highlight)\b"
+TEXT_RULE = """
+/* 全局字体设置 */
+body, p, h1, h2, h3, h4, h5, h6, div, span, .figure-caption, .callout-heading, .callout, .index-head {
+    font-family: STYuanti, serif;
+}
+"""
+CODE_RULE = """
+/* 代码和数学标签使用等宽字体 */
+code, pre, math, kbd, samp, .source-code, .source-inline, .screen-inline, .sc-highlight, .console, .highlight {
+    font-family: "Courier New", monospace;
+}
+"""
 
 
 def with_fonts(css: Column) -> Column:
-    """Every rule's font family: one for code, one for the rest; rules for both at the end if none names a family."""
+    """Every rule's (first) font family: one for code, one for the rest; rules for both at the end if none names a family. A declaration counts with its semicolon."""
     rules = F.regexp_extract_all(css, F.lit(r"[^{}]*\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0))
-    new = lambda f: f"font-family: {f};"
-    one = lambda r: F.when(F.regexp_extract(r, r"^([^{]*)\{", 1).rlike(CODE_SELECTOR), F.regexp_replace(r, r"font-family\s*:[^;}]*;?", new(CODE_FONT))).otherwise(F.regexp_replace(r, r"font-family\s*:[^;}]*;?", new(TEXT_FONT)))
-    tail = f"\nbody {{ {new(TEXT_FONT)} }}\ncode, pre {{ {new(CODE_FONT)} }}\n"
-    return F.when(css.rlike(r"font-family\s*:"), F.array_join(F.transform(rules, one), "")).otherwise(F.concat(css, F.lit(tail)))
+    family = r"(?is)^([^{]*\{[^}]*?)font-family\s*:[^;}]*;"
+    put = lambda r, font: F.regexp_replace(r, family, f"$1font-family: {font};")
+    one = lambda r: F.when(F.regexp_extract(r, r"^([^{]*)\{", 1).rlike(CODE_SELECTOR), put(r, CODE_FONT)).otherwise(put(r, TEXT_FONT))
+    changed = F.array_join(F.transform(rules, one), "")
+    return F.when(css.rlike(r"(?i)font-family\s*:[^;]*;"), changed).otherwise(F.concat(css, F.lit("\n" + TEXT_RULE + "\n" + CODE_RULE)))
 
 
 def archives(files: DataFrame) -> DataFrame:
