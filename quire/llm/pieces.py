@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding on a relational lattice (operator 5).
 
 Texts are cut into units where no piece of the vocabulary reaches across: before a run of spaces, and between letters, digits
-and other marks, as far as the model's pieces allow that. Documents are dealt by a hash into bundles of some 24 MB, by
+and other marks, as far as the model's pieces allow that. Documents are dealt by a hash into bundles of some 8 MB, by
 one shuffle; a bundle's different units are encoded once, and everything else stays in its partition: their substrings of bounded
 length are exploded and equi-joined with the piece table, which gives the edges of the lattice; these are grouped
 by unit and folded with Spark's higher-order functions.
@@ -32,7 +32,7 @@ MARK = "▁"
 #: Characters of a unit that the bit set holds.
 LONG = 60
 #: Bytes of text of a bundle.
-BUNDLE = 24 << 20
+BUNDLE = 8 << 20
 #: Classes of characters: space, letters (ASCII and U+00C0 to U+023F, whose UTF-8 begins with C3 to C8), digits, others.
 SPACE, LETTER, DIGIT, OTHER = range(4)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -103,34 +103,36 @@ def encode_units(words: DataFrame, pieces: DataFrame, longest: int, spelled: lis
     """
     spots = F.expr(f"flatten(transform(sequence(0, length(chars) - 1), s -> transform(sequence(s + 1, least(s + {longest}, length(chars))), e -> struct(s, e, substring(chars, s + 1, e - s) as piece))))")
     cells = words.withColumn("chars", F.translate("word", " ", MARK)).select("bundle", "word", F.explode(spots).alias("x"))
-    single = F.col("x.e") - F.col("x.s") == 1
-    edges = cells.select("bundle", "word", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.piece").alias("piece"), single.alias("single"))
+    edges = cells.select("bundle", "word", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.piece").alias("piece"), (F.col("x.e") - F.col("x.s") == 1).alias("single"))
     edges = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or single")  # a place without a piece is spelled
-    spell = F.expr("CASE WHEN id IS NULL THEN encode(piece, 'UTF-8') END").alias("raw")
-    fold = path_of_scores if viterbi else path_of_merges
-    ordered = fold(edges.select("bundle", "word", "single", "score", "s", "e", "id", spell))
+    ordered = (path_of_scores if viterbi else path_of_merges)(edges)
     table = "array(" + ", ".join(map(str, spelled)) + ")"
-    by_byte = f"transform(sequence(1, length(x.raw)), i -> {table}[cast(conv(hex(substring(x.raw, i, 1)), 16, 10) as int)])"
+    raw = f"encode(substring(translate(word, ' ', '{MARK}'), x.s + 1, 1), 'UTF-8')"
+    by_byte = f"transform(sequence(1, length({raw})), i -> {table}[cast(conv(hex(substring({raw}, i, 1)), 16, 10) as int)])"
     ids = F.expr(f"flatten(transform(path, x -> CASE WHEN x.id IS NOT NULL THEN array(x.id) ELSE {by_byte} END))")
     return ordered.select("bundle", "word", ids.alias("ids"))
 
 
 def path_of_merges(edges: DataFrame) -> DataFrame:
-    """(bundle, word, path): the segments that are left when the merges are replayed."""
-    bit = lambda x: f"shiftleft(1L, {x})"
-    edge = F.struct(
-        F.col("single").alias("one"), (-F.col("score")).alias("rank"), F.col("s"), F.col("e"), F.col("id"), F.col("raw"),
-        F.expr(f"{bit('s')} | {bit('e')}").alias("ends"),
-        F.expr(f"({bit('e')} - {bit('s + 1')})").alias("inner"),
-    )
+    """(bundle, word, path): the segments that are left when the merges are replayed.
+
+    An edge is one number, whose order is that of the merges: whether it is a single character, the piece's rank (20 bits), s and e (6 bits each), and the
+    id + 1, or 0 (24 bits).
+    """
+    edge = F.expr("shiftleft(CAST(single AS BIGINT), 56) | shiftleft(CAST(coalesce(rank, 0) AS BIGINT), 36) | shiftleft(CAST(s AS BIGINT), 30) | shiftleft(CAST(e AS BIGINT), 24) | (coalesce(id, -1) + 1)")
     lattice = edges.select("bundle", "word", edge.alias("edge")).groupBy("bundle", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    nth = "size(filter(edges, x -> x.one))"
-    lattice = lattice.select("bundle", "word", "edges", F.expr("filter(edges, x -> NOT x.one)").alias("merges"), F.expr(f"{bit(f'({nth} + 1)')} - 1").alias("all"), F.expr(nth).alias("n"))
+    low, high = "(shiftright(x, 30) & 63)", "(shiftright(x, 24) & 63)"
+    lattice = lattice.select("bundle", "word", "edges", F.length("word").alias("n"))
+    ends = f"shiftleft(1L, CAST({low} AS INT)) | shiftleft(1L, CAST({high} AS INT))"
+    inner = f"shiftleft(1L, CAST({high} AS INT)) - shiftleft(1L, CAST({low} AS INT) + 1)"
+    merges = f"transform(filter(edges, x -> x < shiftleft(1L, 56)), x -> struct({ends} AS ends, {inner} AS inner))"
+    lattice = lattice.select("bundle", "word", "edges", F.expr(merges).alias("merges"), F.expr("shiftleft(1L, n + 1) - 1").alias("all"), "n")
     step = "m & ~coalesce(get(filter(merges, x -> (m & x.ends) = x.ends AND bit_count(m & x.inner) = 1), 0).inner, 0L)"
     # a step without a merge changes nothing, so as many steps as places are enough
     folded = lattice.withColumn("cuts", F.expr(f"CASE WHEN size(merges) = 0 THEN all ELSE aggregate(sequence(1, n), all, (m, i) -> {step}) END"))
-    chosen = "filter(edges, x -> (cuts & x.ends) = x.ends AND (cuts & x.inner) = 0)"
-    return folded.select("bundle", "word", F.expr(f"array_sort(transform({chosen}, x -> struct(x.s as s, x.id as id, x.raw as raw)))").alias("path"))
+    chosen = f"filter(edges, x -> (cuts & ({ends})) = ({ends}) AND (cuts & ({inner})) = 0)"
+    segment = f"struct(CAST({low} AS INT) AS s, CAST(nullif(x & 16777215, 0) - 1 AS INT) AS id)"
+    return folded.select("bundle", "word", F.expr(f"array_sort(transform({chosen}, x -> {segment}))").alias("path"))
 
 
 #: What a spelled character adds to a path's score.
@@ -139,15 +141,15 @@ SPELLED = -1000.0
 
 def path_of_scores(edges: DataFrame) -> DataFrame:
     """(bundle, word, path): the Viterbi path."""
-    edge = F.struct("e", (-F.col("s")).alias("back"), "s", F.coalesce("score", F.lit(SPELLED)).alias("score"), "id", "raw")
+    edge = F.struct("e", (-F.col("s")).alias("back"), "s", F.coalesce("score", F.lit(SPELLED)).alias("score"), "id")
     lattice = edges.select("bundle", "word", edge.alias("edge")).groupBy("bundle", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    none = "named_struct('v', CAST(NULL AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT), 'raw', CAST(NULL AS BINARY))"
-    first = "named_struct('v', CAST(0 AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT), 'raw', CAST(NULL AS BINARY))"
-    at_end = "transform(b, (y, i) -> CASE WHEN i = x.e AND (y.v IS NULL OR b[x.s].v + x.score > y.v) THEN named_struct('v', b[x.s].v + x.score, 's', x.s, 'id', x.id, 'raw', x.raw) ELSE y END)"
+    none = "named_struct('v', CAST(NULL AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT))"
+    first = "named_struct('v', CAST(0 AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT))"
+    at_end = "transform(b, (y, i) -> CASE WHEN i = x.e AND (y.v IS NULL OR b[x.s].v + x.score > y.v) THEN named_struct('v', b[x.s].v + x.score, 's', x.s, 'id', x.id) ELSE y END)"
     best = lattice.select("bundle", "word", F.expr(f"aggregate(edges, transform(sequence(0, length(word)), i -> CASE WHEN i = 0 THEN {first} ELSE {none} END), (b, x) -> {at_end})").alias("best"))
     # back from the end: the place reached, and the path from there on
-    start = "named_struct('p', length(word), 'path', CAST(array() AS ARRAY<STRUCT<s: INT, id: INT, raw: BINARY>>))"
-    back = "CASE WHEN a.p <= 0 THEN a ELSE named_struct('p', best[a.p].s, 'path', concat(array(named_struct('s', best[a.p].s, 'id', best[a.p].id, 'raw', best[a.p].raw)), a.path)) END"
+    start = "named_struct('p', length(word), 'path', CAST(array() AS ARRAY<STRUCT<s: INT, id: INT>>))"
+    back = "CASE WHEN a.p <= 0 THEN a ELSE named_struct('p', best[a.p].s, 'path', concat(array(named_struct('s', best[a.p].s, 'id', best[a.p].id)), a.path)) END"
     return best.select("bundle", "word", F.expr(f"aggregate(sequence(1, length(word)), {start}, (a, i) -> {back}, a -> a.path)").alias("path"))
 
 
@@ -200,7 +202,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     table = vocabulary(model)
     spelled = byte_ids(model)
-    pieces = spark.createDataFrame(table, "piece string, id int, score double")
+    ranked = [(p, i, v, r) for r, (p, i, v) in enumerate(sorted(table, key=lambda x: (-x[2], x[1])))]
+    pieces = spark.createDataFrame(ranked, "piece string, id int, score double, rank int")
     longest = max(len(p) for p, _, _ in table)
     how = cuts([p for p, _, _ in table])
     rank = spark.sparkContext.broadcast({p: (s, i) for p, i, s in table})
