@@ -198,7 +198,7 @@ _CONTEXT = r"regexp_replace({0}, '\s+', ' ', 'g')"
 
 @query(
     "residual_english",
-    rf"""WITH src AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'Chapter ' || text WHEN 1 THEN '译文 ' || text WHEN 2 THEN substr(text, 1, 24) ELSE text END AS t FROM conversations),
+    rf"""WITH src AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'Chapter ' || text WHEN 1 THEN '译文 ' || text ELSE text END AS t FROM conversations),
 c AS (SELECT conv_id, turn, t, trim(regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}|https?://\S+|[A-Za-z0-9_./-]+/[A-Za-z0-9_./-]+', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM src),
 w AS (SELECT conv_id, turn, t, list_filter(list_transform(regexp_extract_all(k, '[A-Za-z][A-Za-z''-]*'), lambda x: trim(x, '''')),
   lambda x: NOT (lower(x) IN ({_in(language.ALLOWED)}) OR (len(x) <= 5 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')) OR regexp_matches(x, '[a-z][A-Z]'))) AS words FROM c)
@@ -207,7 +207,7 @@ SELECT conv_id, turn, len(words)::BIGINT AS n_words, len(list_filter(words, lamb
 )
 def residual_english(spark, sf_dir):
     """Words, stop words and headings that the residual-language classifier counts in every turn; paths, addresses and URLs go first."""
-    t = F.expr("CASE conv_id % 4 WHEN 0 THEN concat('Chapter ', text) WHEN 1 THEN concat('译文 ', text) WHEN 2 THEN substr(text, 1, 24) ELSE text END")
+    t = F.expr("CASE conv_id % 4 WHEN 0 THEN concat('Chapter ', text) WHEN 1 THEN concat('译文 ', text) ELSE text END")
     src = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
     codeish = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|https?://\S+|[A-Za-z0-9_./-]+/[A-Za-z0-9_./-]+"
     src = src.withColumn("words", language.words_of(F.trim(F.regexp_replace(F.regexp_replace("t", codeish, " "), r"\s+", " "))))
@@ -283,8 +283,7 @@ def status_machine(spark, sf_dir):
  count(*) FILTER (status = 'pending')::BIGINT AS pending, count(*) FILTER (status = 'writeback_failed')::BIGINT AS failed, coalesce(bool_or(status IN ('translation_failed', 'writeback_failed')), FALSE) AS incomplete FROM ({_CHUNKS}) GROUP BY lang""",
 )
 def status_stats(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    return status.statistics(c, "lang").join(c.groupBy("lang").agg(status.is_incomplete(F.col("status")).alias("incomplete")), "lang")
+    return status.statistics(_chunks(spark, sf_dir), "lang", more=(status.is_incomplete(F.col("status")).alias("incomplete"),))
 
 
 @query(
@@ -340,10 +339,21 @@ def glossary_validity(spark, sf_dir):
 _STOP = sorted({*language.STOPWORDS, *glossary.CODE_KEYWORDS, *_FORBIDDEN})
 
 
-@query("glossary_tfidf")
+@query(
+    "glossary_tfidf",
+    rf"""WITH p AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+s AS (SELECT row_number() OVER () AS sid, list_transform(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+'), lambda x: CASE WHEN x IN ({_in(_STOP)}) THEN '' ELSE x END) AS w FROM (SELECT unnest(regexp_split_to_array(t, '[.!?]+')) AS s FROM p WHERE length(t) > 100)),
+k AS (SELECT sid, w FROM s WHERE len(w) > 0),
+g AS (SELECT sid, w[i:i + n - 1] AS g FROM (SELECT sid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM k, (SELECT unnest([2, 3, 4, 5]) AS n) WHERE len(w) >= n)),
+f AS (SELECT sid, array_to_string(g, ' ') AS term, count(*) AS tf FROM g WHERE NOT list_contains(g, '') GROUP BY 1, 2),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), c AS (SELECT count(*) AS n FROM k),
+w AS (SELECT sid, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM f JOIN d USING (term), c),
+u AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY sid)) AS u FROM w)
+SELECT term, round(sum(u) / (SELECT n FROM c), 6) AS score FROM u GROUP BY term ORDER BY score DESC, term LIMIT 200""",
+)
 def glossary_tfidf(spark, sf_dir):
-    """The 200 terms (word runs of two to five) of English documents with the largest mean tf-idf: a top-k report."""
-    sents = glossary.sentences(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    """The 200 terms (word runs of two to five) of all documents with the largest mean tf-idf: a top-k report."""
+    sents = glossary.sentences(table(spark, sf_dir, "documents"))
     return glossary.tfidf(sents, glossary.ngrams(sents, _STOP))
 
 
@@ -522,10 +532,13 @@ def id_markers(spark, sf_dir):
 )
 def stream_merge(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "text").alias("seq"), F.col("text").alias("content"), F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("string").alias("usage"))
-    return workflow.merged_stream(turns, "conv_id").select("conv_id", F.md5("content").alias("content_md5")).join(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("deltas")), "conv_id")
+    return workflow.merged_stream(turns, "conv_id", F.count(F.lit(1)).alias("deltas")).select("conv_id", F.md5("content").alias("content_md5"), "deltas")
 
 
-@query("sanitize_output")
+@query(
+    "sanitize_output",
+    r"""SELECT page_id, length(t)::BIGINT AS length, md5(t) AS clean_md5 FROM (SELECT page_id, regexp_replace(replace(html, '><', '>' || chr(10) || '<'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM pages)""",
+)
 def sanitize_output(spark, sf_dir):
     """Pages with escapes and spelled-out line ends put in, cleaned again."""
     dirty = F.concat(F.replace("html", F.lit("><"), F.lit(">\\n<")), F.lit("\u001b[31m\u0007"))

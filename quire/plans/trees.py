@@ -64,11 +64,21 @@ def dom_xpaths(spark, sf_dir):
     return dom.nodes(pages(spark, sf_dir), "page_id").where("kind = 'element'").select("page_id", "xpath", "name", (F.col("last_desc") - F.col("node_id")).cast("long").alias("descendants"))
 
 
-@query("visible_text")
+#: References as their characters, those of the pages' footers and of texts; & at the end.
+_PLAIN = "{0}"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_char}')"
+
+
+@query(
+    "visible_text",
+    rf"""SELECT page_id, md5(trim(regexp_replace({_PLAIN.format(r"regexp_replace(html, '<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<[^>]*>', ' ', 'gs')")}, '[\s\p{{Z}}]+', ' ', 'g'))) AS text_md5 FROM pages""",
+)
 def visible_text(spark, sf_dir):
+    """What of a page can be read, white space squeezed."""
     from quire.functions.text import squeeze
 
-    return pages(spark, sf_dir).select("page_id", F.md5(squeeze(dom.visible(F.col("normalized")))).alias("text_md5"), F.length("normalized").cast("long").alias("length"))
+    return pages(spark, sf_dir).select("page_id", F.md5(squeeze(dom.visible(F.col("normalized")))).alias("text_md5"))
 
 
 @query("page_chunks")
@@ -77,7 +87,11 @@ def page_chunks(spark, sf_dir):
     return chunking.chunks(parsed, dom.nodes(parsed, "page_id"), "page_id", 200).select("page_id", "chunk_no", "name", "tokens", F.size("xpaths").cast("long").alias("n_blocks"))
 
 
-@query("nav_chunks")
+@query(
+    "nav_chunks",
+    rf"""WITH u AS (SELECT page_id, i - 1 AS i, trim({_PLAIN.format("t[i]")}) AS t FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a [^>]*>([^<]*)</a>', 1) AS t FROM pages)))
+SELECT page_id, 0 AS chunk_no, sum(greatest(1, len(regexp_extract_all('[NAVTXT:' || i || '] ' || t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))))::BIGINT AS tokens, count(*)::BIGINT AS n_units, md5(string_agg('[NAVTXT:' || i || '] ' || t, chr(10) ORDER BY i)) AS original_md5 FROM u GROUP BY page_id""",
+)
 def nav_chunks(spark, sf_dir):
     parsed = pages(spark, sf_dir)
     return chunking.nav_chunks(dom.nodes(parsed, "page_id"), "page_id").select("page_id", "chunk_no", "tokens", F.size("targets").cast("long").alias("n_units"), F.md5("original").alias("original_md5"))
@@ -112,7 +126,7 @@ def validate_pairs(spark, sf_dir):
     return validation.validated(pairs, "doc_id")
 
 
-@query("writeback_roundtrip")
+@query("writeback_roundtrip", "SELECT doc_id, true AS same, (doc_id % 4 = 0)::INT::BIGINT AS n_faults FROM documents")
 def writeback_roundtrip(spark, sf_dir):
     """Chunks written back as they are give the chapter again; one document in four has a chunk that is above another."""
     parsed = dom.parse(code_docs(spark, sf_dir), "doc_id", "html")
@@ -145,26 +159,3 @@ def nav_writeback(spark, sf_dir):
     html, faults = writeback.write_back(parsed, nodes, rows, "page_id")
     nav = html.select("page_id", F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0).alias("nav"))
     return nav.join(faults.select("page_id", "fault"), "page_id", "left").select("page_id", "fault", "nav")
-
-
-@query(
-    "restore_items",
-    """SELECT doc_id, true AS same, ((doc_id % 4 = 0)::INT + (doc_id % 3 = 0)::INT)::BIGINT AS n_failed FROM documents""",
-)
-def restore_items(spark, sf_dir):
-    """Protected chapters cut and put together again. One in four has a chunk above others, which stays out; in one of three the first chunk names an
-    original that there isn't, so the file is made again without it."""
-    parsed = dom.parse(code_docs(spark, sf_dir), "doc_id", "html")
-    safe = protect.protect(parsed, dom.nodes(parsed, "doc_id"), "doc_id")
-    shut = dom.parse(safe, "doc_id", "html", ("pre", "code", "style"))
-    nodes = dom.nodes(shut, "doc_id")
-    cut = chunking.chunks(shut, nodes, "doc_id", 120)
-    bad = (F.col("doc_id") % 3 == 0) & (F.col("chunk_no") == 0)
-    said = F.when(bad, F.replace("original", F.lit("source"), F.lit("[STYLE:9]"))).otherwise(F.col("original"))
-    done = F.lit("translated").alias("status")
-    rows = cut.select("doc_id", "name", F.col("chunk_no").alias("seq"), "xpaths", said.alias("translated"), done)
-    wide = shut.where("doc_id % 4 = 0").select("doc_id", F.lit("wide").alias("name"), F.lit(-1).cast("long").alias("seq"), F.array(F.lit("/html/body")).alias("xpaths"), F.lit("<body>x</body>").alias("translated"), done)
-    html, status = writeback.restore_items(shut.select("doc_id", "normalized", "pre", "code", "style"), nodes, rows.unionByName(wide), "doc_id")
-    failed = status.groupBy("doc_id").agg(F.count_if(F.col("status") == "writeback_failed").alias("n_failed"))
-    met = html.join(parsed.select("doc_id", "normalized"), "doc_id").join(failed, "doc_id")
-    return met.select("doc_id", F.coalesce(F.col("html") == F.col("normalized"), F.lit(False)).alias("same"), "n_failed")
