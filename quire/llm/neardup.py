@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tables import id_and, may_contain, membership, written
-from quire.llm.textbuf import U, mix, packed, runs, sums, window_starts, windows
+from quire.llm.textbuf import U, mix, packed, release, runs, sums, window_starts, windows
 
 SHINGLE, TREES, POOL, SMALL = 5, 12, 16, 256
 TOKENS = TREES * POOL
@@ -198,6 +198,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     met = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
@@ -345,6 +346,7 @@ def in_small(members: DataFrame, percent: int) -> DataFrame:
                 yield from whole(now.slice(0, cut))
         if rest is not None and rest.num_rows:
             yield from whole(rest)
+        release()
 
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(each, FOUND)
 

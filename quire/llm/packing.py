@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tables import id_and, ranked, salts, written
-from quire.llm.textbuf import LOWER, Texts, U, packed, runs
+from quire.llm.textbuf import LOWER, Texts, U, packed, release, runs
 
 WINDOW = 2048
 END = 1
@@ -322,6 +322,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 at = pa.array(doc)
                 crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), pieces.field(0), pieces.field(1), crc, part.column(1).take(at), pieces.field(2), pieces.field(3), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        release()
 
     met = coded.join(placed, "rid").select("doc_id", "n", "raw", "pieces")
     return met.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

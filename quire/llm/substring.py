@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tables import id_and, may_contain, membership, written
-from quire.llm.textbuf import Texts, U, runs, window_starts, windows
+from quire.llm.textbuf import Texts, U, release, runs, window_starts, windows
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1
@@ -157,6 +157,7 @@ def subtree_repeats(suffixes: DataFrame) -> DataFrame:
                 yield repeats(now.slice(0, cut))
         if rest is not None and rest.num_rows:
             yield repeats(rest)
+        release()
 
     dealt = suffixes.select("gram", "k", "th", "uid", "low", "back", "path").repartition("gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(each, "uid long, low int, mask long")
@@ -206,6 +207,7 @@ def keep_rest(docs: DataFrame, removed: bool) -> DataFrame:
                     kept.append(b" ".join(words))
                     left.append(kept[-1].decode("utf-8") if hole else text)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.string()), part.column(2)], names=["doc_id", "n_words", "n_removed", "kept", "text", "rest"])
+        release()
 
     schema = f"doc_id long, n_words long, n_removed long, kept binary, text string, rest {docs.schema['rest'].dataType.simpleString()}"
     return docs.select("doc_id", "text", "rest", *(["holes"] if removed else [])).mapInArrow(each, schema)

@@ -6,6 +6,7 @@ word windows are found with numpy over that buffer, without a Python step per do
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,16 @@ LOWER[0x41:0x5B] += 32
 RUN = 1 << 20
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system: a worker that waits for its next task shall be small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (xor-shift and multiply, twice)."""
     x = x ^ (x >> U(30))
@@ -134,6 +145,7 @@ def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN) -> Iterat
         upto = min(upto, batch.num_rows)
         yield batch.slice(row, upto - row), Texts(data[at[row] : at[upto]], at[row : upto + 1] - at[row])
         row = upto
+    release()
 
 
 def sums(values: np.ndarray, of: np.ndarray) -> np.ndarray:
