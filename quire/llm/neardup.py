@@ -306,18 +306,18 @@ def look(table: pa.Table, i: np.ndarray, j: np.ndarray, percent: int) -> pa.Tabl
     node, cls, root, size = (table.column(c).to_numpy() for c in ("node", "cls", "root", "n_shingles"))
     tokens = unpacked(table.column("tokens"))
     i, j, agree = candidates(i, j, root, size, tokens, percent)
-    if "shingles" in table.column_names:
-        tree, position = root_picks(percent / 100)
-        new = first_meeting(i, j, table.column("r").to_numpy(), table.column("mask").to_numpy(), tokens, tree * POOL + position)
-        i, j, agree = i[new], j[new], agree[new]
-        good = linked(i, j, [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], percent)
+    tree, position = root_picks(percent / 100)
+    new = first_meeting(i, j, table.column("r").to_numpy(), table.column("mask").to_numpy(), tokens, tree * POOL + position)
+    with_sets = "shingles" in table.column_names
+    if with_sets:
+        good = np.flatnonzero(new)
+        good = good[linked(i[good], j[good], [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], percent)]
         i, j, agree = i[good], j[good], agree[good]
     few = forest(i, j, agree, labels(node, root))
     more = np.empty(0, np.int64)
-    if "shingles" not in table.column_names:
-        rest = np.ones(len(i), bool)
-        rest[few] = False
-        more = np.unique(np.concatenate((i[rest], j[rest])))
+    if not with_sets:  # a pair is looked at again in one of its nodes
+        new[few] = False
+        more = np.unique(np.concatenate((i[new], j[new])))
     a, b = cls[i[few]], cls[j[few]]
     none = pa.nulls(len(few), pa.int64())
     pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "node": none})
@@ -418,7 +418,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # in which picks of the roots a class is in a small node
     masks = small.groupBy("cls").agg(F.sum(F.expr("shiftleft(1L, r)")).alias("mask"))
     level = written(level.join(masks, "cls", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))), "neardup-open")
-    first = opened(level.drop("size"), root).join(tokens, "cls").select("node", "cls", "root", "n_shingles", "tokens", "size")
+    first = opened(level.drop("size"), root).join(tokens, "cls").select("node", "cls", "root", "n_shingles", "tokens", "size", "r", "mask")
     found = in_small(first.where(F.col("size") <= SMALL), percent).unionByName(in_large(first.where(F.col("size") > SMALL), percent, BLOCK))
     found = written(found.distinct(), "neardup-found")
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()

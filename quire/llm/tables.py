@@ -13,10 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and everything runs on one machine."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if told:
         base = told
+    elif not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     else:
         base = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="quire-"))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
