@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
 documents (doc_id, text, lang, source, n_chars; other columns of the input are left out). Rows are told apart by a hash of all
 these columns (``rid``), so null and repeated doc_ids are no trouble; rows equal in all of them count as one row given
-more than once: quality and language keep or drop them alike, and near-duplicates keeps one.
+more than once: quality and language keep or drop them alike, and near-duplicates keeps one. Null and empty texts go at the quality
+stage; given to a later one, they are of no language there, are near no other, have no passages, and are packed as the end id alone.
+Very long texts are handled whole. Ties go to the smaller doc_id. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SURE = 0.5
 def documents(docs: DataFrame) -> DataFrame:
     """The columns of documents, and rid."""
     docs = docs.select(*(F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()))
-    return docs.withColumn("rid", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in COLUMNS)))
+    return docs.withColumn("rid", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
