@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import neardup, substring, warc
+from quire.llm import neardup, periodic, substring, warc
 from quire.llm.ann import op2_ann
 from quire.llm.langid import op4_langid
 from quire.llm.maxent import op6_maxent
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_warc": warc.op9_warc,
     "op10_quality": op10_quality,
+    "op13_periodic": periodic.op13_periodic,
 }
-SQL: dict[str, str] = {"op1_neardup": neardup.SQL, "op8_substring": substring.SQL, "op9_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_neardup": neardup.SQL, "op8_substring": substring.SQL, "op9_warc": warc.SQL, "op13_periodic": periodic.SQL}
