@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import neardup, periodic, substring, urlfilter, warc
+from quire.llm import merkle, neardup, periodic, substring, urlfilter, warc
 from quire.llm.ann import op2_ann
 from quire.llm.langid import op4_langid
 from quire.llm.maxent import op6_maxent
@@ -24,7 +24,8 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_warc": warc.op9_warc,
     "op10_quality": op10_quality,
+    "op11_merkle": merkle.op11_merkle,
     "op12_urls": urlfilter.op12_urls,
     "op13_periodic": periodic.op13_periodic,
 }
-SQL: dict[str, str] = {"op1_neardup": neardup.SQL, "op8_substring": substring.SQL, "op9_warc": warc.SQL, "op12_urls": urlfilter.SQL, "op13_periodic": periodic.SQL}
+SQL: dict[str, str] = {"op1_neardup": neardup.SQL, "op8_substring": substring.SQL, "op9_warc": warc.SQL, "op11_merkle": merkle.SQL, "op12_urls": urlfilter.SQL, "op13_periodic": periodic.SQL}
