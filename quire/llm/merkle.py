@@ -127,11 +127,12 @@ class Trie:
             most, carry = -(-most // BLOCK), ()
         self.tops = reduce(DataFrame.unionByName, tops)
 
-    def downward(self, above: DataFrame) -> DataFrame:
-        """The lowest blocks with ``way``, the siblings from a block's own hash up, and ``top``; ``above`` (group, way, top) has those of each group's top."""
+    def downward(self, above: DataFrame | None = None) -> DataFrame:
+        """The lowest blocks with ``way``, the siblings from a block's own hash up, and ``top``; ``above`` (group, way, top) has those of each group's top, if there is anything above."""
         met = None
         for blocks, ended in zip(reversed(self.levels), reversed(self.ended), strict=True):
-            ways = above.join(ended, self.group, "left_semi").select(self.group, F.lit(0).cast("long").alias("block"), "way", "top")
+            ways = ended.select(self.group, F.array().cast("array<struct<left:string,right:string>>").alias("way"), F.lit(None).cast("string").alias("top")) if above is None else above.join(ended, self.group, "left_semi")
+            ways = ways.select(self.group, F.lit(0).cast("long").alias("block"), "way", "top")
             if met is not None:
                 ways = ways.unionByName(met.select(self.group, "top", F.explode(self.each(lambda k: F.struct(self.place(k), self.way(k)))).alias("x")).select(self.group, "x.block", "x.way", "top"))
             met = blocks.join(ways, [self.group, "block"])
@@ -183,11 +184,10 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     nodes = spread(radix_ranks(rows, "src", "digits", "n", ID_CUTS)).select("src", "pos", F.substring("digits", 18, 64).alias("h"), "doc_id", "bad")
     trie = Trie(nodes, "src", totals, "doc_id", "bad")
     subroots = written(trie.tops, "merkle-subroots")
-    ranked = radix_ranks(subroots.select(F.lit(0).alias("all"), F.col("src").alias("digits"), "h", F.lit(1).cast("long").alias("n")), "all", "digits", "n", NAME_CUTS)
-    upper = Trie(ranked.select("all", F.col("start").alias("pos"), "h", F.col("digits").alias("src")), "all", subroots.groupBy(F.lit(0).alias("all")).agg(F.count(F.lit(1)).alias("total")), "src")
+    ranked = radix_ranks(subroots.select(F.col("src").substr(1, 0).alias("all"), F.col("src").alias("digits"), "h", F.lit(1).cast("long").alias("n")), "all", "digits", "n", NAME_CUTS)
+    upper = Trie(ranked.select("all", F.col("start").alias("pos"), "h", F.col("digits").alias("src")), "all", subroots.groupBy(F.col("src").substr(1, 0).alias("all")).agg(F.count(F.lit(1)).alias("total")), "src")
     root = upper.tops.select("h").first()
-    none = subroots.sparkSession.range(1).select(F.lit(0).alias("all"), F.array().cast("array<struct<left:string,right:string>>").alias("way"), F.lit(None).cast("string").alias("top"))
-    above = upper.downward(none).select(F.explode(Trie.each(lambda k: F.struct(F.get(F.col("rows"), k)["src"].alias("src"), Trie.way(k), F.get(F.col("h0"), k).alias("top")))).alias("x")).select("x.*")
+    above = upper.downward().select(F.explode(Trie.each(lambda k: F.struct(F.get(F.col("rows"), k)["src"].alias("src"), Trie.way(k), F.get(F.col("h0"), k).alias("top")))).alias("x")).select("x.*")
     above = written(above, "merkle-above")
     each = trie.downward(above).select(F.col("top").alias("subroot"), F.explode(Trie.each(lambda k: F.struct(F.get(F.col("rows"), k).alias("row"), Trie.way(k)))).alias("x"))
     folded = F.aggregate("x.way", F.coalesce("x.row.bad", "x.row.h"), lambda h, s: hashed(F.concat(s["left"], h, s["right"])))
