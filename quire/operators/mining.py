@@ -119,8 +119,8 @@ def mined(docs: DataFrame, key: str, forbidden: list[str], persist: Callable[[Da
     """
     own = tag_tables(docs.sparkSession)
     texts = docs.select(key, pure(F.col("text")).alias("text")).where(F.length("text") > LEAST_CHARS)
-    model = train(texts, persist) if model is None else model
-    sents = persist(split_sentences(texts, model, key))
+    own_model = train(texts, persist) if model is None else model
+    sents = persist(split_sentences(texts, own_model, key, trained=model is None))
     n = sents.agg(F.coalesce(F.sum(F.size("sentences")), F.lit(0))).first()[0]
     phrases = persist(noun_phrases(sents, key, own[0] if lexicon is None else lexicon, own[1] if suffixes is None else suffixes, persist))
     terms = ranked_terms(phrases, key, n, forbidden, persist, top)

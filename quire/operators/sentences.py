@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import bound
+
 #: What may stand before a word, and after a mark.
 OPENING, CLOSING = "\"'([{“‘«", "\"')]}”’»"
 MARKS = ".?!,;:…"
@@ -44,14 +46,24 @@ def is_initial(kind: Column) -> Column:
     return kind.rlike(r"^\p{L}$")
 
 
+def worded(text: Column) -> Column:
+    """Whether a text isn't blank: a cheap test, so that a filter on it repeats nothing."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1C-\x1F]"), F.lit(False))
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(before, before_type, type, case, period, n): how often each word stands after each kind of word; ``before_type`` after periods only, where it matters."""
-    words = F.split(pure(F.col(text)), " ")
-    pairs = docs.where(F.length(pure(F.col(text))) > 0).select(F.explode(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), words), words, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x"))
-    facts = pairs.where("x.b IS NOT NULL").select(word_facts(F.col("x.a")).alias("a"), F.col("x.a").isNull().alias("first"), word_facts(F.col("x.b")).alias("b"))
-    before = F.when(F.col("first"), "start").otherwise(F.col("a.mark"))
-    each = facts.select(before.alias("before"), F.when((before == "period"), F.col("a.type")).alias("before_type"), F.col("b.type").alias("type"), F.col("b.case").alias("case"), (F.col("b.mark") == "period").alias("period"))
-    return each.groupBy("before", "before_type", "type", "case", "period").agg(F.count(F.lit(1)).alias("n"))
+    """(before, before_type, type, case, period, n): how often each word stands after each kind of word; ``before_type`` after periods only, where it matters.
+
+    Words are counted as they stand, with the word before only if it ends in a mark; what they are is worked out for different ones.
+    """
+    pairs = bound(F.split(pure(F.col(text)), " "), lambda w: F.zip_with(F.concat(F.array(F.lit(_CUT)), F.slice(w, 1, F.size(w) - 1)), w, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    each = docs.where(worded(F.col(text))).select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+    ends = F.substring("a", -1, 1).isin(*_CUT, *".?!…", *CLOSING)
+    raw = each.groupBy(F.when(ends, F.col("a")).otherwise(F.lit("")).alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
+    facts = raw.select(F.col("a").alias("raw"), word_facts(F.col("a")).alias("a"), word_facts(F.col("b")).alias("b"), "m")
+    before = F.when(F.col("raw") == _CUT, "start").otherwise(F.col("a.mark"))
+    told = facts.select(before.alias("before"), F.when(before == "period", F.col("a.type")).alias("before_type"), F.col("b.type").alias("type"), F.col("b.case").alias("case"), (F.col("b.mark") == "period").alias("period"), "m")
+    return told.groupBy("before", "before_type", "type", "case", "period").agg(F.sum("m").alias("n"))
 
 
 def fitted(table: DataFrame) -> DataFrame:
@@ -80,19 +92,51 @@ def association(a: Column, b: Column, both: Column, n: Column) -> Column:
     """Log-likelihood ratio: that ``b`` depends on ``a``, of which there are a and b, together ``both``, in n words."""
     a, b, both, n = (c.cast("double") for c in (a, b, both, n))
     free = _likelihood(both, a, b / n) + _likelihood(b - both, n - a, b / n)
-    bound = _likelihood(both, a, both / a) + _likelihood(b - both, n - a, (b - both) / (n - a))
-    return 2 * (bound - free)
+    tied = _likelihood(both, a, both / a) + _likelihood(b - both, n - a, (b - both) / (n - a))
+    return 2 * (tied - free)
+
+
+def is_loose(before_type: Column) -> Column:
+    return (before_type == NUMBER) | is_initial(before_type)
 
 
 @dataclass(frozen=True)
 class Model:
-    """abbreviations (type, score), starters (type, score), collocations (type, next, score), and ``joined`` (before, before_type, type, case): where a mark ends no sentence."""
+    """abbreviations (type, score), starters (type, score), collocations (type, next, score), habits (type, and the cases it was met in), and ``joined``
+    (before, before_type, type, case): where a mark ends no sentence, for the pairs of the texts it was trained on."""
 
     abbreviations: DataFrame
     starters: DataFrame
     collocations: DataFrame
+    habits: DataFrame
     joined: DataFrame
 
+    def joins(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``joined`` for the pairs of other texts."""
+        short = fitted(self.abbreviations.select(F.col("type").alias("before_type"), F.lit(True).alias("short")))
+        pairs = word_counts(docs, text).where("before IN ('period', 'ellipsis')").join(short, "before_type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
+        return unparted(pairs, self.habits, self.starters, self.collocations)
+
+
+def unparted(pairs: DataFrame, habits: DataFrame, starters: DataFrame, collocations: DataFrame) -> DataFrame:
+    """(before, before_type, type, case) of those pairs (and ``short``: before_type is an abbreviation) that their mark doesn't part.
+
+    After an abbreviation or an ellipsis a sentence begins with a word that is upper here and lower elsewhere, or a known starter in upper case. After a number or an initial none
+    begins with a word that goes on in lower case, and after an initial none with a name. Collocations stay together.
+    """
+    loose = F.coalesce(is_loose(F.col("before_type")), F.lit(False))
+    open_ = pairs.where(F.col("short") | loose | (F.col("before") == "ellipsis")).select("before", "before_type", "type", "case", "short").distinct()
+    met = open_.join(habits, "type", "left").join(starters.select("type", F.lit(True).alias("starts")), "type", "left")
+    met = met.join(collocations.select(F.col("type").alias("before_type"), F.col("next").alias("type"), F.lit(True).alias("tied")), ["before_type", "type"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    upper, lower, initial = F.col("case") == "upper", F.col("case") == "lower", F.coalesce(is_initial(F.col("before_type")), F.lit(False))
+    begins = (F.col("type") != "") & upper & yes("any_lower") & ~yes("middle_upper")
+    goes_on = (F.col("type") == "") | (~begins & lower & (yes("any_upper") | ~yes("begin_lower")))
+    after_short = ~(begins | (upper & yes("starts")))
+    after_loose = F.col("short") | goes_on | (~begins & initial & upper & ~yes("any_lower"))
+    joins = yes("tied") | F.when((F.col("short") | (F.col("before") == "ellipsis")) & ~initial, after_short).otherwise(after_loose)
+    return met.where(joins).select("before", F.coalesce("before_type", F.lit("")).alias("before_type"), "type", "case").distinct()
+
 
 def train(docs: DataFrame, persist: Callable[[DataFrame], DataFrame], text: str = "text") -> Model:
     """The model of all texts; ``persist`` writes a table once (its size goes with the different words and pairs around periods, not with the texts).
@@ -104,20 +148,20 @@ def train(docs: DataFrame, persist: Callable[[DataFrame], DataFrame], text: str
     n = F.lit(float(max(total["n"], 1)))
     types = persist(counts.where(F.col("type") != "").groupBy("type").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("period"), F.col("n"))), F.lit(0)).alias("with_period")))
     score = abbreviation_score(F.col("with_period"), F.col("n") - F.col("with_period"), F.col("type"), F.lit(float(total["p"])), n)
-    worded = (F.col("with_period") > 0) & (F.col("type") != NUMBER) & F.col("type").rlike(r"\p{L}")
-    abbreviations = persist(types.where(worded).select("type", score.alias("score")).where(F.col("score") >= ABBREVIATION))
+    lettered = (F.col("with_period") > 0) & (F.col("type") != NUMBER) & F.col("type").rlike(r"\p{L}")
+    abbreviations = persist(types.where(lettered).select("type", score.alias("score")).where(F.col("score") >= ABBREVIATION))
     known = fitted(abbreviations.select(F.col("type").alias("before_type"), F.lit(True).alias("short")))
     marked = counts.where(F.col("before") == "period").join(known, "before_type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
     bare = counts.where(F.col("before") != "period").withColumn("short", F.lit(False))
-    loose = (F.col("before_type") == NUMBER) | is_initial(F.col("before_type"))
+    loose = is_loose(F.col("before_type"))
     at_break = (F.col("before") == "stop") | ((F.col("before") == "period") & ~F.col("short"))
     context = F.when(F.col("before") == "", "middle").when((F.col("before") == "start") | (at_break & ~F.coalesce(loose, F.lit(False))), "begin").otherwise("unknown")
     every = persist(marked.unionByName(bare).withColumns({"context": context, "at_break": at_break, "loose": F.coalesce(loose, F.lit(False))}))
     flag = lambda *when: F.bool_or(F.concat_ws(" ", "context", "case").isin(*when))
-    habits = every.where(F.col("type") != "").groupBy("type").agg(
+    habits = persist(every.where(F.col("type") != "").groupBy("type").agg(
         flag("begin lower").alias("begin_lower"), flag("middle upper").alias("middle_upper"), F.bool_or(F.col("case") == "upper").alias("any_upper"), F.bool_or(F.col("case") == "lower").alias("any_lower"),
         F.sum(F.when(F.col("at_break") & ~F.col("loose"), F.col("n")).otherwise(0)).alias("after_break"),
-    )
+    ))
     breaks = float(every.agg(F.coalesce(F.sum(F.when(F.col("at_break"), F.col("n"))), F.lit(0)).alias("n")).first()["n"])
     b = F.lit(max(breaks, 1.0))
     begun = habits.where("after_break > 0").join(types, "type").where(F.col("type").rlike(r"^\p{L}+$"))
@@ -128,17 +172,9 @@ def train(docs: DataFrame, persist: Callable[[DataFrame], DataFrame], text: str
     pairs = pairs.join(ones, "before_type").join(types.select("type", F.col("n").alias("b")), "type")
     tied = pairs.select("before_type", "type", association(F.col("a"), F.col("b"), F.col("both"), n).alias("score"), (n / F.col("a") > F.col("b") / F.col("both")).alias("more"))
     collocations = persist(tied.where((F.col("score") >= COLLOCATION) & F.col("more")).select("before_type", "type", "score"))
-    open_ = every.where("short OR loose OR before = 'ellipsis'").select("before", "before_type", "type", "case", "short").distinct()
-    met = open_.join(habits, "type", "left").join(starters.select("type", F.lit(True).alias("starts")), "type", "left").join(collocations.select("before_type", "type", F.lit(True).alias("tied")), ["before_type", "type"], "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    upper, lower, initial = F.col("case") == "upper", F.col("case") == "lower", F.coalesce(is_initial(F.col("before_type")), F.lit(False))
-    begins = (F.col("type") != "") & upper & yes("any_lower") & ~yes("middle_upper")
-    goes_on = (F.col("type") == "") | (~begins & lower & (yes("any_upper") | ~yes("begin_lower")))
-    after_short = ~(begins | (upper & yes("starts")))
-    after_loose = F.col("short") | goes_on | (~begins & initial & upper & ~yes("any_lower"))
-    joins = yes("tied") | F.when((F.col("short") | (F.col("before") == "ellipsis")) & ~initial, after_short).otherwise(after_loose)
-    joined = persist(met.where(joins).select("before", F.coalesce("before_type", F.lit("")).alias("before_type"), "type", "case").distinct())
-    return Model(abbreviations, starters, collocations.select(F.col("before_type").alias("type"), F.col("type").alias("next"), "score"), joined)
+    collocations = collocations.select(F.col("before_type").alias("type"), F.col("type").alias("next"), "score")
+    marks = every.where("before IN ('period', 'ellipsis')")
+    return Model(abbreviations, starters, collocations, habits, persist(unparted(marks, habits, starters, collocations)))
 
 
 def pieces(text: Column) -> Column:
@@ -146,17 +182,18 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.?!…][\"')\]}”’»]*) ", "$1" + _CUT), _CUT)
 
 
-def split_sentences(docs: DataFrame, model: Model, key: str, text: str = "text") -> DataFrame:
+def split_sentences(docs: DataFrame, model: Model, key: str, text: str = "text", trained: bool = False) -> DataFrame:
     """(key, sentences array<string>) of every document whose text isn't blank; white space in them is squeezed.
 
-    One shuffle of the texts, by key, which has to be unique; the model's pairs are broadcast where they are few.
+    ``trained``: the model was trained on these very texts, so it knows all of their pairs. One shuffle of the texts, by key, which has to be unique; the pairs
+    are broadcast where they are few.
     """
-    cut = docs.select(F.col(key), pieces(pure(F.col(text))).alias("p")).where("p[0] <> '' OR size(p) > 1")
-    with_next = F.zip_with(F.col("p"), F.slice("p", 2, 1 << 30), lambda a, b: F.struct(a.alias("piece"), b.alias("then")))
-    each = cut.select(key, F.posexplode(with_next).alias("pos", "x")).select(key, "pos", "x.piece", word_facts(F.substring_index("x.piece", " ", -1)).alias("a"), word_facts(F.substring_index("x.then", " ", 1)).alias("b"))
+    joined = model.joined if trained else model.joins(docs, text)
+    with_next = bound(pieces(pure(F.col(text))), lambda p: F.zip_with(p, F.slice(p, 2, 1 << 30), lambda a, b: F.struct(a.alias("piece"), b.alias("then"))))
+    each = docs.where(worded(F.col(text))).select(key, F.posexplode(with_next).alias("pos", "x")).select(key, "pos", "x.piece", word_facts(F.substring_index("x.piece", " ", -1)).alias("a"), word_facts(F.substring_index("x.then", " ", 1)).alias("b"))
     before_type = F.when(F.col("a.mark") == "period", F.col("a.type")).otherwise("")
     keyed = each.select(key, "pos", "piece", F.col("a.mark").alias("before"), before_type.alias("before_type"), F.col("b.type").alias("type"), F.col("b.case").alias("case"))
-    met = keyed.join(fitted(model.joined).withColumn("goes_on", F.lit(True)), ["before", "before_type", "type", "case"], "left")
+    met = keyed.join(fitted(joined).withColumn("goes_on", F.lit(True)), ["before", "before_type", "type", "case"], "left")
     whole = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "piece", F.col("goes_on").isNotNull().alias("goes_on")))).alias("p"))
     # pieces that go on are ended by a space, others by the cut, so that one split gives the sentences
     joined = F.array_join(F.transform("p", lambda x, i: F.concat(x["piece"], F.when(i + 1 == F.size("p"), "").when(x["goes_on"], " ").otherwise(_CUT))), "")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import language, markup, placeholders, text
 from quire.operators import glossary, packing, status, workflow
-from quire.plans import trees
+from quire.plans import mining, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -545,5 +545,5 @@ def sanitize_output(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(workflow.sanitized(dirty)).cast("long").alias("length"), F.md5(workflow.sanitized(dirty)).alias("clean_md5"))
 
 
-QUERIES |= trees.QUERIES
-SQL |= trees.SQL
+QUERIES |= trees.QUERIES | mining.QUERIES
+SQL |= trees.SQL | mining.SQL
