@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import language
-from quire.operators import dom, glossary, mining, sentences
+from quire.operators import dom, glossary, matching, mining, sentences
 from quire.sources.tables import persisted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,37 @@ def page_prose(spark, sf_dir):
     """What pages say in prose: no navigation, links, code, headers and footers."""
     parsed = dom.parse(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", hold=False)
     return mining.purified(parsed, "page_id").select("page_id", F.length("text").cast("long").alias("length"), F.md5("text").alias("prose_md5"))
+
+
+_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM benchmark"
+
+
+@query(
+    "glossary_matches",
+    f"""WITH terms AS ({_WORDS}), hit AS (SELECT doc_id, term, (length(t) - length(replace(t, lower(term), ''))) // length(term) AS n FROM (SELECT doc_id, lower(text) AS t FROM documents), terms WHERE contains(t, lower(term)))
+SELECT d.doc_id, count(term)::BIGINT AS n_terms, coalesce(sum(n), 0)::BIGINT AS n_hits, md5(coalesce(string_agg(term, '|' ORDER BY length(term) DESC, term), '')) AS terms_md5 FROM documents d LEFT JOIN hit ON hit.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
+def glossary_matches(spark, sf_dir):
+    """The words of the benchmark as a glossary: which of them each document holds, longest first."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
+    terms = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(words.alias("term")).distinct()
+    out = matching.matched_terms(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", terms)
+    n_hits = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return out.select("doc_id", F.size("found").cast("long").alias("n_terms"), n_hits.alias("n_hits"), F.md5(F.array_join(F.transform("found", lambda x: x["term"]), "|")).alias("terms_md5"))
+
+
+_FIXES = r"SELECT DISTINCT w AS old, reverse(w) AS new FROM (SELECT unnest(regexp_extract_all(text, '\p{L}{4,}')) AS w FROM benchmark)"
+
+
+@query(
+    "correction_list",
+    f"""WITH f AS (SELECT list(old || chr(31) || new ORDER BY old) AS f FROM ({_FIXES})), d AS (SELECT doc_id, '<p class="x">' || replace(replace(text, '<', ''), '>', '') || '</p>' AS t FROM documents)
+SELECT doc_id, md5(list_reduce(list_prepend(t, f), lambda a, b: replace(a, split_part(b, chr(31), 1), split_part(b, chr(31), 2)))) AS corrected_md5 FROM d, f""",
+)
+def correction_list(spark, sf_dir):
+    """The longer words of the benchmark as a list of corrections, each to be turned round, one after the other in every document."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0)))
+    fixes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(words.alias("old")).distinct().select(F.col("old").alias("pos"), "old", F.reverse("old").alias("new"))
+    html = F.concat(F.lit('<p class="x">'), F.replace(F.replace("text", F.lit("<"), F.lit("")), F.lit(">"), F.lit("")), F.lit("</p>"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", html.alias("html"))
+    return matching.corrected_by(docs, "doc_id", fixes).select("doc_id", F.md5("html").alias("corrected_md5"))
