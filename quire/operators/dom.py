@@ -8,6 +8,7 @@ node_id is also the node's place in its document's array.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import re
 from html import escape
 from html.parser import HTMLParser
 
@@ -17,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.markup import VOID, markup_mode
+from quire.functions.text import SECONDARY
 
+#: The tokens and placeholders of ``functions.text``, counted as the markup is written: none crosses a tag, so a node has those of its parts.
 #: Attributes whose value is a list of words in HTML (fixed values).
+TOKENS = re.compile(r"\w+|[^\w \t\n\x0b\f\r]")
+PLACEHOLDERS = re.compile(SECONDARY)
 LISTS = {"class", "rel", "rev", "accept-charset", "headers", "accesskey", "dropzone"}
-NODES = "node_id int, parent_id int, last_desc int, depth int, pos int, kind string, name string, attrs map<string,string>, classes array<string>, text string, xpath string, ser_start int, ser_end int, ancestors array<int>"
+NODES = "node_id int, parent_id int, last_desc int, depth int, pos int, kind string, name string, attrs map<string,string>, classes array<string>, text string, xpath string, place string, ser_start int, ser_end int, tok int, ph int, seen int, ancestors array<int>"
 
 
 class Node:
@@ -109,25 +114,33 @@ def _quoted(value: str) -> str:
 
 
 def flatten(root: Node) -> tuple[str, list[dict]]:
-    """The normalised text, and the rows of all nodes in document order; no recursion, so any depth will do."""
+    """The normalised text, and the rows of all nodes in document order; no recursion, so any depth will do.
+
+    ``xpath`` has an index where siblings share a name; ``place`` is what paths are looked up by (``place_of``): small local names, an index at every step.
+    ``tok``, ``ph`` and ``seen`` are the tokens, placeholders and texts that can be read (not blank without placeholders) of a node and all below it.
+    """
     out: list[str] = []
     rows: list[dict] = []
-    size = 0
+    size = tok = ph = read = 0
 
     def write(s: str) -> None:
-        nonlocal size
+        nonlocal size, tok, ph
         out.append(s)
         size += len(s)
+        tok += len(TOKENS.findall(s))
+        if "[" in s:
+            ph += len(PLACEHOLDERS.findall(s))
 
-    stack: list[tuple[Node, dict | None, str, int, int, bool]] = [(root, None, "", 0, -1, False)]
+    stack: list[tuple[Node, dict | None, str, str, int, int, bool]] = [(root, None, "", "", 0, -1, False)]
     while stack:
-        node, row, path, pos, up, leaving = stack.pop()
+        node, row, path, place, pos, up, leaving = stack.pop()
         if leaving:
             if node.kind == "element" and not (node.name in VOID and not node.children) and not row.get("_short"):
                 write(f"</{node.name}>")
             row["last_desc"], row["ser_end"] = len(rows) - 1, size
+            row["tok"], row["ph"], row["seen"] = tok - row["tok"], ph - row["ph"], read - row["seen"]
             continue
-        row = {"node_id": len(rows), "parent_id": up, "pos": pos, "kind": node.kind, "name": node.name, "attrs": node.attrs, "text": node.text, "xpath": path, "ser_start": size}
+        row = {"node_id": len(rows), "parent_id": up, "pos": pos, "kind": node.kind, "name": node.name, "attrs": node.attrs, "text": node.text, "xpath": path, "place": place, "ser_start": size, "tok": tok, "ph": ph, "seen": read}
         row["depth"] = rows[up]["depth"] + 1 if up >= 0 else 0
         row["ancestors"] = [*rows[up]["ancestors"], up] if up >= 0 else []
         row["classes"] = node.attrs.get("class", "").split()
@@ -138,25 +151,29 @@ def flatten(root: Node) -> tuple[str, list[dict]]:
             write(f"<{node.name}{attrs}/>" if row["_short"] else f"<{node.name}{attrs}>")
         elif node.kind == "text":
             write(escape(node.text, quote=False))
+            read += bool(PLACEHOLDERS.sub("", node.text).strip())
         elif node.kind in ("script", "style"):
             write(node.text)
         elif node.kind != "document":
             write({"comment": "<!--{}-->", "doctype": "<!{}>", "pi": "<?{}>", "cdata": "<![CDATA[{}]]>"}[node.kind].format(node.text))
-        stack.append((node, row, path, pos, up, True))
+        stack.append((node, row, path, place, pos, up, True))
         names: dict[str, int] = {}
         for c in node.children:
             if c.kind == "element":
                 names[c.name] = names.get(c.name, 0) + 1
         seen: dict[str, int] = {}
+        local: dict[str, int] = {}
         paths = []
         for c in node.children:
             if c.kind == "element":
                 seen[c.name] = seen.get(c.name, 0) + 1
-                paths.append(f"{path}/{c.name}" + (f"[{seen[c.name]}]" if names[c.name] > 1 else ""))
+                plain = c.name.rpartition(":")[2].lower()
+                local[plain] = local.get(plain, 0) + 1
+                paths.append((f"{path}/{c.name}" + (f"[{seen[c.name]}]" if names[c.name] > 1 else ""), f"{place}/{plain}[{local[plain]}]"))
             else:
-                paths.append(path)
+                paths.append((path, place))
         for i in range(len(node.children) - 1, -1, -1):
-            stack.append((node.children[i], None, paths[i], i, row["node_id"], False))
+            stack.append((node.children[i], None, *paths[i], i, row["node_id"], False))
     return "".join(out), rows
 
 
@@ -193,6 +210,15 @@ def nodes(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, F.explode("nodes").alias("n")).select(key, "n.*")
 
 
+def place_of(xpath):
+    """What a path names, in the form of ``place``: prefixes and case don't count, a step without an index is the first; null for a path that is none."""
+    steps = F.filter(F.split(xpath, "/"), lambda x: x != "")
+    one = r"(?U)^(?:[\w.-]*:)*([\w.-]+)(?:\[(\d+)\])?$"
+    index = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, one, 2), F.lit("")).cast("int"), F.lit(1)).cast("string")
+    told = F.transform(steps, lambda x: F.concat(F.lit("/"), F.lower(F.regexp_extract(x, one, 1)), F.lit("["), index(x), F.lit("]")))
+    return F.when(F.forall(steps, lambda x: x.rlike(one)), F.array_join(told, ""))
+
+
 def outer(normalized, node):
     """A node's markup."""
     return F.substring(normalized, node["ser_start"] + 1, node["ser_end"] - node["ser_start"])

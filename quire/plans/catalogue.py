@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import language, markup, placeholders, text
-from quire.operators import glossary, packing, status, workflow
+from quire.operators import chunking, dom, glossary, packing, status, workflow
 from quire.plans import mining, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,5 +545,26 @@ def sanitize_output(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(workflow.sanitized(dirty)).cast("long").alias("length"), F.md5(workflow.sanitized(dirty)).alias("clean_md5"))
 
 
+@query(
+    "toc_chunks",
+    rf"""WITH RECURSIVE {LINES}, clean AS (SELECT doc_id, pos, '<p>' || regexp_replace(line, '[<>&]', '', 'g') || '</p>' AS html FROM lines WHERE regexp_matches(regexp_replace(line, '[<>&]', '', 'g'), '\S')),
+parts AS (SELECT doc_id * 3 + CASE WHEN pos < 3 THEN 0 ELSE 2 END AS k, pos, html AS s FROM clean
+  UNION ALL SELECT doc_id * 3 + 1, i, '[NAVTXT:' || i || '] Part ' || i FROM (SELECT doc_id, unnest(range(doc_id % 30 + 1)) AS i FROM documents)),
+units AS MATERIALIZED (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY pos) - 1)::BIGINT AS pos, {TOK.format('s')} AS tok, 0::BIGINT AS ph, s FROM parts), {_fold('units', 'k', 60, None, None)}
+SELECT k // 3 AS doc_id, (dense_rank() OVER (PARTITION BY k // 3 ORDER BY k % 3, cid) - 1)::BIGINT AS chunk_no, CASE WHEN k % 3 = 1 THEN 'nav_text' ELSE 'html_fragment' END AS chunk_mode, n_units, tokens, original_md5
+FROM (SELECT f.k, cid, count(*)::BIGINT AS n_units, sum(t)::BIGINT AS tokens, md5(string_agg(s, chr(10) ORDER BY f.pos)) AS original_md5 FROM fold f JOIN units u ON u.k = f.k AND u.pos = f.pos GROUP BY 1, 2)""",
+)
+def toc_chunks(spark, sf_dir):
+    """Documents as paragraphs with a table of contents after the third: chunks of 60 tokens, those of the table by themselves and numbered anew."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "[<>&]", "")), lambda x: x.rlike(r"\S"))
+    nav = F.concat(F.lit('<nav class="toc"><ol>'), F.array_join(F.expr("transform(sequence(0, doc_id % 30), i -> concat('<li><a href=\"x\">Part ', i, '</a></li>'))"), ""), F.lit("</ol></nav>"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))).alias("p"), nav.alias("nav"))
+    html = F.concat(F.lit("<html><body>"), F.array_join(F.slice("p", 1, 3), ""), "nav", F.array_join(F.slice("p", 4, 1 << 30), ""), F.lit("</body></html>"))
+    parsed = dom.parse(docs.select("doc_id", html.alias("html")), "doc_id", "html", hold=False)
+    out = chunking.chunks(parsed, "doc_id", 60)
+    n_units = F.when(F.col("chunk_mode") == "nav_text", F.size("targets")).otherwise(F.size("xpaths")).cast("long")
+    return out.select("doc_id", "chunk_no", "chunk_mode", n_units.alias("n_units"), "tokens", F.md5("original").alias("original_md5"))
+
+
 QUERIES |= trees.QUERIES | mining.QUERIES
 SQL |= trees.SQL | mining.SQL

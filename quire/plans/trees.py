@@ -84,7 +84,7 @@ def visible_text(spark, sf_dir):
 @query("page_chunks")
 def page_chunks(spark, sf_dir):
     parsed = pages(spark, sf_dir)
-    return chunking.chunks(parsed, dom.nodes(parsed, "page_id"), "page_id", 200).select("page_id", "chunk_no", "name", "tokens", F.size("xpaths").cast("long").alias("n_blocks"))
+    return chunking.chunks(parsed, "page_id", 200).select("page_id", "chunk_no", "name", "tokens", F.size("xpaths").cast("long").alias("n_blocks"))
 
 
 @query(
@@ -94,7 +94,7 @@ SELECT page_id, 0 AS chunk_no, sum(greatest(1, len(regexp_extract_all('[NAVTXT:'
 )
 def nav_chunks(spark, sf_dir):
     parsed = pages(spark, sf_dir)
-    return chunking.nav_chunks(dom.nodes(parsed, "page_id"), "page_id").select("page_id", "chunk_no", "tokens", F.size("targets").cast("long").alias("n_units"), F.md5("original").alias("original_md5"))
+    return chunking.nav_chunks(parsed, "page_id").select("page_id", "chunk_no", "tokens", F.size("targets").cast("long").alias("n_units"), F.md5("original").alias("original_md5"))
 
 
 @query("protect_code")
@@ -111,7 +111,7 @@ def chapter_chunks(spark, sf_dir):
     """Protected chapters cut into chunks of 120 tokens and 4 placeholders."""
     parsed = dom.parse(code_docs(spark, sf_dir), "doc_id", "html")
     safe = dom.parse(protect.protect(parsed, dom.nodes(parsed, "doc_id"), "doc_id"), "doc_id", "html")
-    return chunking.chunks(safe, dom.nodes(safe, "doc_id"), "doc_id", 120, 4).select("doc_id", "chunk_no", "name", "tokens", F.size("xpaths").cast("long").alias("n_blocks"))
+    return chunking.chunks(safe, "doc_id", 120, 4).select("doc_id", "chunk_no", "name", "tokens", F.size("xpaths").cast("long").alias("n_blocks"))
 
 
 @query("validate_pairs")
@@ -131,7 +131,7 @@ def writeback_roundtrip(spark, sf_dir):
     """Chunks written back as they are give the chapter again; one document in four has a chunk that is above another."""
     parsed = dom.parse(code_docs(spark, sf_dir), "doc_id", "html")
     nodes = dom.nodes(parsed, "doc_id")
-    cut = chunking.chunks(parsed, nodes, "doc_id", 60)
+    cut = chunking.chunks(parsed, "doc_id", 60)
     rows = cut.select("doc_id", "name", F.col("chunk_no").alias("seq"), "xpaths", F.col("original").alias("translated"), F.lit("translated").alias("status"))
     wide = parsed.where("doc_id % 4 = 0").select("doc_id", F.lit("wide").alias("name"), F.lit(-1).cast("long").alias("seq"), F.array(F.lit("/html/body")).alias("xpaths"), F.lit("<body>x</body>").alias("translated"), F.lit("translated").alias("status"))
     html, faults = writeback.write_back(parsed, nodes, rows.unionByName(wide), "doc_id")
@@ -151,7 +151,7 @@ def nav_writeback(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.replace("html", F.lit("<nav>"), F.lit("<nav><!-- note -->[CODE:0]<b>first</b>")))
     parsed = dom.parse(docs, "page_id", "html")
     nodes = dom.nodes(parsed, "page_id")
-    cut = chunking.nav_chunks(nodes, "page_id")
+    cut = chunking.nav_chunks(parsed, "page_id")
     said = F.regexp_replace("original", r"(\[NAVTXT:\d+\]) ", "$1 T-")
     said = F.when(F.col("page_id") % 5 == 0, F.regexp_replace(said, r"\[NAVTXT:1\]", "")).when(F.col("page_id") % 7 == 0, F.regexp_replace(said, r"\[NAVTXT:1\] [^\n]*", "[NAVTXT:1]")).otherwise(said)
     none = F.lit(None).cast("array<string>").alias("xpaths")

@@ -54,13 +54,13 @@ def test_chunks(spark):
     }
     for html, limit, ph, want in cases.values():
         p = parsed(spark, html)
-        got = chunking.chunks(p, dom.nodes(p, "k"), "k", limit, ph).orderBy("chunk_no").collect()
+        got = chunking.chunks(p, "k", limit, ph).orderBy("chunk_no").collect()
         assert [len(r["xpaths"]) for r in got] == want
 
 
 def test_navigation(spark):
     html = "<ncx><navMap>" + "".join(f"<navPoint><navLabel><text>Part {i}</text></navLabel></navPoint>" for i in range(95)) + "</navMap></ncx>"
-    got = chunking.nav_chunks(dom.nodes(parsed(spark, html), "k"), "k", 5000).collect()
+    got = chunking.nav_chunks(parsed(spark, html), "k", 5000).collect()
     assert sum(len(r["targets"]) for r in got) == 95 and max(len(r["targets"]) for r in got) <= 24
     assert min(got, key=lambda r: r["chunk_no"])["original"].startswith("[NAVTXT:0] Part 0\n")
 
@@ -158,7 +158,7 @@ def test_recovery_keeps_what_is_sound(spark):
 def nav_chunk(spark, html, translated):
     p = parsed(spark, html)
     nodes = dom.nodes(p, "k")
-    cut = chunking.nav_chunks(nodes, "k").select("k", F.lit("nav").alias("name"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("array<string>").alias("xpaths"), "targets", F.lit(translated).alias("translated"), F.lit("translated").alias("status"))
+    cut = chunking.nav_chunks(p, "k").select("k", F.lit("nav").alias("name"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("array<string>").alias("xpaths"), "targets", F.lit(translated).alias("translated"), F.lit("translated").alias("status"))
     html, faults = writeback.write_back(p, nodes, cut, "k")
     return html.first()["html"], [r["fault"] for r in faults.collect()]
 
