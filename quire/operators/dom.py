@@ -198,10 +198,10 @@ def parse(docs: DataFrame, key: str, html: str, carry: tuple[str, ...] = (), hol
                 rest = [part.column(3 + i) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(all_nodes, pa.list_(struct)), *rest], names=["key", "normalized", "nodes", *carry])
 
-    src = docs.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"), F.coalesce(markup_mode(F.col(html)), F.lit("html")).alias("mode"), *carry)
+    src = docs.select(F.col(key).alias("key"), F.col(html).alias("html"), F.coalesce(markup_mode(F.col(html)), F.lit("html")).alias("mode"), *carry)
     struct = ", ".join(f.strip().replace(" ", ": ", 1) for f in NODES.split(", "))
     more = "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in carry)
-    out = src.mapInArrow(each, f"key long, normalized string, nodes array<struct<{struct}>>{more}").withColumnRenamed("key", key)
+    out = src.mapInArrow(each, f"key {src.schema['key'].dataType.simpleString()}, normalized string, nodes array<struct<{struct}>>{more}").withColumnRenamed("key", key)
     return out.persist(StorageLevel.MEMORY_AND_DISK) if hold else out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import language, markup, placeholders, text
 from quire.operators import chunking, dom, glossary, packing, status, workflow
-from quire.plans import mining, trees
+from quire.plans import mining, trees, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -566,5 +566,5 @@ def toc_chunks(spark, sf_dir):
     return out.select("doc_id", "chunk_no", "chunk_mode", n_units.alias("n_units"), "tokens", F.md5("original").alias("original_md5"))
 
 
-QUERIES |= trees.QUERIES | mining.QUERIES
-SQL |= trees.SQL | mining.SQL
+QUERIES |= trees.QUERIES | mining.QUERIES | whole.QUERIES
+SQL |= trees.SQL | mining.SQL | whole.SQL

@@ -97,11 +97,3 @@ def test_errors_and_history(spark):
     assert one(spark, workflow.history(F.array(*map(F.lit, ["a", "a", "b", "c", "d", "e"])))) == ["b", "c", "d", "e"]
     assert one(spark, workflow.sanitized(F.lit("\x1b[31m<p>a</p>\\n<p>\x07b\\nc</p>"))) == "<p>a</p>\n<p>b\\nc</p>"
     assert one(spark, workflow.parsed_response(F.lit('{"translation": "OK"}'))) == "OK"
-
-
-def test_translate_in_stages(spark):
-    chunks = spark.createDataFrame([("a", "<p>Hi there</p>", "", "pending"), ("b", "  ", "", "pending"), ("c", "<p>bad</p>", "", "pending"), ("d", "x", "y", "translated")], "name string, original string, translated string, status string")
-    model = lambda rows: ['{"translation": "<p>好</p>"}' if "Hi" in r["payload"] else "<p>" for r in rows]
-    ok = lambda o, t: F.struct((markup.integrity(t)["outcome"] == "ok").alias("is_valid"), F.lit("标签结构不一致").alias("message"))
-    got = {r["name"]: (r["translated"], r["status"], r["attempts"]) for r in workflow.translate(chunks, model, ok, lambda d: d.persist()).collect()}
-    assert got == {"a": ("<p>好</p>", "translated", 1), "b": ("  ", "translated", 0), "c": ("", "translation_failed", 3), "d": ("y", "translated", 0)}

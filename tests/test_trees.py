@@ -220,14 +220,14 @@ def test_legacy_keys_come_back(spark):
     assert df.select(placeholders.restored_keys(keyed, F.col("o")).alias("t")).first()["t"] == "x <b>$1</b> y a\\b"
 
 
-def test_proofreading_and_completion(spark):
+def test_proofreading_and_completion(spark, tmp_path):
     from quire.operators import workflow
 
     rows = [(1, "a", "<p>Two birds</p>", "<p>两只鸟。。您看</p>", "translated", "html"), (2, "b", "<p>x</p>", "", "translation_failed", "html"), (3, "c", "[NAVTXT:0] Up", "[NAVTXT:0] 上", "translated", "nav_text"), (4, "d", "<p>Sea</p>", "<p>大海</p>", "translated", "html"), (5, "e", "<p>Sun</p>", "<p>太阳</p>", "translated", "html")]
     chunks = spark.createDataFrame(rows, "k long, name string, original string, translated string, status string, chunk_mode string")
     first = lambda rs: ['{"corrections": {"鸟": "雀", "[CODE:1]": "x"}}' if "鸟" in r["payload"] else '{"error": "safety policy", "code": 1}' if "海" in r["payload"] else "nonsense" for r in rs]
     second = lambda rs: ['{"corrections": {"大海": "<b>海</b>"}}' if "海" in r["payload"] else "again nonsense" for r in rs]
-    found = workflow.proofread(chunks, first, second, lambda d: d.persist())
+    found = workflow.proofread(chunks, workflow.Answers(f"{tmp_path}/1", first), workflow.Answers(f"{tmp_path}/2", second), lambda d: d.persist())
     got = {r["name"]: (r["proofread"], [(c["old"], c["new"]) for c in r["corrections"]]) for r in found.collect()}
     assert got == {"a": (True, [("鸟", "雀"), ("[CODE:1]", "x")]), "b": (False, []), "c": (False, []), "d": (True, [("大海", "<b>海</b>")]), "e": (False, [])}
     done = {r["k"]: (r["translated"], r["status"]) for r in workflow.completed(chunks.join(found, "name"), "k").collect()}
@@ -235,22 +235,3 @@ def test_proofreading_and_completion(spark):
     assert done == {1: ("<p>两只雀。你看</p>", "completed"), 2: ("", "translation_failed"), 3: ("[NAVTXT:0] 上", "completed"), 4: ("<p>大海</p>", "completed"), 5: ("<p>太阳</p>", "completed")}
     fixes = F.array(F.struct(F.lit("a").alias("old"), F.lit("b").alias("new")), F.struct(F.lit("bb").alias("old"), F.lit("c").alias("new")), F.struct(F.lit("z").alias("old"), F.lit("").alias("new")))
     assert tuple(spark.range(1).select(workflow.correction_counts(F.lit("<a>aab</a>"), fixes).alias("x")).first()["x"]) == (3, 2)
-
-
-def test_texts_are_translated_one_by_one_where_batches_fail(spark):
-    from quire.operators import workflow
-
-    words = {f"w{i}": f"字{i}" for i in range(12)}
-
-    def model(rows):
-        out = []
-        for r in rows:
-            lines = r["payload"].split("\n")
-            said = [line.split("]")[0] + "]" + words.get(line.split("]", 1)[1], "") for line in lines]
-            out.append("\n".join(said[1:] if len(lines) > 1 and "w8" in r["payload"] else said))
-        return out
-
-    html = ["<div>" + "".join(f"<p>w{i}</p>" for i in range(12)) + "</div>", "<p>w1<br/>unknown</p>", "<p><br/></p>"]
-    chunks = spark.createDataFrame(list(enumerate(html)), "k long, original string")
-    got = {r["k"]: r["html"] for r in workflow.translate_texts(chunks, "k", model, lambda d: spark.createDataFrame(d.collect(), d.schema)).collect()}
-    assert got == {0: "<div>" + "".join(f"<p>字{i}</p>" for i in range(12)) + "</div>", 1: None, 2: "<p><br/></p>"}
