@@ -492,12 +492,12 @@ def post_process(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(workflow.post_processed(F.replace("text", F.lit(". "), F.lit("。。您，，大型语言模型")))).alias("post_md5"))
 
 
-_ERRORS = "CASE doc_id % 6 WHEN 0 THEN '安全审核失败' WHEN 1 THEN 'network timeout' WHEN 2 THEN 'Content Policy hit' WHEN 3 THEN '标签结构不一致: x' WHEN 4 THEN 'HTML标签结构错误' ELSE text END"
+_ERRORS = "CASE doc_id % 6 WHEN 0 THEN '安全审核失败' WHEN 1 THEN 'network timeout' WHEN 2 THEN 'a content policy hit' WHEN 3 THEN '标签结构不一致: x' WHEN 4 THEN 'HTML标签结构错误' ELSE text END"
 
 
 @query(
     "error_kinds",
-    f"""SELECT doc_id, doc_id % 9 = 0 OR {' OR '.join(f"contains(lower(m), '{w}')" for w in workflow.SAFETY_WORDS)} AS safety, {' OR '.join(f"contains(m, '{w}')" for w in workflow.STRUCTURE_WORDS)} AS structure FROM (SELECT doc_id, {_ERRORS} AS m FROM documents)""",
+    f"""SELECT doc_id, doc_id % 9 = 0 OR {' OR '.join(f"contains(m, '{w}')" for w in workflow.SAFETY_WORDS)} AS safety, {' OR '.join(f"contains(m, '{w}')" for w in workflow.STRUCTURE_WORDS)} AS structure FROM (SELECT doc_id, {_ERRORS} AS m FROM documents)""",
 )
 def error_kinds(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ERRORS).alias("m"))
@@ -535,6 +535,30 @@ def stream_merge(spark, sf_dir):
     return workflow.merged_stream(turns, "conv_id", F.count(F.lit(1)).alias("deltas")).select("conv_id", F.md5("content").alias("content_md5"), "deltas")
 
 
+@query(
+    "delta_merge",
+    """WITH d AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE turn % 2 = 0), o AS (SELECT DISTINCT * FROM d),
+calls AS (SELECT conv_id, turn % 3 AS i, string_agg(text, '' ORDER BY turn, text) AS args, arg_min('call ' || turn, struct_pack(turn, text)) AS id FROM o WHERE turn % 3 < 2 GROUP BY 1, 2),
+c AS (SELECT conv_id, string_agg(i || ' ' || id || ' ' || args, chr(10) ORDER BY i) AS calls FROM calls GROUP BY conv_id),
+e AS (SELECT conv_id, string_agg(role || '=' || last, ',' ORDER BY role) AS extra FROM (SELECT conv_id, role, arg_max(turn::VARCHAR, struct_pack(turn, text)) AS last FROM o GROUP BY 1, 2) GROUP BY 1)
+SELECT o.conv_id, count(*)::BIGINT AS deltas, arg_min(role, struct_pack(turn, text)) AS role, md5(string_agg(text, '' ORDER BY turn, text)) AS content_md5, arg_max('usage ' || turn, struct_pack(turn, text)) AS usage, any_value(extra) AS extra, md5(coalesce(any_value(calls), '')) AS calls_md5
+FROM o LEFT JOIN c USING (conv_id) LEFT JOIN e USING (conv_id) GROUP BY o.conv_id""",
+)
+def delta_merge(spark, sf_dir):
+    """Conversations as streams of deltas, every second one sent twice and all of them out of order: texts, the last usage, merged maps, and tool calls from their pieces."""
+    from quire.operators import deltas
+
+    t = table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    call = F.when(F.col("turn") % 3 < 2, F.array(F.struct((F.col("turn") % 3).cast("int").alias("index"), F.concat(F.lit("call "), turn).alias("id"), F.lit(None).cast("string").alias("name"), F.col("text").alias("arguments"))))
+    each = t.select("conv_id", F.struct("turn", "text").alias("seq"), "role", F.col("text").alias("content"), F.concat(F.lit("usage "), turn).alias("usage"), F.create_map("role", turn).alias("extra"), call.alias("tool_calls"))
+    sent = each.unionByName(each.where("seq.turn % 2 = 0"))
+    out = deltas.merged_deltas(sent, "conv_id").withColumn("calls", deltas.whole_calls(F.col("tool_calls")))
+    extra = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    calls = F.array_join(F.transform(F.coalesce("calls", F.array().cast(f"array<{deltas.CALL}>")), lambda c: F.concat_ws(" ", c["index"].cast("string"), c["id"], c["arguments"])), "\n")
+    return out.select("conv_id", "deltas", "role", F.md5("content").alias("content_md5"), "usage", extra.alias("extra"), F.md5(calls).alias("calls_md5"))
+
+
 @query(
     "sanitize_output",
     r"""SELECT page_id, length(t)::BIGINT AS length, md5(t) AS clean_md5 FROM (SELECT page_id, regexp_replace(replace(html, '><', '>' || chr(10) || '<'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM pages)""",

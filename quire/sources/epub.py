@@ -112,6 +112,17 @@ def stylesheets(opf: Column) -> Column:
     return F.regexp_extract_all(opf, F.lit(r'<item\b[^>]*\bhref="([^"]+\.css)"[^>]*\bmedia-type="text/css"'), F.lit(1))
 
 
+def declared_stylesheets(members: DataFrame) -> DataFrame:
+    """(book, member): the stylesheets that a book's package document declares, by their place beside it, as far as the book (book, member, body) has them."""
+    opf = members.where(F.lower("member").endswith(".opf")).select("book", F.regexp_extract("member", r"^(.*/)?[^/]*$", 1).alias("folder"), F.explode(stylesheets(F.decode("body", "UTF-8"))).alias("href"))
+    # "a/../b" and "./b" are b
+    at = F.regexp_replace(F.concat("folder", "href"), r"(^|/)\./", "$1")
+    for _ in range(4):
+        at = F.regexp_replace(at, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    told = opf.select("book", at.alias("member")).distinct()
+    return told.join(members.select("book", "member"), ["book", "member"], "left_semi")
+
+
 # The fonts, the rules that take the one for code, and the rules that a stylesheet without fonts gets.
 CODE_FONT, TEXT_FONT = '"Courier New", monospace', "STYuanti, serif"
 CODE_SELECTOR = r"(?i)\b(code|pre|math|kbd|samp|\.source-code|\.source-inline|\.screen-inline|\.sc-highlight|\.console|\.highlight)\b"
