@@ -8,7 +8,7 @@ import pytest
 from quire.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "conversations", "labels"]
+TABLES = ["documents", "pages", "conversations", "labels", "benchmark"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
