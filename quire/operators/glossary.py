@@ -54,11 +54,17 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ngrams(sents: DataFrame, stop: list[str]) -> DataFrame:
-    """(sid, term): runs of two to five words without a stop word, once for each time they stand there."""
-    keep = sents.select("sid", F.transform("words", lambda w: F.when(w.isin(stop), "").otherwise(w)).alias("w"))
-    grams = F.expr(f"flatten(transform(sequence(1, size(w)), i -> transform(filter(sequence({MIN_WORDS}, {MAX_WORDS}), n -> i + n - 1 <= size(w)), n -> slice(w, i, n))))")
-    each = keep.where(f"size(w) >= {MIN_WORDS}").select("sid", F.explode(grams).alias("g")).where("NOT array_contains(g, '')")
-    return each.select("sid", F.array_join("g", " ").alias("term"))
+    """(sid, term): runs of two to five words without a stop word, once for each time they stand there.
+
+    The words are laid beside their followers, so that a row has all that begins at one word, and terms grow by a word each.
+    """
+    keep = sents.where(f"size(words) >= {MIN_WORDS}").select("sid", F.transform("words", lambda w: F.when(w.isin(stop), "").otherwise(w)).alias("w"))
+    beside = F.arrays_zip(*(F.slice("w", k, 1 << 30).alias(f"w{k}") for k in range(1, MAX_WORDS + 1)))
+    rows = keep.select("sid", F.explode(beside).alias("x")).select("sid", "x.*").where("w1 <> '' AND w2 <> ''")
+    terms = [F.concat_ws(" ", "w1", "w2")]
+    for k in range(MIN_WORDS + 1, MAX_WORDS + 1):
+        terms.append(F.when(F.col(f"w{k}") != "", F.concat(terms[-1], F.lit(" "), F.col(f"w{k}"))))
+    return rows.select("sid", F.explode(F.array(*terms)).alias("term")).where("term IS NOT NULL")
 
 
 def tfidf(sents: DataFrame, terms: DataFrame, top: int = TOP) -> DataFrame:
