@@ -159,3 +159,29 @@ def nav_writeback(spark, sf_dir):
     html, faults = writeback.write_back(parsed, nodes, rows, "page_id")
     nav = html.select("page_id", F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0).alias("nav"))
     return nav.join(faults.select("page_id", "fault"), "page_id", "left").select("page_id", "fault", "nav")
+
+
+@query(
+    "recovered_items",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, regexp_replace(line, '[<>&\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS line FROM l),
+p AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM c WHERE regexp_matches(line, '\S'))
+SELECT doc_id, count(*)::BIGINT AS n_chunks, count(*) FILTER ((doc_id + n) % 4 IN (1, 2))::BIGINT AS n_failed,
+  md5('<html><body>' || string_agg('<p>' || CASE (doc_id + n) % 4 WHEN 0 THEN '甲' WHEN 3 THEN '丁' ELSE line END || '</p>', '' ORDER BY n) || '</body></html>') AS html_md5
+FROM p GROUP BY doc_id""",
+)
+def recovered_items(spark, sf_dir):
+    """Documents as paragraphs, a chunk each, written back; a quarter of the chunks break the markup and another leaves a placeholder, so nearly every file is made again from the sound ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = F.filter(F.split(F.regexp_replace("text", r"[<>&\x00-\x08\x0B\x0C\x0E-\x1F]", ""), "\n"), lambda x: x.rlike(r"\S"))
+    html = F.concat(F.lit("<html><body>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""), F.lit("</body></html>"))
+    shaped = docs.select("doc_id", html.alias("html"), F.size(lines).alias("n")).where("n > 0")
+    none = F.lit(None).cast("array<string>")
+    items = dom.parse(shaped, "doc_id", "html", ("n",), hold=False)
+    each = shaped.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    new = F.get(F.array(*map(F.lit, ("<p>甲</p>", '<p 1x="y">乙</p>', "<p>丙 [CODE:9]</p>", "<p>丁</p>"))), ((F.col("doc_id") + F.col("i")) % 4).cast("int"))
+    path = F.array(F.concat(F.lit("/html/body/p["), F.col("i").cast("string"), F.lit("]")))
+    chunks = each.select("doc_id", F.format_string("%d#%d", "doc_id", "i").alias("name"), F.col("i").cast("long").alias("seq"), path.alias("xpaths"), new.alias("translated"), F.lit("translated").alias("status"))
+    html, status = writeback.restore_items(items.select("doc_id", "normalized", *(none.alias(k) for k in writeback.KEPT)), dom.nodes(items, "doc_id"), chunks, "doc_id")
+    counts = status.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("status") == "writeback_failed").alias("n_failed"))
+    return counts.join(html, "doc_id").select("doc_id", "n_chunks", "n_failed", F.md5("html").alias("html_md5"))
