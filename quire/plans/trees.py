@@ -11,6 +11,7 @@ from quire.functions import placeholders
 from quire.functions.text import strip
 from quire.operators import chunking, dom, protect, validation, writeback
 from quire.operators.writeback import overlapping  # noqa: F401
+from quire.sources.tables import persisted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,8 +178,8 @@ def recovered_items(spark, sf_dir):
     html = F.concat(F.lit("<html><body>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""), F.lit("</body></html>"))
     shaped = docs.select("doc_id", html.alias("html"), F.size(lines).alias("n")).where("n > 0")
     none = F.lit(None).cast("array<string>")
-    items = dom.parse(shaped, "doc_id", "html", ("n",), hold=False)
-    each = shaped.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    items = persisted(dom.parse(shaped, "doc_id", "html", ("n",), hold=False))
+    each = items.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
     new = F.get(F.array(*map(F.lit, ("<p>甲</p>", '<p 1x="y">乙</p>', "<p>丙 [CODE:9]</p>", "<p>丁</p>"))), ((F.col("doc_id") + F.col("i")) % 4).cast("int"))
     path = F.array(F.concat(F.lit("/html/body/p["), F.col("i").cast("string"), F.lit("]")))
     chunks = each.select("doc_id", F.format_string("%d#%d", "doc_id", "i").alias("name"), F.col("i").cast("long").alias("seq"), path.alias("xpaths"), new.alias("translated"), F.lit("translated").alias("status"))
