@@ -24,6 +24,11 @@ def markup_mode(markup: Column) -> Column:
     return F.when((root != "") & (root != "html") & xml, "xml").otherwise("html")
 
 
+def as_written(markup: Column, known: tuple[str, ...]) -> Column:
+    """The markup with only the references of ``known`` standing for characters: any other ampersand, as that of a reference cut off before its semicolon, is text."""
+    return F.regexp_replace(markup, rf"&(?!(?:{'|'.join(known)});)", "&amp;")
+
+
 def is_nav_name(path: Column) -> Column:
     low = F.lower(path)
     return low.contains("toc.ncx") | low.endswith("nav.xhtml") | low.endswith("toc.xhtml")
