@@ -245,3 +245,12 @@ def test_protection_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "InMemory" not in plan
     got = sorted((r["k"], r["html"], r["code"]) for r in out.where("k = 0").collect())
     assert got == [(0, CODE[0][1], []), (0, "<p>twice [CODE:0]</p>", ["<code>x</code>"])]
+
+
+def test_pairs_are_validated_in_their_row(spark):
+    """Both sides are parsed where they stand: nothing is joined or held, and a key that stands twice gives two rows."""
+    pairs = spark.createDataFrame([(1, "<p>old text</p>", "<p>旧文 with some left over words</p>"), (1, "<p>a</p>", "<p>甲</p><p>乙</p>")], "k long, original string, translated string")
+    out = validation.validated(pairs, "k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InMemory" not in plan
+    assert sorted(r["message"] for r in out.collect()) == ["", "元素数量不一致"]
