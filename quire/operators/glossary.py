@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators import ranking
+
 # Characters and words that mark code.
 INVALID_CHARS = list("=()[]{}<>/\\:%*©’_−ˉ+±×÷√∫∑∏∂Δ∇≈≠≤≥“”—–")
 CODE_KEYWORDS = (
@@ -46,37 +49,19 @@ def matching(text: Column, terms: list[str]) -> Column:
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(sid, words): lower-cased words of each sentence; documents under 100 characters are left out."""
-    pure = docs.select("doc_id", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("t")).where("length(t) > 100")
-    each = pure.select("doc_id", F.posexplode(F.split("t", r"[.!?]+")).alias("pos", "s"))
+    """(words): lower-cased words of each sentence; documents under 100 characters are left out."""
+    pure = docs.select(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("t")).where("length(t) > 100")
+    each = pure.select(F.explode(F.split("t", r"[.!?]+")).alias("s"))
     words = F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return each.select(F.concat_ws("#", "doc_id", "pos").alias("sid"), words.alias("words")).where("size(words) > 0")
+    return each.select(words.alias("words")).where("size(words) > 0")
 
 
-def ngrams(sents: DataFrame, stop: list[str]) -> DataFrame:
-    """(sid, term): runs of two to five words without a stop word, once for each time they stand there.
-
-    The words are laid beside their followers, so that a row has all that begins at one word, and terms grow by a word each.
-    """
-    keep = sents.where(f"size(words) >= {MIN_WORDS}").select("sid", F.transform("words", lambda w: F.when(w.isin(stop), "").otherwise(w)).alias("w"))
-    beside = F.arrays_zip(*(F.slice("w", k, 1 << 30).alias(f"w{k}") for k in range(1, MAX_WORDS + 1)))
-    rows = keep.select("sid", F.explode(beside).alias("x")).select("sid", "x.*").where("w1 <> '' AND w2 <> ''")
-    terms = [F.concat_ws(" ", "w1", "w2")]
-    for k in range(MIN_WORDS + 1, MAX_WORDS + 1):
-        terms.append(F.when(F.col(f"w{k}") != "", F.concat(terms[-1], F.lit(" "), F.col(f"w{k}"))))
-    return rows.select("sid", F.explode(F.array(*terms)).alias("term")).where("term IS NOT NULL")
-
-
-def tfidf(sents: DataFrame, terms: DataFrame, top: int = TOP) -> DataFrame:
-    """(term, score): the ``top`` terms by mean tf-idf over all sentences: smoothed idf, each sentence at length one, ties by term."""
-    n = sents.count()
-    tf = terms.groupBy("sid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)
-    each = tf.join(df, "term").withColumn("w", weight)
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("sid")))
-    scored = each.withColumn("u", F.col("w") / length).groupBy("term").agg(F.round(F.sum("u") / max(1, n), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "term").limit(top)
+def tfidf(sents: DataFrame, stop: list[str], persist: Callable[[DataFrame], DataFrame], top: int = TOP) -> DataFrame:
+    """(term, score): the ``top`` runs of two to five words without a stop word, by mean tf-idf over all sentences (words); ties by term."""
+    line = F.array_join(F.transform("words", lambda w: F.when(w.isin(stop), "\n").otherwise(w)), " ")
+    units = ranking.distinct_units(sents.select(F.regexp_replace(line, " *\n[ \n]*", "\n").alias("unit")), persist)
+    n = units.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    return ranking.ranked(units, n, persist, top, MAX_WORDS)
 
 
 def merged(new_terms: DataFrame, existing: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import language, markup, placeholders, text
 from quire.operators import chunking, dom, glossary, packing, status, workflow
 from quire.plans import mining, trees, whole
+from quire.sources.tables import persisted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,7 +355,7 @@ SELECT term, round(sum(u) / (SELECT n FROM c), 6) AS score FROM u GROUP BY term
 def glossary_tfidf(spark, sf_dir):
     """The 200 terms (word runs of two to five) of all documents with the largest mean tf-idf: a top-k report."""
     sents = glossary.sentences(table(spark, sf_dir, "documents"))
-    return glossary.tfidf(sents, glossary.ngrams(sents, _STOP))
+    return glossary.tfidf(sents, _STOP, persisted)
 
 
 @query(

@@ -133,3 +133,34 @@ def test_terms_rank_by_mean_tfidf(spark):
     a, b = 2 * idf(1), idf(1)
     norm = math.hypot(a, b)
     assert got == {"neural network": round(a / norm / 4, 6), "deep neural network": round(b / norm / 4, 6), "query plan": 0.5}
+
+
+def test_terms_of_equal_and_of_single_sentences_rank_as_by_brute_force(spark):
+    from quire.operators import glossary
+
+    rng = random.Random(3)
+    vocabulary = "alpha beta gamma delta the epsilon".split() + [f"w{i}" for i in range(30)]
+    sents = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 9))] for _ in range(120)]
+    sents += sents[:40] * 3 + [["alpha", "beta", "alpha", "beta", "alpha"], ["the"], ["solo"]]
+    n, each = len(sents), []
+    for s in sents:
+        tf = Counter(" ".join(g) for k in range(2, 6) for i in range(len(s) - k + 1) if "the" not in (g := s[i : i + k]))
+        each.append(tf)
+    df = Counter(t for tf in each for t in tf)
+    want = Counter()
+    for tf in each:
+        w = {t: k * (math.log((1 + n) / (1 + df[t])) + 1) for t, k in tf.items()}
+        for t, x in w.items():
+            want[t] += x / math.sqrt(sum(v * v for v in w.values())) / n
+    for top in (5, 60, 10_000):
+        first = sorted(((-round(x, 6), t) for t, x in want.items()))[:top]
+        got = glossary.tfidf(spark.createDataFrame([(s,) for s in sents], "words array<string>"), ["the"], persisted, top)
+        assert [(r["term"], r["score"]) for r in got.orderBy("score", "term").collect()] == sorted(((t, -x) for x, t in first), key=lambda r: (r[1], r[0]))
+
+
+def test_only_shared_words_are_told_apart_by_a_shuffle(spark):
+    from quire.operators import ranking
+
+    units = ranking.distinct_units(spark.createDataFrame([("a b c\nd e",), ("a b c\nd e",), ("a b x",), ("q r s",)], "unit string"), persisted)
+    met = ranking._shared(units, 2, 2, False).join(units, "sid").collect()
+    assert {r["unit"]: [x["df"] for x in r["met"]] for r in met} == {"a b c\nd e": [3], "a b x": [3]}
