@@ -2,14 +2,17 @@
 
 One pass over the corpus counts, for every word, its type, case and whether a period follows, together with what stands before it: one
 aggregated table, from which everything else comes by small joins. Whether a period ends a sentence depends on the types on both of its sides
-only, so the model is the table of pairs that a period doesn't part; texts are cut at every mark and put together again where the table says so.
+only, so the model is the table of pairs that a period doesn't part; texts are cut at every mark but where the table says otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,9 @@ NUMBER = "##number##"
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST = 1_000_000
-_CUT = "\u001e"
+_CUT, _SEP = "\u001e", "\u001f"
+#: Texts that are cut together.
+ROWS = 500
 
 
 def pure(text: Column) -> Column:
@@ -182,13 +187,65 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.?!…][\"')\]}”’»]*) ", "$1" + _CUT), _CUT)
 
 
+_END = re.compile(r"""[.?!…]["')\]}”’»]* """)
+_DIGITS = re.compile(r"[0-9][0-9.,:/-]*")
+
+
+def facts_of(word: str) -> tuple[str, str, str]:
+    """(type, mark, case) of one word, as ``word_facts`` gives them."""
+    core = word.lstrip(OPENING).rstrip(CLOSING)
+    body = core.rstrip(MARKS)
+    mark = "stop" if core.endswith(("?", "!")) else "ellipsis" if core.endswith(("..", "…")) else "period" if core.endswith(".") else ""
+    first = body[:1]
+    case = "upper" if first != first.lower() else "lower" if first != first.upper() else ""
+    return NUMBER if _DIGITS.fullmatch(body) else body.lower(), mark, case
+
+
+def cut(text: str, joined: set[str], facts: Callable[[str], tuple[str, str, str]]) -> list[str]:
+    """The sentences of a pure text."""
+    out, begin, piece = [], 0, 0
+    for m in _END.finditer(text):
+        end = m.end() - 1
+        kind, mark, _ = facts(text[max(piece, text.rfind(" ", piece, end) + 1) : end])
+        piece = end + 1
+        if mark == "period" or mark == "ellipsis":
+            stop = text.find(" ", piece)
+            then, _, case = facts(text[piece:stop] if stop >= 0 else text[piece:])
+            if _SEP.join((mark, kind if mark == "period" else "", then, case)) in joined:
+                continue
+        out.append(text[begin:end])
+        begin = piece
+    out.append(text[begin:])
+    return out
+
+
 def split_sentences(docs: DataFrame, model: Model, key: str, text: str = "text", trained: bool = False) -> DataFrame:
     """(key, sentences array<string>) of every document whose text isn't blank; white space in them is squeezed.
 
-    ``trained``: the model was trained on these very texts, so it knows all of their pairs. One shuffle of the texts, by key, which has to be unique; the pairs
-    are broadcast where they are few.
+    ``trained``: the model was trained on these very texts, so it knows all of their pairs. Each text is cut in its own row, without a shuffle, as long as the pairs that a mark
+    doesn't part are ``BROADCAST`` at most; more of them are met by a join, with one shuffle of the texts, by key, which has to be unique.
     """
     joined = model.joined if trained else model.joins(docs, text)
+    known = joined.select(F.concat_ws(_SEP, "before", "before_type", "type", "case").alias("pair")).limit(BROADCAST + 1).toArrow().column(0).combine_chunks()
+    if len(known) > BROADCAST:
+        return _split_by_join(docs, joined, key, text)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = set(shared.value.to_pylist())
+        facts = lru_cache(1 << 16)(facts_of)
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([cut(t, pairs, facts) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], names=["key", "sentences"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.where(worded(F.col(text))).select(F.col(key).alias("key"), pure(F.col(text)).alias("text"))
+    return rows.mapInArrow(each, f"key {kind}, sentences array<string>").withColumnRenamed("key", key)
+
+
+def _split_by_join(docs: DataFrame, joined: DataFrame, key: str, text: str) -> DataFrame:
+    """As ``split_sentences``: every piece meets its pair in ``joined``, and the pieces their document."""
     with_next = bound(pieces(pure(F.col(text))), lambda p: F.zip_with(p, F.slice(p, 2, 1 << 30), lambda a, b: F.struct(a.alias("piece"), b.alias("then"))))
     each = docs.where(worded(F.col(text))).select(key, F.posexplode(with_next).alias("pos", "x")).select(key, "pos", "x.piece", word_facts(F.substring_index("x.piece", " ", -1)).alias("a"), word_facts(F.substring_index("x.then", " ", 1)).alias("b"))
     before_type = F.when(F.col("a.mark") == "period", F.col("a.type")).otherwise("")

@@ -164,3 +164,13 @@ def test_only_shared_words_are_told_apart_by_a_shuffle(spark):
     units = ranking.distinct_units(spark.createDataFrame([("a b c\nd e",), ("a b c\nd e",), ("a b x",), ("q r s",)], "unit string"), persisted)
     met = ranking._shared(units, 2, 2, False).join(units, "sid").collect()
     assert {r["unit"]: [x["df"] for x in r["met"]] for r in met} == {"a b c\nd e": [3], "a b x": [3]}
+
+
+def test_sentences_are_cut_in_their_row_as_by_the_join(spark, corpus):
+    _, docs, model = corpus
+    odd = ['He said "stop." Then  (maybe!) went... and came… Yes', ". . . A. B. c", "Dr.) Hill (Mr. Stone) 5. edition 3.5. x İ. ẞ. ǅ. end.", "J. K. Miller… dog", "x. " * 300]
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    own = sentences.split_sentences(docs, model, "doc_id")
+    by_join = sentences._split_by_join(docs, model.joins(docs), "doc_id", "text")
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["sentences"] for r in own.collect()} == {r["doc_id"]: r["sentences"] for r in by_join.collect()}
