@@ -8,14 +8,17 @@ those are searched for terms, not the whole text.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators import glossary
-from quire.operators.sentences import Model, fitted, pure, split_sentences, train
+from quire.operators import glossary, ranking
+from quire.operators.sentences import BROADCAST, Model, fitted, pure, split_sentences, train
 
 # Elements whose text is no prose.
 DROPPED = ["pre", "code", "figure", "figcaption", "table", "script", "style", "a", "header", "footer", "nav"]
@@ -23,6 +26,7 @@ LEAST_CHARS = 100
 #: A word with inner hyphens, apostrophes and periods, or one other visible character.
 WORD = r"[\p{L}\p{N}_]+(?:[-'’.][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
 ADJECTIVE, NOUN, OTHER = "J", "N", "O"
+_PHRASE = re.compile(rb"J*+N++")
 #: A lexicon of closed classes and of everyday verbs and adverbs; a parameter, to be replaced by a full one.
 LEXICON = {
     OTHER: (
@@ -75,14 +79,67 @@ def word_tags(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame) -> Data
     return met.select("word", F.when(~plain, OTHER).otherwise(F.coalesce("by_word", "by_suffix", F.lit(NOUN))).alias("tag"))
 
 
+def tagger(lexicon: dict[str, str], suffixes: dict[str, str]) -> Callable[[str], str]:
+    """The tag of a word, as ``word_tags`` gives it."""
+    longest = max(map(len, suffixes), default=0)
+
+    def tag(word: str) -> str:
+        if not word[:1].isalpha():
+            return OTHER
+        if word in lexicon:
+            return lexicon[word]
+        for k in range(min(longest, len(word) - 2), 0, -1):
+            if (found := suffixes.get(word[-k:])) is not None:
+                return found
+        return NOUN
+
+    return tag
+
+
 def noun_phrases(sents: DataFrame, key: str, lexicon: DataFrame, suffixes: DataFrame, persist: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(key, nth, phrases array<array<string>>) of every sentence of (key, sentences): adjectives and then nouns, small letters, the longest from left to right.
 
-    Different words are tagged once, and their tags met by a join. The grammar runs over a sentence's words, each followed by its tag; its
-    quantifiers give nothing back, so that long sentences take no stack.
+    Different words are tagged once a batch, in the sentences' own rows: a lexicon of up to ``BROADCAST`` words goes to every task. A larger one is met by a join with
+    the different words, written by ``persist``. The grammar runs over a sentence's tags; its quantifiers give nothing back, so that long sentences take no stack.
     """
     each = sents.select(key, F.posexplode("sentences").alias("nth", "s"))
-    words = persist(each.select(key, "nth", F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0)).alias("words")))
+    words = each.select(key, "nth", F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0)).alias("words"))
+    known = lexicon.limit(BROADCAST + 1).collect()
+    if len(known) > BROADCAST:
+        return _phrases_by_join(persist(words), key, lexicon, suffixes, persist)
+    shared = sents.sparkSession.sparkContext.broadcast((dict(map(tuple, known)), dict(map(tuple, suffixes.collect()))))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag = tagger(*shared.value)
+        for batch in batches:
+            lists = batch.column(2)
+            coded = lists.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            tags = np.frombuffer("".join(map(tag, names)).encode(), np.uint8)[code] if len(code) else np.empty(0, np.uint8)
+            of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            # a sentence ends where another begins: each has one more tag, of its end
+            line = np.full(len(tags) + len(batch), ord("|"), np.uint8)
+            line[np.arange(len(tags)) + of] = tags
+            spans = np.array([m.span() for m in _PHRASE.finditer(line.tobytes())], np.int64).reshape(-1, 2)
+            place = np.cumsum(line == ord("|"))
+            row = place[spans[:, 0]]  # the sentence, by the ends before it
+            low, size = spans[:, 0] - row, spans[:, 1] - spans[:, 0]
+            first, count = np.unique(row, return_counts=True)
+            inner = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            flat = pa.DictionaryArray.from_arrays(pa.array(code[inner], pa.int32()), coded.dictionary).cast(pa.string())
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), flat)
+            phrases = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), runs)
+            rows = batch.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), phrases], names=["key", "nth", "phrases"])
+
+    kind = sents.schema[key].dataType.simpleString()
+    out = words.withColumnRenamed(key, "key").mapInArrow(found, f"key {kind}, nth int, phrases array<array<string>>")
+    return out.withColumnRenamed("key", key)
+
+
+def _phrases_by_join(words: DataFrame, key: str, lexicon: DataFrame, suffixes: DataFrame, persist: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``noun_phrases``, from (key, nth, words), with tags of the different words met by a join; each word is followed by its tag."""
     listed = words.select(key, "nth", F.posexplode("words").alias("pos", "word"))
     tags = fitted(persist(word_tags(listed.select("word").distinct(), lexicon, suffixes).where(F.col("tag") != OTHER)))
     told = listed.join(tags, "word").groupBy(key, "nth").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "tag"))).alias("w"))
@@ -96,20 +153,13 @@ def noun_phrases(sents: DataFrame, key: str, lexicon: DataFrame, suffixes: DataF
 def ranked_terms(phrases: DataFrame, key: str, n_sentences: int, forbidden: list[str], persist: Callable[[DataFrame], DataFrame], top: int = glossary.TOP) -> DataFrame:
     """(term, score): the ``top`` valid phrases by mean tf-idf over all sentences: smoothed idf, each sentence at length one, ties by term.
 
-    Candidates are the valid phrases; they count wherever they stand within a phrase. What is shuffled are the candidates of a sentence.
+    Candidates are the valid phrases; they count wherever they stand within a phrase.
     """
     first, last = glossary.MIN_WORDS, glossary.MAX_WORDS
-    whole = phrases.select(F.explode("phrases").alias("p")).where(F.size("p").between(first, last)).select(F.array_join("p", " ").alias("term")).distinct()
-    candidates = persist(whole.where(glossary.is_valid_term(F.col("term"), forbidden)))
-    grams = F.expr(f"flatten(transform(p, w -> transform(filter(flatten(transform(sequence(1, size(w)), i -> transform(sequence({first}, {last}), n -> struct(i, n)))), x -> x.i + x.n - 1 <= size(w)), x -> array_join(slice(w, x.i, x.n), ' '))))")
-    long = phrases.select(key, "nth", F.filter("phrases", lambda p: F.size(p) >= first).alias("p")).where("size(p) > 0")
-    tf = long.select(key, "nth", F.explode(grams).alias("term")).groupBy(key, "nth", "term").agg(F.count(F.lit(1)).alias("tf")).join(candidates, "term", "left_semi")
-    tf = persist(tf)
-    idf = tf.groupBy("term").agg((F.log((1.0 + n_sentences) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").select(key, "nth", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key, "nth")))
-    scored = weighted.withColumn("u", F.col("w") / length).groupBy("term").agg(F.round(F.sum("u") / max(1, n_sentences), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "term").limit(top)
+    runs = phrases.select(F.transform(F.filter("phrases", lambda p: F.size(p) >= first), lambda p: F.array_join(p, " ")).alias("p")).where("size(p) > 0")
+    valid = lambda p: F.when((F.size(F.split(p, " ")) <= last) & glossary.is_valid_term(p, forbidden), "1").otherwise("0")
+    units = ranking.distinct_units(runs.select(F.array_join("p", "\n").alias("unit")), persist, F.array_join(F.transform(F.split("unit", "\n"), valid), ""))
+    return ranking.ranked(units, n_sentences, persist, top, last, whole_only=True)
 
 
 def mined(docs: DataFrame, key: str, forbidden: list[str], persist: Callable[[DataFrame], DataFrame], lexicon: DataFrame | None = None, suffixes: DataFrame | None = None, model: Model | None = None, top: int = glossary.TOP) -> DataFrame:

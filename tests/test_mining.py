@@ -174,3 +174,14 @@ def test_sentences_are_cut_in_their_row_as_by_the_join(spark, corpus):
     by_join = sentences._split_by_join(docs, model.joins(docs), "doc_id", "text")
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     assert {r["doc_id"]: r["sentences"] for r in own.collect()} == {r["doc_id"]: r["sentences"] for r in by_join.collect()}
+
+
+def test_phrases_are_found_in_their_row_as_by_the_join(spark, corpus, monkeypatch):
+    _, docs, model = corpus
+    sents = sentences.split_sentences(docs, model, "doc_id")
+    found = mining.noun_phrases(sents, "doc_id", *mining.tag_tables(spark), persisted)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mining, "BROADCAST", 3)
+    by_join = mining.noun_phrases(sents, "doc_id", *mining.tag_tables(spark), persisted)
+    rows = lambda df: {(r["doc_id"], r["nth"]): r["phrases"] for r in df.collect()}
+    assert rows(found) == rows(by_join) and rows(found)
