@@ -97,3 +97,20 @@ def test_errors_and_history(spark):
     assert one(spark, workflow.history(F.array(*map(F.lit, ["a", "a", "b", "c", "d", "e"])))) == ["b", "c", "d", "e"]
     assert one(spark, workflow.sanitized(F.lit("\x1b[31m<p>a</p>\\n<p>\x07b\\nc</p>"))) == "<p>a</p>\n<p>b\\nc</p>"
     assert one(spark, workflow.parsed_response(F.lit('{"translation": "OK"}'))) == "OK"
+
+
+def test_cheap_signs_of_patterns_miss_nothing(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quire.functions import language as lang
+
+    bits = "git commit|https://x.org/a|src/app.py|npm|snake_case|camelCase|[CODE:1]|[Panda 2013]|(Institute of Technology)|`a b`|me@ex.org|file.PY|.jſ|Next.js|gitHub|fasT open|HookHub|don't'|<b>|a.|--flag|译文".split("|")
+    rng = random.Random(4)
+    df = spark.createDataFrame([(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 5))),) for _ in range(2000)], "t string")
+    every = F.regexp_replace("t", lang.PLACEHOLDER, " ")
+    for pattern in (lang.CITATION, f"(?iU){lang.CODEISH}", f"(?iU){lang.INSTITUTION}", *(f"(?i){p}" for p in lang.PHRASES)):
+        every = F.regexp_replace(every, pattern, " ")
+    assert df.where(lang.cleaned(F.col("t")) != every).count() == 0
+    assert df.where(lang.is_technical(F.col("t")) & ~F.trim("t").rlike(lang.SIGNAL)).count() == 0 and df.where(lang.is_technical(F.col("t"))).count() > 100
