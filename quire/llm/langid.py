@@ -5,12 +5,13 @@ byte n-grams and the word itself as a lexicon entry), and learned transitions ti
 code-switched text keep their own labels. Forward-backward over the whole text gives each word's marginals; a
 document's language is the one with the largest sum of them, its score their mean.
 
-The field is fitted on the driver by gradient steps on the log-likelihood, on a bounded sample: at most PER_LANG
+The field is fitted in one task by gradient steps on the log-likelihood, on a bounded sample: at most PER_LANG
 labelled documents of each of at most MAX_LANGS languages, drawn by a hash of the id.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,8 +174,8 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     return Field(langs, weights, moves, start)
 
 
-def sample(docs: DataFrame, learn: Column) -> tuple[list[str], list[str]]:
-    """Texts and labels of at most PER_LANG documents of each of the MAX_LANGS most frequent languages among those to learn from."""
+def sample(docs: DataFrame, learn: Column) -> DataFrame:
+    """(text, lang, draw) of at most PER_LANG documents of each of the MAX_LANGS most frequent languages among those to learn from."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     drawn = labelled.select("lang", F.xxhash64("doc_id", "text").alias("draw")).distinct()
     # the smallest draws of each part of a language first, so that no task orders all of a language
@@ -183,9 +184,21 @@ def sample(docs: DataFrame, learn: Column) -> tuple[list[str], list[str]]:
         drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= PER_LANG).select("lang", "draw")
     top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     chosen = F.broadcast(drawn.join(F.broadcast(top), "lang"))
-    found = labelled.withColumn("draw", F.xxhash64("doc_id", "text")).join(chosen, ["lang", "draw"]).select("text", "lang", "draw").dropDuplicates(["lang", "draw"]).collect()
-    found.sort(key=lambda r: (r["lang"], r["draw"]))
-    return [r["text"] for r in found], [r["lang"] for r in found]
+    return labelled.withColumn("draw", F.xxhash64("doc_id", "text")).join(chosen, ["lang", "draw"]).select("text", "lang", "draw").dropDuplicates(["lang", "draw"])
+
+
+def fitted(drawn: DataFrame) -> Field:
+    """The field of a sample: fitted in one task, in order of language and draw, so that the driver holds the weights alone."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], names=["field"])
+
+    held = drawn.repartition(1).sortWithinPartitions("lang", "draw").select("text", "lang").mapInArrow(train, "field binary").collect()
+    return pickle.loads(held[0]["field"]) if held else fit([], [])
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4, held: int = 2, tag: str | None = None) -> DataFrame:
@@ -199,7 +212,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     tagged = (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag")
     docs = id_and(docs, key, text, lang, *([tag] if tag else [])).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), tagged)
     out_of = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus == held, F.lit(False))
-    field = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, ~out_of)))
+    field = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, ~out_of)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Field = field.value

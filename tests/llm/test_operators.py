@@ -475,3 +475,12 @@ def test_pipeline(spark, docs, none):
         if name == "passages":
             assert len(rows) == len(texts())
         assert stage(spark, base.where("doc_id = -1"), "").count() == 0
+
+
+def test_language_field_is_fitted_in_a_task_as_on_the_driver(spark):
+    docs = spark.createDataFrame([(i, "the cat and dog" if i % 2 else "le chat et chien", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    drawn = langid.sample(docs, F.lit(True))
+    rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"]))
+    want = langid.fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    got = langid.fitted(drawn)
+    assert got.langs == want.langs == ["en", "fr"] and (got.weights == want.weights).all() and (got.moves == want.moves).all()
