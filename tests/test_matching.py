@@ -67,3 +67,15 @@ def test_corrections_cascade_in_order(spark):
                         matched.add(k)
             out.append(p)
         assert (got[i]["html"], got[i]["replaced"], got[i]["matched"]) == ("".join(out), replaced, len(matched))
+
+
+def test_a_run_is_corrected_once(monkeypatch):
+    """However often a word stands in the texts, it is searched once."""
+    searched = []
+    scan = Automaton.scan
+    monkeypatch.setattr(Automaton, "scan", lambda self, data, at: searched.append(len(data)) or scan(self, data, at))
+    corrector = matching.Corrector([("cat", "tac"), ("ac", "x.c"), ("dog", "cat")])
+    texts = ["cat, dog " * 1_000, "dog", "", "- -"]
+    assert [(t, n, len(hit)) for t, n, hit in corrector(texts)] == [("tx.c, cat " * 1_000, 3_000, 3), ("cat", 1, 1), ("", 0, 0), ("- -", 0, 0)]
+    corrector(texts)
+    assert sum(searched) < 100
