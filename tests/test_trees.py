@@ -263,3 +263,20 @@ def test_of_spans_at_one_place_the_last_chunk_holds(spark):
     out = writeback.put_in(items, found, "k")
     assert [r["html"] for r in out.collect()] == ["firstlater"]
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_parse_a_document_once(spark):
+    """Blocks and the units of a table of contents leave in one pass; markup is sliced by bytes, whatever its characters."""
+    html = '<html><body><p>ü𝄞 one two</p><nav class="toc"><a href="x">Größe</a><a href="y">β</a></nav><p>日本 three</p></body></html>'
+    p = parsed(spark, html)
+    out = chunking.chunks(p, "k", 60)
+    got = [(r["chunk_mode"], r["original"], r["xpaths"], [t["text"] for t in r["targets"] or []]) for r in out.orderBy("chunk_no").collect()]
+    assert got == [
+        ("html_fragment", "<p>ü𝄞 one two</p>", ["/html/body/p[1]"], []),
+        ("nav_text", "[NAVTXT:0] Größe\n[NAVTXT:1] β", [], ["Größe", "β"]),
+        ("html_fragment", "<p>日本 three</p>", ["/html/body/p[2]"], []),
+    ]
+    bare = dom.parse(spark.createDataFrame([(0, html)], "k long, h string"), "k", "h", hold=False)
+    assert chunking.chunks(bare, "k", 60)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    same = bare.select(F.forall("nodes", lambda n: dom.outer_of(F.col("normalized").cast("binary"), n) == dom.outer(F.col("normalized"), n)).alias("same"))
+    assert same.first()["same"]
