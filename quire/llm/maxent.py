@@ -14,7 +14,7 @@ text, so the model doesn't depend on how the table is dealt into tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ ROWS = SKIP + len(SKIPS) * (CLASSES + 1)
 ROUNDS, STEP, RATE = 16, 32_768, 0.5
 #: Rows of a block of weights as tasks send them.
 BLOCK = 512
+#: Tokens whose scores lie in a core's cache.
+SOME = 1_024
 
 
 def suffix_class(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +67,33 @@ def history(cls: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([w1, both, PAIR + c[2] * (CLASSES + 1) + c[1], *(SKIP + i * (CLASSES + 1) + c[k] for i, k in enumerate(SKIPS))])
 
 
+SIDE = CLASSES + 1
+
+
+def places(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of ``tables``: the two of words, those of two pairs of classes, that of the last skip."""
+    skips = rows[3:] - SKIP
+    return rows[0], rows[1] - BUCKETS, rows[2] - PAIR, (skips[1] - SIDE) * SIDE + skips[2] - 2 * SIDE, skips[3] - 3 * SIDE
+
+
+def tables(weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The weights by ``places``: each pair's with those of its two classes, so that fewer rows are summed for a token."""
+    k = weights[SKIP:].reshape(len(SKIPS), SIDE, CLASSES)
+    pair = weights[PAIR:SKIP].reshape(SIDE, SIDE, CLASSES) + k[0][:, None]
+    return weights[:BUCKETS], weights[BUCKETS:PAIR], pair.reshape(-1, CLASSES), (k[1][:, None] + k[2][None]).reshape(-1, CLASSES), k[3]
+
+
+def scores(at: tuple[np.ndarray, ...], parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Every class's score for each token, less the largest."""
+    score = parts[0].take(at[0], 0)
+    for r, part in zip(at[1:], parts[1:], strict=True):
+        score += part.take(r, 0)
+    score -= score.max(1, keepdims=True)
+    return score
+
+
 def log_softmax(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The same from the weights as they are: what ``log_shares`` and ``gradient`` have to agree with."""
     score = weights[rows[0]]
     for r in rows[1:]:
         score += weights[r]
@@ -74,14 +102,39 @@ def log_softmax(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return score
 
 
-def gradient(rows: np.ndarray, cls: np.ndarray, weights: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
-    """Adds the gradient of some tokens' log-likelihood to ``total``, and how often each feature speaks to ``n``."""
-    gap = -np.exp(log_softmax(rows, weights))
-    gap[np.arange(len(cls)), cls] += 1
-    flat = rows.reshape(-1)
-    n += np.bincount(flat, minlength=ROWS)
+def log_shares(rows: np.ndarray, cls: np.ndarray, parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The log-probability of each token's class."""
+    out, at = np.empty(len(cls)), places(rows)
+    for i in range(0, len(cls), SOME):
+        score = scores(tuple(r[i : i + SOME] for r in at), parts)
+        its = score[np.arange(len(score)), cls[i : i + SOME]]
+        out[i : i + SOME] = its - np.log(np.exp(score, out=score).sum(1))
+    return out
+
+
+def gradient(rows: np.ndarray, cls: np.ndarray, parts: tuple[np.ndarray, ...], total: np.ndarray, n: np.ndarray) -> None:
+    """Adds the gradient of some tokens' log-likelihood to ``total``, and how often each feature speaks to ``n``.
+
+    Sums over a pair of classes hold those over each of the two, so the skips aren't summed by themselves, but for the last.
+    """
+    gap, at = np.empty((CLASSES, len(cls))), places(rows)
+    for i in range(0, len(cls), SOME):
+        share = np.exp(scores(tuple(r[i : i + SOME] for r in at), parts))
+        share /= -share.sum(1, keepdims=True)
+        share[np.arange(len(share)), cls[i : i + SOME]] += 1
+        gap[:, i : i + SOME] = share.T
+
+    def put(sums: Callable[[np.ndarray, int], np.ndarray], out: np.ndarray) -> None:
+        w1, both, pair, second, last = (sums(r, len(part)) for r, part in zip(at, parts, strict=True))
+        out[:BUCKETS] += w1
+        out[BUCKETS:PAIR] += both
+        out[PAIR:SKIP] += pair
+        pair, second = pair.reshape(SIDE, SIDE), second.reshape(SIDE, SIDE)
+        out[SKIP:] += np.concatenate((pair.sum(1), second.sum(1), second.sum(0), last))
+
+    put(lambda r, size: np.bincount(r, minlength=size), n)
     for j in range(CLASSES):
-        total[:, j] += np.bincount(flat, np.tile(gap[:, j], len(rows)), ROWS)
+        put(lambda r, size, j=j: np.bincount(r, gap[j], size), total[:, j])
 
 
 def step(weights: np.ndarray, squares: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
@@ -119,12 +172,13 @@ def train(resolved: DataFrame) -> np.ndarray:
         now = spark.sparkContext.broadcast(weights)
 
         def summed(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros((ROWS, CLASSES)), np.zeros(ROWS, np.int64)
+            total, n = np.zeros((CLASSES, ROWS)).T, np.zeros(ROWS, np.int64)  # a class's sums lie together
+            parts = tables(now.value)
             for part in by_tokens(batches, 8 * STEP):
                 cls, bucket, at = unpack(part)
                 rows = history(cls, bucket, at)
                 for i in range(0, len(cls), STEP):
-                    gradient(rows[:, i : i + STEP], cls[i : i + STEP], now.value, total, n)
+                    gradient(rows[:, i : i + STEP], cls[i : i + STEP], parts, total, n)
             if n.any():
                 block = lambda x, b: x[b * BLOCK : (b + 1) * BLOCK].tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -230,13 +284,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     weights = spark.sparkContext.broadcast(train(resolved))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = tables(weights.value)
         for part in by_tokens(batches, 2 * STEP):
             cls, bucket, at = unpack(part)
             rows = history(cls, bucket, at)
-            each = np.empty(len(cls))
-            for i in range(0, len(cls), STEP):
-                few = cls[i : i + STEP]
-                each[i : i + STEP] = log_softmax(rows[:, i : i + STEP], weights.value)[np.arange(len(few)), few]
+            each = log_shares(rows, cls, parts)
             total = np.add.reduceat(each, at[:-1]) / np.log(10) + part.column(5).to_numpy()
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

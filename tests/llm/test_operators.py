@@ -411,6 +411,23 @@ def test_class_shares_sum_to_one():
     assert np.allclose(np.exp(maxent.log_softmax(rows, weights)).sum(1), 1, atol=1e-5)
 
 
+def test_gradient_and_shares_by_folded_tables():
+    rng = np.random.default_rng(2)
+    cls, bucket, at = rng.integers(0, maxent.CLASSES, 3_000), rng.integers(0, maxent.BUCKETS, 3_000), np.arange(0, 3_001, 30)
+    rows, weights = maxent.history(cls, bucket, at), rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    shares = maxent.log_softmax(rows, weights)
+    parts = maxent.tables(weights)
+    assert len(parts) < len(rows)  # fewer rows are summed for a token than it has features
+    assert np.allclose(maxent.log_shares(rows, cls, parts), shares[np.arange(len(cls)), cls], atol=1e-4)
+    total, n, gap = np.zeros((maxent.ROWS, maxent.CLASSES)), np.zeros(maxent.ROWS, np.int64), -np.exp(shares)
+    gap[np.arange(len(cls)), cls] += 1
+    maxent.gradient(rows, cls, parts, total, n)
+    told = np.zeros_like(total)
+    for r in rows:
+        np.add.at(told, r, gap)
+    assert np.allclose(total, told, atol=1e-3) and (n == np.bincount(rows.reshape(-1), minlength=maxent.ROWS)).all()
+
+
 def test_history_reaches_five_words_back():
     cls, bucket, at = np.arange(12) % 3, np.arange(12), np.array([0, 12])
     for k in range(1, 6):
