@@ -1,17 +1,17 @@
 """SentencePiece encoding and decoding on a relational lattice (operator 5).
 
 Texts are cut into units where no piece of the vocabulary reaches across: before a run of spaces, and between letters, digits
-and other marks, as far as the model's pieces allow that. Documents are dealt by a hash into bundles of some 8 MB, by
-one shuffle; a bundle's different units are encoded once, and everything else stays in its partition: their substrings of bounded
-length are exploded and equi-joined with the piece table, which gives the edges of the lattice; these are grouped
-by unit and folded with Spark's higher-order functions.
-
-A unigram model's fold is Viterbi: the best score of each place, then back along the choices. The vocabulary at
-hand is of the BPE kind: its scores are merge ranks, and the path that maximises their sum is not the segmentation
-such a model defines. For it the fold keeps the lattice but replays the merges on it: the state is the set of cut points (a bit
-for each place); each step takes the best-scored edge that joins exactly two neighbouring segments, the leftmost of
-equals, until none is left. What is no piece of its own is spelled in byte pieces. Units over LONG characters, which a bit
-set doesn't hold, are merged with a heap.
+and other marks, as far as the model's pieces allow that. The corpus' different units are counted and encoded once: their
+substrings of bounded length are exploded and equi-joined with the piece table, which gives the edges of the lattice; these
+are grouped by unit and folded. Texts stay where they are read: every task knows the units' ids, of the KNOWN most frequent
+ones; where there are more, documents are dealt by a hash into bundles of some 8 MB, and the rest reach their bundles by a join.
+
+A unigram model's fold is Viterbi, in Spark's higher-order functions: the best score of each place, then back along the choices.
+The vocabulary at hand is of the BPE kind: its scores are merge ranks, and the path that maximises their sum is not the segmentation
+such a model defines. For it the fold keeps the lattice but replays the merges on it, over all lattices of an Arrow batch at once: the
+state is the set of cut points (a bit for each place); each step takes the best-scored edge that joins exactly two neighbouring
+segments, the leftmost of equals, until none is left. What is no piece of its own is spelled in byte pieces. Units over LONG
+characters, which a bit set doesn't hold, are merged with a heap.
 """
 
 from __future__ import annotations
@@ -22,17 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.tables import id_and
-from quire.llm.textbuf import Texts, buffer_of, runs
+from quire.llm.tables import id_and, written
+from quire.llm.textbuf import Texts, buffer_of, release, runs
 
 MARK = "▁"
 #: Characters of a unit that the bit set holds.
 LONG = 60
 #: Bytes of text of a bundle.
 BUNDLE = 8 << 20
+#: Different units whose ids every task holds (some 25 bytes each); more are met by a join.
+KNOWN = 4_000_000
+#: Rows of a task's counts at which it hands them on.
+HELD = 1 << 19
 #: Classes of characters: space, letters (ASCII and U+00C0 to U+023F, whose UTF-8 begins with C3 to C8), digits, others.
 SPACE, LETTER, DIGIT, OTHER = range(4)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -69,14 +74,8 @@ def cuts(pieces: list[str]) -> tuple[bool, bool]:
     return not any(a != b for a, b in met if a != SPACE), (DIGIT, DIGIT) not in met
 
 
-def pattern(by_class: bool, by_digit: bool) -> str:
-    """Java's regular expression of a unit: spaces and what follows them."""
-    letters = "A-Za-z\\x{C0}-\\x{23F}"
-    return f" *(?:[{letters}]+|[0-9]{'' if by_digit else '+'}|[^ 0-9{letters}]+)| +" if by_class else " *[^ ]+| +"
-
-
 def units(texts: Texts, by_class: bool, by_digit: bool) -> None:
-    """The same units as spans of bytes: ``start``, ``end``, ``of`` and ``n_words`` of the texts."""
+    """Units as spans of bytes: ``start``, ``end``, ``of`` and ``n_words`` of the texts."""
     d = texts.data
     kind = CLASS[d]
     rest = np.flatnonzero((d & 0xC0) == 0x80)  # the bytes of a character after its first are of its class
@@ -95,62 +94,130 @@ def units(texts: Texts, by_class: bool, by_digit: bool) -> None:
     texts.n_words = np.diff(texts.of)
 
 
-def encode_units(words: DataFrame, pieces: DataFrame, longest: int, spelled: list[int], viterbi: bool = False) -> DataFrame:
-    """(bundle, word, ids): each bundle's different units' piece ids, by their lattices; ``words`` (bundle, word) are at most LONG characters long.
+def spans(texts: Texts) -> pa.StringArray:
+    """The units as strings; they follow each other without a gap."""
+    ends = np.concatenate((texts.start, texts.end[-1:])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts.start), pa.py_buffer(ends), pa.py_buffer(texts.data))
+
+
+def counted(docs: DataFrame, how: tuple[bool, bool]) -> DataFrame:
+    """(word, n): the units of at most LONG characters of every text, several rows a unit."""
 
-    Words dealt by bundle stay where they are. ``viterbi``: the path of the largest sum of scores (of equal ones, that with the
+    def total(parts: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([x.combine_chunks() for x in (table.column("word"), table.column("n_sum"))], names=["word", "n"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+        for batch in batches:
+            for _, texts in runs(batch):
+                units(texts, *how)
+                if not len(texts.start):
+                    continue
+                found = spans(texts).value_counts()
+                part = pa.table({"word": found.field("values"), "n": found.field("counts")})
+                parts.append(part.filter(pc.less_equal(pc.utf8_length(part.column("word")), LONG)))
+                rows += parts[-1].num_rows
+                if rows >= HELD:
+                    yield total(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield total(parts)
+        release()
+
+    return docs.select("text").mapInArrow(each, "word string, n long")
+
+
+def encode_units(words: DataFrame, pieces: DataFrame, longest: int, spelled: list[int], viterbi: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(word, carry, ids): each different unit's piece ids, by its lattice; words are at most LONG characters long.
+
+    Words dealt by word stay where they are. ``viterbi``: the path of the largest sum of scores (of equal ones, that with the
     shorter last piece); a character without a piece of its own is spelled at a score below all others. Else the merges.
     """
-    spots = F.expr(f"flatten(transform(sequence(0, length(chars) - 1), s -> transform(sequence(s + 1, least(s + {longest}, length(chars))), e -> struct(s, e, substring(chars, s + 1, e - s) as piece))))")
-    cells = words.withColumn("chars", F.translate("word", " ", MARK)).select("bundle", "word", F.explode(spots).alias("x"))
-    edges = cells.select("bundle", "word", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.piece").alias("piece"), (F.col("x.e") - F.col("x.s") == 1).alias("single"))
+    keys = ["word", *carry]
+    cells = words.select(*keys, F.translate("word", " ", MARK).alias("chars"), F.explode(F.expr("sequence(0, length(word) - 1)")).alias("s"))
+    cells = cells.select(*keys, "chars", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(chars) - s))")).alias("k"))
+    edges = cells.select(*keys, "s", (F.col("s") + F.col("k")).alias("e"), F.expr("substring(chars, s + 1, k)").alias("piece"), (F.col("k") == 1).alias("single"))
     edges = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or single")  # a place without a piece is spelled
-    ordered = (path_of_scores if viterbi else path_of_merges)(edges)
+    if not viterbi:
+        return by_merges(edges, keys, spelled)
     table = "array(" + ", ".join(map(str, spelled)) + ")"
     raw = f"encode(substring(translate(word, ' ', '{MARK}'), x.s + 1, 1), 'UTF-8')"
     by_byte = f"transform(sequence(1, length({raw})), i -> {table}[cast(conv(hex(substring({raw}, i, 1)), 16, 10) as int)])"
     ids = F.expr(f"flatten(transform(path, x -> CASE WHEN x.id IS NOT NULL THEN array(x.id) ELSE {by_byte} END))")
-    return ordered.select("bundle", "word", ids.alias("ids"))
+    return path_of_scores(edges, keys).select(*keys, ids.alias("ids"))
 
 
-def path_of_merges(edges: DataFrame) -> DataFrame:
-    """(bundle, word, path): the segments that are left when the merges are replayed.
+def by_merges(edges: DataFrame, keys: list[str], spelled: list[int]) -> DataFrame:
+    """(keys, ids): the segments that are left when the merges are replayed.
 
     An edge is one number, whose order is that of the merges: whether it is a single character, the piece's rank (20 bits), s and e (6 bits each), and the
     id + 1, or 0 (24 bits).
     """
     edge = F.expr("shiftleft(CAST(single AS BIGINT), 56) | shiftleft(CAST(coalesce(rank, 0) AS BIGINT), 36) | shiftleft(CAST(s AS BIGINT), 30) | shiftleft(CAST(e AS BIGINT), 24) | (coalesce(id, -1) + 1)")
-    lattice = edges.select("bundle", "word", edge.alias("edge")).groupBy("bundle", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    low, high = "(shiftright(x, 30) & 63)", "(shiftright(x, 24) & 63)"
-    lattice = lattice.select("bundle", "word", "edges", F.length("word").alias("n"))
-    ends = f"shiftleft(1L, CAST({low} AS INT)) | shiftleft(1L, CAST({high} AS INT))"
-    inner = f"shiftleft(1L, CAST({high} AS INT)) - shiftleft(1L, CAST({low} AS INT) + 1)"
-    merges = f"transform(filter(edges, x -> x < shiftleft(1L, 56)), x -> struct({ends} AS ends, {inner} AS inner))"
-    lattice = lattice.select("bundle", "word", "edges", F.expr(merges).alias("merges"), F.expr("shiftleft(1L, n + 1) - 1").alias("all"), "n")
-    step = "m & ~coalesce(get(filter(merges, x -> (m & x.ends) = x.ends AND bit_count(m & x.inner) = 1), 0).inner, 0L)"
-    # a step without a merge changes nothing, so as many steps as places are enough
-    folded = lattice.withColumn("cuts", F.expr(f"CASE WHEN size(merges) = 0 THEN all ELSE aggregate(sequence(1, n), all, (m, i) -> {step}) END"))
-    chosen = f"filter(edges, x -> (cuts & ({ends})) = ({ends}) AND (cuts & ({inner})) = 0)"
-    segment = f"struct(CAST({low} AS INT) AS s, CAST(nullif(x & 16777215, 0) - 1 AS INT) AS id)"
-    return folded.select("bundle", "word", F.expr(f"array_sort(transform({chosen}, x -> {segment}))").alias("path"))
+    lattices = edges.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = replayed(batch.column(0), batch.column(len(keys)), spelled)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], ids], names=[*keys, "ids"])
+        release()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lattices.schema if f.name != "edges")
+    return lattices.mapInArrow(each, f"{schema}, ids array<int>")
+
+
+def replayed(words: pa.Array, lattices: pa.ListArray, spelled: list[int]) -> pa.ListArray:
+    """The ids of each unit, from its edges in the order of the merges."""
+    edges, size = lattices.flatten().to_numpy(), lattices.value_lengths().to_numpy()
+    of = np.repeat(np.arange(len(size)), size)
+    low, high, one = edges >> 30 & 63, edges >> 24 & 63, np.int64(1)
+    ends = one << low | one << high
+    inner = (one << high) - (one << (low + 1))
+    single = edges >> 56 > 0
+    cut = (one << (np.bincount(of[single], minlength=len(size)) + 1)) - 1
+    left = np.flatnonzero(~single)
+    while len(left):
+        u, gap = of[left], cut[of[left]] & inner[left]
+        may = np.flatnonzero(gap & (gap - 1) == 0)  # joins two neighbouring segments
+        first = may[np.diff(u[may], prepend=-1) > 0]
+        cut[u[first]] &= ~inner[left[first]]
+        now = cut[u]
+        going = np.zeros(len(size), bool)
+        going[u[first]] = True
+        # cuts only go: an edge whose ends are no cuts, or whose segments are joined, is out for good
+        left = left[going[u] & (now & ends[left] == ends[left]) & (now & inner[left] != 0)]
+    now = cut[of]
+    path = np.flatnonzero((now & ends == ends) & (now & inner == 0))
+    path = path[np.argsort(of[path] << 6 | low[path])]
+    ids, n = (edges[path] & 0xFFFFFF) - 1, np.ones(len(path), np.int64)
+    raw = {i: words[int(of[path[i]])].as_py().replace(" ", MARK)[low[path[i]]].encode("utf-8") for i in np.flatnonzero(ids < 0).tolist()}
+    for i, x in raw.items():
+        n[i] = len(x)
+    at = np.cumsum(n) - n
+    flat = np.repeat(ids, n)
+    for i, x in raw.items():
+        flat[at[i] : at[i] + n[i]] = [spelled[b] for b in x]
+    upto = np.concatenate(([0], np.cumsum(np.bincount(of[path], weights=n, minlength=len(size))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(flat.astype(np.int32)))
 
 
 #: What a spelled character adds to a path's score.
 SPELLED = -1000.0
 
 
-def path_of_scores(edges: DataFrame) -> DataFrame:
-    """(bundle, word, path): the Viterbi path."""
+def path_of_scores(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path): the Viterbi path."""
     edge = F.struct("e", (-F.col("s")).alias("back"), "s", F.coalesce("score", F.lit(SPELLED)).alias("score"), "id")
-    lattice = edges.select("bundle", "word", edge.alias("edge")).groupBy("bundle", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    lattice = edges.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     none = "named_struct('v', CAST(NULL AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT))"
     first = "named_struct('v', CAST(0 AS DOUBLE), 's', -1, 'id', CAST(NULL AS INT))"
     at_end = "transform(b, (y, i) -> CASE WHEN i = x.e AND (y.v IS NULL OR b[x.s].v + x.score > y.v) THEN named_struct('v', b[x.s].v + x.score, 's', x.s, 'id', x.id) ELSE y END)"
-    best = lattice.select("bundle", "word", F.expr(f"aggregate(edges, transform(sequence(0, length(word)), i -> CASE WHEN i = 0 THEN {first} ELSE {none} END), (b, x) -> {at_end})").alias("best"))
+    best = lattice.select(*keys, F.expr(f"aggregate(edges, transform(sequence(0, length(word)), i -> CASE WHEN i = 0 THEN {first} ELSE {none} END), (b, x) -> {at_end})").alias("best"))
     # back from the end: the place reached, and the path from there on
     start = "named_struct('p', length(word), 'path', CAST(array() AS ARRAY<STRUCT<s: INT, id: INT>>))"
     back = "CASE WHEN a.p <= 0 THEN a ELSE named_struct('p', best[a.p].s, 'path', concat(array(named_struct('s', best[a.p].s, 'id', best[a.p].id)), a.path)) END"
-    return best.select("bundle", "word", F.expr(f"aggregate(sequence(1, length(word)), {start}, (a, i) -> {back}, a -> a.path)").alias("path"))
+    return best.select(*keys, F.expr(f"aggregate(sequence(1, length(word)), {start}, (a, i) -> {back}, a -> a.path)").alias("path"))
 
 
 def merge_long(word: str, rank: dict[str, tuple[float, int]], spelled: list[int]) -> list[int]:
@@ -193,11 +260,37 @@ def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("doc_id", F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(" "), "text")).alias("text"))
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", viterbi: bool = False) -> DataFrame:
+def hashed(names: pa.Array, second: bool = False) -> np.ndarray:
+    data, at = buffer_of(names)
+    return Texts(data, at).hashed(at[:-1], at[1:], second=second)
+
+
+def named(found: DataFrame) -> DataFrame:
+    """The units' ids with two hashes of each unit."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [pa.array(hashed(batch.column(0), second).view(np.int64)) for second in (False, True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=["word", "n", "ids", "key", "key_2"])
+
+    return found.select("word", "n", "ids").mapInArrow(each, "word string, n long, ids array<int>, key long, key_2 long")
+
+
+def least_count(found: DataFrame, most: int) -> int:
+    """The least count of which at most ``most`` units are: 1, if that is all."""
+    left, least = most, None
+    for r in found.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # a row for each different count
+        if r["count"] > left:
+            return least or r["n"] + 1
+        left, least = left - r["count"], r["n"]
+    return 1
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", viterbi: bool = False, most: int = KNOWN) -> DataFrame:
     """(doc_id, ids): every text's piece ids, as packed little-endian unsigned 32-bit numbers.
 
     Null and empty texts have no ids. Null and repeated doc_ids are documents of their own. Very long texts are encoded
-    whole: a bundle is one document at least. An empty table gives no rows. Other columns are not looked at.
+    whole. An empty table gives no rows. Other columns are not looked at. ``most``: units that every task holds.
     """
     spark = docs.sparkSession
     table = vocabulary(model)
@@ -210,76 +303,115 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     docs = prepared(docs, key, text)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BUNDLE))
-    # both sides read the one column of the one shuffle, so it is made once
-    bundle = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("bundle")
-    line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text") == "", " ").otherwise(F.col("text"))).alias("line")
-    dealt = docs.select(bundle, line).repartition(int(n), "bundle")
-    tail = F.expr("substring(line, instr(line, ' '))")
-    words = dealt.select("bundle", F.explode(F.regexp_extract_all(tail, F.lit(pattern(*how)), F.lit(0))).alias("word")).distinct()
-    found = encode_units(words.where(F.length("word") <= LONG), pieces, longest, spelled, viterbi)
-
-    def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = Bundle(right, rank.value, spelled)
-        rows = []
-        for batch in left.to_batches(max_chunksize=1000):
-            lines = [x.partition(" ") for x in batch.column(1).to_pylist()]
-            part = pa.record_batch([pa.array([int(i) if i else None for i, _, _ in lines], pa.int64()), pa.array([" " + t if t else "" for _, _, t in lines])], names=["doc_id", "text"])
-            for some, texts in runs(part):
+    words = counted(docs, how).repartition(int(n), "word").groupBy("word").agg(F.sum("n").alias("n"))
+    found = written(named(encode_units(words, pieces, longest, spelled, viterbi, ("n",))), "pieces-units")
+    units_, keys, keys_2 = found.agg(F.count(F.lit(1)), F.count_distinct("key"), F.count_distinct("key_2")).first()
+    second = keys < units_  # two units of one hash: the other hash
+    if second and keys_2 < units_:
+        raise ValueError("units can't be told apart by hash")
+    found = found.withColumn("key", F.col("key_2" if second else "key")).drop("key_2")
+    least = 1 if units_ <= most else least_count(found, most)
+    known = spark.sparkContext.broadcast(Known(found.where(F.col("n") >= least).select("key", "ids").toArrow()))
+    schema = "doc_id long, ids binary"
+
+    def put(batch: pa.RecordBatch, more: Known | None, long: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for some, texts in runs(batch):
+            units(texts, *how)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids_of(texts, known.value, more, long, rank.value, spelled, second), pa.binary())], names=["doc_id", "ids"])
+
+    if units_ <= most:
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            long: dict[str, np.ndarray] = {}
+            for batch in batches:
+                yield from put(batch, None, long)
+
+        return docs.mapInArrow(each, schema)
+
+    # both sides read the one shuffle of the texts
+    dealt = docs.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).select("bundle", "doc_id", "text").repartition(int(n), "bundle")
+
+    def rest(table: pa.Table) -> pa.Table:
+        bundle, words = table.column("bundle")[0], []
+        for batch in table.to_batches(max_chunksize=1000):
+            for _, texts in runs(batch):
                 units(texts, *how)
-                rows.append(pa.table({"doc_id": some.column(0), "ids": pa.array(known.ids(texts), pa.binary())}))
-        return pa.concat_tables(rows) if rows else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
-
-    found = found.select(F.col("bundle").alias("its"), "word", "ids")
-    return dealt.groupBy("bundle").cogroup(found.groupBy("its")).applyInArrow(put, "doc_id long, ids binary")
-
-
-class Bundle:
-    """The ids of a bundle's units, found by hash; units over LONG are merged when they are met."""
-
-    def __init__(self, right: pa.Table, rank: dict[str, tuple[float, int]], spelled: list[int]):
-        self.rank, self.spelled = rank, spelled
-        words = right.column("word").combine_chunks() if right.num_rows else pa.array([], pa.string())
-        lists = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        data, at = buffer_of(words)
-        names = Texts(data, at)
-        for self.second in (False, True):  # two units of one hash: another hash
-            key = names.hashed(at[:-1], at[1:], second=self.second)
-            order = np.argsort(key)
-            self.key = key[order]
-            if (self.key[1:] != self.key[:-1]).all():
-                break
-        else:
-            raise ValueError("units of a bundle can't be told apart by hash")
-        offsets = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int64)
+                words.append(missing(texts, known.value, second))
+        words = pa.chunked_array(words, pa.string()).unique()
+        return pa.table({"its": pa.repeat(bundle, len(words)), "word": words})
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        more, long = Known(right.select(["key", "ids"])), {}
+        rows = [x for batch in left.select(["doc_id", "text"]).to_batches(max_chunksize=1000) for x in put(batch, more, long)]
+        return pa.Table.from_batches(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+
+    wanted = dealt.groupBy("bundle").applyInArrow(rest, "its long, word string").join(found.where(F.col("n") < least), "word").select("its", "key", "ids")
+    return dealt.groupBy("bundle").cogroup(wanted.groupBy("its")).applyInArrow(both, schema)
+
+
+class Known:
+    """Units' ids by their hashes, as sorted arrays."""
+
+    def __init__(self, found: pa.Table):
+        key = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        lists = found.column("ids").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+        size = lists.value_lengths().to_numpy().astype(np.int32)
+        self.key, self.size = key[order], size[order]
+        self.start = (np.cumsum(size, dtype=np.int64) - size)[order].astype(np.int32)
         self.flat = lists.flatten().to_numpy().astype("<u4")
-        self.start, self.size = (offsets[:-1] - offsets[0])[order], np.diff(offsets)[order]
-        self.long: dict[str, np.ndarray] = {}
-
-    def ids(self, texts: Texts) -> list[bytes]:
-        key, one, which = np.unique(texts.hashed(texts.start, texts.end, second=self.second), return_index=True, return_inverse=True)
-        flat, start, size = self.flat, np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        at = np.searchsorted(self.key, key)
-        have = np.flatnonzero(at < len(self.key))
-        have = have[self.key[at[have]] == key[have]]
-        start[have], size[have] = self.start[at[have]], self.size[at[have]]
-        missing = np.setdiff1d(np.arange(len(key)), have)
-        if len(missing):
-            spans = zip(texts.start[one[missing]].tolist(), texts.end[one[missing]].tolist(), strict=True)
-            more = [self.merged(texts.data[i:j].tobytes().decode("utf-8")) for i, j in spans]
-            size[missing] = [len(m) for m in more]
-            start[missing] = len(flat) + np.cumsum(size[missing]) - size[missing]
-            flat = np.concatenate((flat, *more))
-        n = size[which]
-        out = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes()
-        upto = (4 * np.concatenate(([0], np.cumsum(n)))[texts.of]).tolist()
-        return [out[i:j] for i, j in zip(upto[:-1], upto[1:], strict=True)]
-
-    def merged(self, word: str) -> np.ndarray:
-        if word not in self.long:
-            if len(word) <= LONG:
-                raise ValueError(f"a unit without a lattice: {word!r}")
-            self.long[word] = np.array(merge_long(word, self.rank, self.spelled), "<u4")
-        return self.long[word]
+
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+
+def different(texts: Texts, second: bool) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The units by their different ones, those ones' hashes, and which have a lattice."""
+    coded = spans(texts).dictionary_encode()
+    return coded, hashed(coded.dictionary, second), pc.less_equal(pc.utf8_length(coded.dictionary), LONG).to_numpy(zero_copy_only=False)
+
+
+def missing(texts: Texts, known: Known, second: bool) -> pa.Array:
+    """The different units that have a lattice and are not known."""
+    if not len(texts.start):
+        return pa.array([], pa.string())
+    coded, key, short = different(texts, second)
+    return coded.dictionary.filter(pa.array(short & (known.places(key) < 0)))
+
+
+def ids_of(texts: Texts, known: Known, more: Known | None, long: dict[str, np.ndarray], rank: dict[str, tuple[float, int]], spelled: list[int], second: bool) -> list[bytes]:
+    """The packed ids of each text; units over LONG are merged when they are met."""
+    if not len(texts.start):
+        return [b""] * texts.n
+    coded, key, short = different(texts, second)
+    start, size, flats, base, left = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), [], 0, short.copy()
+    for held in (known, more):
+        if held is not None:
+            at = np.flatnonzero(left)
+            place = held.places(key[at])
+            at, place = at[place >= 0], place[place >= 0]
+            n = held.size[place].astype(np.int64)
+            flats.append(held.flat[np.repeat(held.start[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            start[at], size[at], left[at] = base + np.cumsum(n) - n, n, False
+            base += int(n.sum())
+    if left.any():
+        raise ValueError(f"a unit without a lattice: {coded.dictionary[int(np.flatnonzero(left)[0])]}")
+    for i in np.flatnonzero(~short).tolist():
+        word = coded.dictionary[i].as_py()
+        if word not in long:
+            long[word] = np.array(merge_long(word, rank, spelled), "<u4")
+        flats.append(long[word])
+        start[i], size[i] = base, len(long[word])
+        base += len(long[word])
+    flat, which = np.concatenate(flats), coded.indices.to_numpy()
+    n = size[which]
+    out = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes()
+    upto = (4 * np.concatenate(([0], np.cumsum(n)))[texts.of]).tolist()
+    return [out[i:j] for i, j in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import ann, langid, maxent, neardup, packing, pieces, quality, sharding, substring, warc
+from quire.llm.tables import written as tables_written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SMALL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -283,6 +284,18 @@ def test_pieces_are_the_librarys(docs, none):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_pieces_are_one_lattice_a_unit_and_the_same_by_a_join(docs, monkeypatch):
+    """Every different unit of the corpus is encoded once, however many bundles it is in; units that not every task holds come by a join."""
+    path = pieces.model_path()
+    rows = lambda df: sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in df.collect())
+    want = rows(pieces.encode(docs, path))
+    monkeypatch.setattr(pieces, "BUNDLE", 1 << 10)
+    tables = []
+    monkeypatch.setattr(pieces, "written", lambda df, name: tables.append(tables_written(df, name)) or tables[-1])
+    assert rows(pieces.encode(docs, path, most=20)) == rows(pieces.encode(docs, path)) == want
+    assert all(t.count() == t.select("word").distinct().count() > 20 for t in tables)
+
+
 def test_viterbi_over_the_lattice_is_the_best_path(spark):
     rng = random.Random(12)
     table = [(p, i, -rng.random() * 5) for i, p in enumerate(sorted({"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))) for _ in range(40)}))]
