@@ -143,7 +143,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def branch(members: DataFrame, similarity: float) -> DataFrame:
-    """(node, r, cls): the nodes ``levels`` below its own that each (node, r, cls, tokens, levels) goes down to; ``r``: the pick at the root."""
+    """(node, r, cls, root): the nodes ``levels`` below its own that each (node, r, cls, root, tokens, levels) goes down to; ``r``: the pick at the root."""
     tree_of, position_of = root_picks(similarity)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def branch(members: DataFrame, similarity: float) -> DataFrame:
                 ends = levels[row] == level
                 if ends.any():
                     at = row[ends]
-                    yield pa.RecordBatch.from_arrays([pa.array(path[ends].view(np.int64)), pa.array(r[at]), batch.column(3).take(pa.array(at))], names=["node", "r", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(path[ends].view(np.int64)), pa.array(r[at]), *(batch.column(c).take(pa.array(at)) for c in (3, 5))], names=["node", "r", "cls", "root"])
                 path, row, used = path[~ends], row[~ends], used[~ends]
                 i, k = np.nonzero(picks(path, used, similarity))
                 row, used = row[i], used[i]
@@ -164,7 +164,7 @@ def branch(members: DataFrame, similarity: float) -> DataFrame:
                 path = mix(path[i] * U(0x8CB92BA72F3D8DD7) + tokens[row, tree_of[r[row]], k].astype(U) + (k.astype(U) << U(40)))
                 level += 1
 
-    return members.select("tokens", "node", "r", "cls", "levels").mapInArrow(each, "node long, r int, cls long")
+    return members.select("tokens", "node", "r", "cls", "levels", "root").mapInArrow(each, "node long, r int, cls long, root long")
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +351,7 @@ def in_small(members: DataFrame, percent: int) -> DataFrame:
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(each, FOUND)
 
 
-def in_large(members: DataFrame, percent: int, block: int) -> DataFrame:
+def in_large(members: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
     """FOUND of nodes of any size. Members that the node's most frequent component holds need no look at each other:
     only the others, in parts, visit all members, in blocks; a part and a block are a task's group."""
 
@@ -366,21 +366,32 @@ def in_large(members: DataFrame, percent: int, block: int) -> DataFrame:
     node = of_root.groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("long")
     node = node.select("node", F.col("top.root").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("top.n")).alias("parts"))
-    dealt = members.join(node, "node").withColumn("other", F.col("root") != F.col("main")).withColumn("draw", F.xxhash64("cls"))
+    dealt = with_classes(members.join(node, "node"), classes).withColumn("other", F.col("root") != F.col("main")).withColumn("draw", F.xxhash64("cls"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = [*members.columns, "other"]
+    kept = [*dict.fromkeys([*members.columns, *classes.columns]), "other"]
     home = dealt.select(*kept, F.lit(False).alias("visits"), F.pmod("draw", "blocks").alias("block"), upto("parts").alias("part"))
     away = dealt.where("other").select(*kept, F.lit(True).alias("visits"), upto("blocks").alias("block"), F.pmod("draw", "parts").alias("part"))
     return home.unionByName(away).groupBy("node", "block", "part").applyInArrow(compare, FOUND)
 
 
-def opened(level: DataFrame, root: DataFrame) -> DataFrame:
-    """The (node, r, cls, ...) whose nodes hold two components or more, with each class's component as ``root`` and the node's size."""
-    level = level.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def rooted(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """The rows with each class's component as ``root``."""
+    return rows.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def opened(level: DataFrame) -> DataFrame:
+    """The (node, r, cls, root, ...) whose nodes hold two components or more, with the node's size."""
     of = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     return level.join(of.select("node", "size"), "node")
 
 
+def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members' rows with their classes' columns. A class meets its columns once, however many nodes it is in: its nodes are its picks and what they branch to."""
+    row = F.struct(*(c for c in members.columns if c != "cls"))
+    met = classes.join(members.groupBy("cls").agg(F.collect_list(row).alias("rows")), "cls")
+    return met.select(*classes.columns, F.explode("rows").alias("row")).select(*classes.columns, "row.*")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Each document's set size and near-duplicate component.
 
@@ -410,26 +421,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     tried = members.join(pivots, "node").select("cls", F.explode("pivots").alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     likely = written(alike(tried, classes, percent), "neardup-likely")
     root = components(confirm(likely, full_sets(docs, classes, likely), percent), "neardup")
-    met = opened(members, root)
+    members = rooted(classes.select("cls", "nodes"), root).select("cls", "root", F.posexplode("nodes").alias("r", "node"))
+    met = written(opened(members), "neardup-met")
     levels = F.least(F.lit(POOL - 1), F.ceil(F.log2(F.col("size") / SMALL))).cast("int").alias("levels")
-    below = branch(met.where(F.col("size") > SMALL).join(tokens, "cls").select("*", levels), similarity)
+    below = written(branch(with_classes(met.where(F.col("size") > SMALL).select("node", "r", "cls", "root", levels), tokens), similarity), "neardup-below")
     small = met.where(F.col("size") <= SMALL)
-    level = small.drop("root").unionByName(opened(below, root).drop("root"))
+    level = small.unionByName(opened(below))
     # in which picks of the roots a class is in a small node
     masks = small.groupBy("cls").agg(F.sum(F.expr("shiftleft(1L, r)")).alias("mask"))
     level = written(level.join(masks, "cls", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))), "neardup-open")
-    first = opened(level.drop("size"), root).join(tokens, "cls").select("node", "cls", "root", "n_shingles", "tokens", "size", "r", "mask")
-    found = in_small(first.where(F.col("size") <= SMALL), percent).unionByName(in_large(first.where(F.col("size") > SMALL), percent, BLOCK))
+    first = level.select("node", "cls", "root", "size", "r", "mask")
+    found = in_small(with_classes(first.where(F.col("size") <= SMALL), tokens), percent).unionByName(in_large(first.where(F.col("size") > SMALL), tokens, percent, BLOCK))
     found = written(found.distinct(), "neardup-found")
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
     joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
     root = components(joined.unionByName(confirm(pairs, full_sets(docs, classes, pairs), percent)), "neardup")
     # those with candidates that no link has joined meet with their sets
     more = found.where("b IS NULL").select(F.col("a").alias("cls"), "node")
-    again = written(opened(level.drop("size").join(more, ["node", "cls"], "left_semi"), root), "neardup-again")
+    again = written(opened(rooted(level.drop("size", "root").join(more, ["node", "cls"], "left_semi"), root)), "neardup-again")
     sets = full_sets(docs, classes, again.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    second = again.join(tokens, "cls").join(sets, "cls").select("node", "cls", "root", "n_shingles", "tokens", "size", "r", "mask", "shingles")
-    links = in_small(second.where(F.col("size") <= SMALL), percent).unionByName(in_large(second.where(F.col("size") > SMALL), percent, BLOCK_SETS))
+    second, sets = again.select("node", "cls", "root", "size", "r", "mask"), tokens.join(sets, "cls")
+    links = in_small(with_classes(second.where(F.col("size") <= SMALL), sets), percent).unionByName(in_large(second.where(F.col("size") > SMALL), sets, percent, BLOCK_SETS))
     joined = root.select(F.col("cls").alias("a"), F.col("root").alias("b"))
     root = components(joined.unionByName(written(links.select("a", "b").distinct(), "neardup-links")), "neardup")
     names = classes.select("d1", "d2", "cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -284,6 +284,27 @@ def test_pieces_are_the_librarys(docs, none):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_a_class_meets_its_tokens_once_however_many_nodes_it_is_in(spark, monkeypatch):
+    """Texts with a passage in common, none of them near another: the joins by class give a row a class, not one for each node."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    rng = random.Random(31)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = own(120)
+    docs = spark.createDataFrame([(i, f"{own(30)} {shared} {own(30)}") for i in range(40)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in neardup.near_duplicates(docs).collect())
+    runs, made = store.executionsList(), []
+    for x in (runs.apply(i).executionId() for i in range(before, runs.size())):
+        nodes, values = store.planGraph(x).allNodes(), store.executionMetrics(x)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[cls#\d+L?\], \[cls#\d+L?\], Inner", node.desc()):
+                rows = next(m for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows")
+                value = values.get(rows.accumulatorId())
+                made.append(int(value.get().replace(",", "")) if value.isDefined() else 0)
+    assert made and max(made) <= 40
+
+
 def test_pieces_are_one_lattice_a_unit_and_the_same_by_a_join(docs, monkeypatch):
     """Every different unit of the corpus is encoded once, however many bundles it is in; units that not every task holds come by a join."""
     path = pieces.model_path()
