@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import ranking
+from quire.sources.tables import released
 
 # Characters and words that mark code.
 INVALID_CHARS = list("=()[]{}<>/\\:%*©’_−ˉ+±×÷√∫∑∏∂Δ∇≈≠≤≥“”—–")
@@ -61,7 +62,9 @@ def tfidf(sents: DataFrame, stop: list[str], persist: Callable[[DataFrame], Data
     line = F.array_join(F.transform("words", lambda w: F.when(w.isin(stop), "\n").otherwise(w)), " ")
     units = ranking.distinct_units(sents.select(F.regexp_replace(line, " *\n[ \n]*", "\n").alias("unit")), persist)
     n = units.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    return ranking.ranked(units, n, persist, top, MAX_WORDS)
+    out = ranking.ranked(units, n, persist, top, MAX_WORDS)
+    released(units)
+    return out
 
 
 def merged(new_terms: DataFrame, existing: DataFrame) -> DataFrame:

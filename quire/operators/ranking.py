@@ -2,7 +2,8 @@
 
 Equal sentences are one unit that counts several times. Most runs of words stand in one unit only, and of those everything is known in its own row: their document
 frequency is the unit's count. Only runs that several units share need to be found, by a 64-bit hash of their words: those of two words first, then longer ones whose
-every two words are shared. What a unit shares then comes to it by a join, and it gives each of its terms' part of the mean; strings are made for terms that may be among the first.
+every two words are shared, for which a filter of the shared ones goes to every task. What a unit shares then comes to it by a join, and it gives each of its terms' part of the
+mean; strings are made for terms that may be among the first. Units meet what they share in slices, one after the other, so that only a slice of it is dealt out at once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.sources.tables import Scratch, released
+
 U = np.uint64
 #: Scores are rounded to six places; how near to half a step a sum may be before its rounding is open.
 STEPS, NEAR = 1e6, 1e-6
+#: Units of a slice, and how many slices there are at most.
+SLICE, SLICES = 50_000, 4
+#: Bits of a number from monotonically_increasing_id below its partition.
+FILE = 33
+#: Bits of the filter of shared pairs of words: sixteen for each, within these powers of two (32 MB at most). A full filter lets more runs pass, which are then found unshared.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,17 +109,37 @@ def _among(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known[place] == h, place
 
 
-def _shared(units: DataFrame, least: int, most: int, whole_only: bool) -> DataFrame:
-    """(sid, met array<struct<h, df>>): the runs of words of each unit that other units have too, with the number of sentences that have them (and ``whole``, if that is asked)."""
+def _pairs_filter(shared: DataFrame):
+    """Which 64-bit hashes (h) may be among the shared ones: a bit for each, as a broadcast array of 64-bit words, and the number of its bits as a power of two."""
+    n = shared.agg(F.approx_count_distinct("h")).first()[0]
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    place = F.col("h").bitwiseAND((1 << power) - 1)
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = shared.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    table = np.zeros(1 << (power - 6), np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return shared.sparkSession.sparkContext.broadcast(table), power
+
+
+def _may_be_shared(h: np.ndarray, table: np.ndarray, power: int) -> np.ndarray:
+    place = (h & U((1 << power) - 1)).astype(np.int64)
+    return (table[place >> 6] >> (place & 63)) & 1 > 0
+
+
+def _shared_rows(units: DataFrame, least: int, most: int, pairs: tuple | None = None) -> DataFrame:
+    """(h, sid, df, whole): the runs of words of each unit that other units have too, by their hash, with the number of sentences that have them, and whether one of them is whole.
+
+    ``pairs``: the filter of shared runs of two words, for longer ones.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = Units(_column(batch, "unit"), _column(batch, "whole"))
             grams = held.grams(2, most)
-            if least > 2:  # of a shared run every two words are shared
+            if pairs is not None:  # of a shared run every two words are shared
                 at, two = grams[2]
                 common = np.zeros(len(held.code) + most, bool)
-                common[at] = _among(two, _met(batch, "met2")[0])[0]
+                common[at] = _may_be_shared(two, pairs[0].value, pairs[1])
                 grams = {n: (a, h) for n, (a, h) in grams.items() if n >= least}
                 for n, (a, h) in grams.items():
                     keep = np.logical_and.reduce([common[a + k] for k in range(n - 1)])
@@ -121,7 +151,17 @@ def _shared(units: DataFrame, least: int, most: int, whole_only: bool) -> DataFr
     rows = units.mapInArrow(each, "h long, sid long, m long, whole boolean")
     alike = W.partitionBy("h")
     told = rows.select("h", "sid", F.count(F.lit(1)).over(alike).alias("units"), F.sum("m").over(alike).alias("df"), F.bool_or("whole").over(alike).alias("whole"))
-    return told.where("units > 1").groupBy("sid").agg(F.collect_list(F.struct("h", "df", *(["whole"] if whole_only else []))).alias("met"))
+    return told.where("units > 1").drop("units")
+
+
+def _by_unit(shared: DataFrame, whole_only: bool) -> DataFrame:
+    """(sid, met array<struct<h, df>>) of ``_shared_rows``, with ``whole_only`` of those alone."""
+    return (shared.where("whole") if whole_only else shared).groupBy("sid").agg(F.collect_list(F.struct("h", "df")).alias("met"))
+
+
+def _shared(units: DataFrame, least: int, most: int, whole_only: bool) -> DataFrame:
+    """What each unit shares, where nothing is to be written."""
+    return _by_unit(_shared_rows(units, least, most), whole_only)
 
 
 def _parts(units: DataFrame, n_sentences: int, most: int, whole_only: bool, top: int) -> DataFrame:
@@ -133,12 +173,10 @@ def _parts(units: DataFrame, n_sentences: int, most: int, whole_only: bool, top:
         for batch in batches:
             held = Units(_column(batch, "unit"), _column(batch, "whole"))
             unit, h, tf, whole, begin, length = held.counted(held.grams(2, most))
-            (h2, df2), (h3, df3) = _met(batch, "met2"), _met(batch, "met3")
+            known, known_df = _met(batch, "met")
             m = _column(batch, "m").to_numpy()
-            (in2, at2), (in3, at3) = _among(h, h2), _among(h, h3)
-            df = m[unit]
-            df = np.where(in2, df2[at2] if len(df2) else 0, np.where(in3, df3[at3] if len(df3) else 0, df))
-            shared = in2 | in3
+            shared, place = _among(h, known)
+            df = np.where(shared, known_df[place] if len(known) else 0, m[unit])
             if whole_only:
                 keep = shared | whole
                 unit, h, tf, begin, length, df, shared = (x[keep] for x in (unit, h, tf, begin, length, df, shared))
@@ -152,6 +190,8 @@ def _parts(units: DataFrame, n_sentences: int, most: int, whole_only: bool, top:
             low, open_ = np.floor(steps - NEAR), np.floor(steps - NEAR) != np.floor(steps + NEAR)
             early = np.array([x <= cut[1].split(" ", 1)[0] for x in held.words], bool) if cut[0] >= 0 else np.ones(len(held.words), bool)
             likely = ~shared & (open_ | (low > cut[0]) | ((low == cut[0]) & early[held.code[begin]]))
+            if np.count_nonzero(likely) > top:  # nor one below the batch's own first ``top``
+                likely &= open_ | (low >= np.partition(low[~shared], -top)[-top])
             ranked = []
             for b, k, p, x, is_open in zip(*(v[likely].tolist() for v in (begin, length, part, low, open_)), strict=True):
                 ranked.append((-x, held.term(b, k), p, is_open))
@@ -178,15 +218,23 @@ def ranked(units: DataFrame, n_sentences: int, persist: Callable[[DataFrame], Da
     A unit's runs are parted by line ends, their words by spaces. Terms are two to ``most`` words of a run; with ``whole_only`` those alone that are, somewhere, a whole run
     that ``whole`` (a 0 or 1 for each run of a unit) marks.
     """
+    own = Scratch(persist)
     units = units.where(F.col("unit").contains(" "))
-    two = persist(units.join(_shared(units, 2, 2, whole_only), "sid", "left").withColumnRenamed("met", "met2"))
-    longer = _shared(two, 3, most, whole_only)
-    if whole_only:
-        marked = lambda c: F.filter(c, lambda x: x["whole"])
-        longer = longer.select("sid", marked("met").alias("met"))
-    met = two.join(longer, "sid", "left").withColumnRenamed("met", "met3")
-    if whole_only:
-        met = met.withColumn("met2", marked("met2"))
-    parts = _parts(met.select("unit", "whole", "m", "met2", "met3"), n_sentences, most, whole_only, top)
-    scored = parts.groupBy("term").agg(F.round(F.sum("part") / max(1, n_sentences), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "term").limit(top)
+    two = own(_shared_rows(units, 2, 2))
+    longer = own(_shared_rows(units, 3, most, _pairs_filter(two)))
+    shared = two.unionByName(longer)
+    # units are numbered by the file they lie in, so a slice is some of the files
+    size = units.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("sid"), F.lit(0)).alias("last")).first()
+    files = (size["last"] >> FILE) + 1
+    slices = min(SLICES, files, max(1, size["n"] // SLICE))
+    found = []
+    for k in range(slices):
+        here = (F.col("sid") >= (k * files // slices) << FILE) & (F.col("sid") < ((k + 1) * files // slices) << FILE)
+        met = _by_unit(shared.where(here), whole_only)
+        parts = _parts(units.where(here).join(met, "sid", "left").select("unit", "whole", "m", "met"), n_sentences, most, whole_only, top)
+        found.append(persist(parts.groupBy("term").agg(F.sum("part").alias("part"))))
+    own.clear()
+    scored = reduce(DataFrame.unionByName, found).groupBy("term").agg(F.round(F.sum("part") / max(1, n_sentences), 6).alias("score"))
+    first = persist(scored.orderBy(F.desc("score"), "term").limit(top))
+    released(*found)
+    return first

@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import pytest
-
+from pyspark.sql import functions as F
 
 from quire.operators import dom, mining, sentences
 from quire.sources.tables import persisted
@@ -185,3 +185,22 @@ def test_phrases_are_found_in_their_row_as_by_the_join(spark, corpus, monkeypatc
     by_join = mining.noun_phrases(sents, "doc_id", *mining.tag_tables(spark), persisted)
     rows = lambda df: {(r["doc_id"], r["nth"]): r["phrases"] for r in df.collect()}
     assert rows(found) == rows(by_join) and rows(found)
+
+
+def test_units_are_ranked_in_slices_and_leave_nothing(spark, tmp_path, monkeypatch):
+    """Slices of a few files each, and a filter that is full, give the same terms; only the ranked ones stay on disk."""
+    from quire.operators import ranking
+    from quire.sources import tables
+
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 9))),) for _ in range(300)]
+    sents = spark.createDataFrame(rows, "unit string").repartition(6)
+    told = lambda df: [(r["term"], r["score"]) for r in df.orderBy(F.desc("score"), "term").collect()]
+    units = ranking.distinct_units(sents, tables.persisted)
+    want = told(ranking.ranked(units, 300, tables.persisted, 40, 5))
+    monkeypatch.setattr(tables, "shared_folder", lambda s: str(tmp_path))
+    for name, value in {"SLICE": 1, "SLICES": 3, "LEAST_BITS": 6, "MOST_BITS": 6}.items():
+        monkeypatch.setattr(ranking, name, value)
+    spread = tables.persisted(units.select("unit", "m", "whole").repartition(6).withColumn("sid", F.monotonically_increasing_id()))
+    assert told(ranking.ranked(spread, 300, tables.persisted, 40, 5)) == want and len(want) == 40
+    assert len(list((tmp_path / "quire").iterdir())) == 2
