@@ -24,12 +24,12 @@ def is_valid_term(term: Column, forbidden: list[str]) -> Column:
     words = F.split(F.lower(term), " ")
     return (
         F.size(words).between(MIN_WORDS, MAX_WORDS)
-        & ~F.exists(F.array(*map(F.lit, INVALID_CHARS)), lambda c: F.contains(term, c))
-        & ~F.arrays_overlap(words, F.array(*map(F.lit, CODE_KEYWORDS)))
+        & ~term.rlike("[" + "".join("\\" + c if c.isascii() else c for c in INVALID_CHARS) + "]")
+        & ~F.exists(words, lambda w: w.isin(CODE_KEYWORDS))
         & term.rlike(r"\p{L}")
         & term.rlike(r"^[\p{L}\p{N}]")
         & term.rlike(r"[\p{L}\p{N}]$")
-        & (F.size(F.array_except(words, F.array(*map(F.lit, forbidden)))) > 0)
+        & F.exists(words, lambda w: ~w.isin(list(forbidden)))
     )
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import glossary, ranking
 from quire.operators.sentences import BROADCAST, Model, fitted, pure, split_sentences, train
+from quire.sources.tables import Scratch, released
 
 # Elements whose text is no prose.
 DROPPED = ["pre", "code", "figure", "figcaption", "table", "script", "style", "a", "header", "footer", "nav"]
@@ -159,7 +160,10 @@ def ranked_terms(phrases: DataFrame, key: str, n_sentences: int, forbidden: list
     runs = phrases.select(F.transform(F.filter("phrases", lambda p: F.size(p) >= first), lambda p: F.array_join(p, " ")).alias("p")).where("size(p) > 0")
     valid = lambda p: F.when((F.size(F.split(p, " ")) <= last) & glossary.is_valid_term(p, forbidden), "1").otherwise("0")
     units = ranking.distinct_units(runs.select(F.array_join("p", "\n").alias("unit")), persist, F.array_join(F.transform(F.split("unit", "\n"), valid), ""))
-    return ranking.ranked(units, n_sentences, persist, top, last, whole_only=True)
+    released(phrases)  # of which the units are all that counts
+    out = ranking.ranked(units, n_sentences, persist, top, last, whole_only=True)
+    released(units)
+    return out
 
 
 def mined(docs: DataFrame, key: str, forbidden: list[str], persist: Callable[[DataFrame], DataFrame], lexicon: DataFrame | None = None, suffixes: DataFrame | None = None, model: Model | None = None, top: int = glossary.TOP) -> DataFrame:
@@ -168,11 +172,16 @@ def mined(docs: DataFrame, key: str, forbidden: list[str], persist: Callable[[Da
     Null, blank and short texts (100 characters or fewer) give nothing; no documents, no terms. Keys have to be unique.
     """
     own = tag_tables(docs.sparkSession)
-    texts = docs.select(key, pure(F.col("text")).alias("text")).where(F.length("text") > LEAST_CHARS)
-    own_model = train(texts, persist) if model is None else model
+    # by an explode, so that conditions on the pure text don't make it again
+    texts = docs.select(key, F.explode(F.filter(F.array(pure(F.col("text"))), lambda t: F.length(t) > LEAST_CHARS)).alias("text"))
+    step = Scratch(persist)  # a step's tables go as soon as its result is written
+    own_model = train(texts, step) if model is None else model
     sents = persist(split_sentences(texts, own_model, key, trained=model is None))
+    step.clear()
     n = sents.agg(F.coalesce(F.sum(F.size("sentences")), F.lit(0))).first()[0]
-    phrases = persist(noun_phrases(sents, key, own[0] if lexicon is None else lexicon, own[1] if suffixes is None else suffixes, persist))
+    phrases = persist(noun_phrases(sents, key, own[0] if lexicon is None else lexicon, own[1] if suffixes is None else suffixes, step))
+    step.clear()
+    released(sents)
     terms = ranked_terms(phrases, key, n, forbidden, persist, top)
     return terms.groupBy(glossary.title_case(F.col("term")).alias("term")).agg(F.max("score").alias("score"))
 

@@ -32,8 +32,8 @@ ROWS = 500
 
 
 def pure(text: Column) -> Column:
-    """White space (and the separators U+001C to U+001F) as one space each, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+    """White space (and the separators U+001C to U+001F) as one space each, none at the ends; a space that stands alone is no match, as nearly all are."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F&&[^ ]][\s\x1C-\x1F]*| [\s\x1C-\x1F]+", " "))
 
 
 def word_facts(word: Column) -> Column:

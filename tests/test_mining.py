@@ -204,3 +204,18 @@ def test_units_are_ranked_in_slices_and_leave_nothing(spark, tmp_path, monkeypat
     spread = tables.persisted(units.select("unit", "m", "whole").repartition(6).withColumn("sid", F.monotonically_increasing_id()))
     assert told(ranking.ranked(spread, 300, tables.persisted, 40, 5)) == want and len(want) == 40
     assert len(list((tmp_path / "quire").iterdir())) == 2
+
+
+def test_mining_leaves_its_terms_and_makes_a_text_pure_once(spark, tmp_path, monkeypatch):
+    from quire.operators.sentences import pure
+    from quire.sources import tables
+
+    odd = ["a  b", " a\t\nb ", "a b\n", " a   b\x1c\x1dc", "a\x85b", " ", "", "ab c d", None, "a\n b \n\n c"]
+    got = [r["p"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i long, t string").select("i", pure(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert got == ["a b", "a b", "a b", "a b c", "a b", "", "", "ab c d", None, "a b c"]
+    monkeypatch.setattr(tables, "shared_folder", lambda s: str(tmp_path))
+    text = "The great river of the north meets the old stone bridge. " * 3
+    docs = spark.createDataFrame([(1, text), (2, text + "Great river boats pass."), (3, "short"), (4, None)], "doc_id long, text string")
+    terms = mining.mined(docs, "doc_id", ["the"], tables.persisted)
+    assert "Great River" in {r["term"] for r in terms.collect()}
+    assert len(list((tmp_path / "quire").iterdir())) == 1
